@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haargrid.llm import bpe, pii, token_counts
+from haargrid.llm import bpe, langid, media, packing, pii, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir)).drop("scores", "masked")
 
@@ -25,5 +33,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op5_personal_data, op8_byte_bpe)}
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(documents(spark, sf_dir)), ("doc_id", "n_bytes", "payload_bytes"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac)}
 ORACLE_SQL: dict[str, str] = {}
