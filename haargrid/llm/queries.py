@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haargrid.llm import bpe, langid, media, packing, pii, token_counts
+from haargrid.llm import bpe, jaccard_join, langid, media, packing, pii, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,5 +37,9 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(documents(spark, sf_dir)), ("doc_id", "n_bytes", "payload_bytes"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
