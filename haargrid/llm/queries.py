@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haargrid.llm import bpe, jaccard_join, langid, line_dedup, media, packing, pii, token_counts
+from haargrid.llm import bpe, embed_dedup, jaccard_join, langid, line_dedup, media, packing, pii, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +46,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(documents(spark, sf_dir)).withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup)}
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors)}
 ORACLE_SQL: dict[str, str] = {}
