@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haargrid.llm import bpe, embed_dedup, jaccard_join, langid, line_dedup, media, packing, pii, token_counts
+from haargrid.llm import bpe, bwt_dedup, embed_dedup, jaccard_join, langid, line_dedup, media, packing, pii, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,5 +50,9 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors)}
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings)}
 ORACLE_SQL: dict[str, str] = {}
