@@ -130,36 +130,56 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return [w for w, _ in flat], [lang for _, lang in flat]
 
 
+def _predictor(m: Model):
+    """The function from a list of texts to (language, mean probability)."""
+
+    def f(texts: list[str]) -> list[tuple]:
+        raw = [t.encode() for t in texts]
+        sizes = [-(-max(len(r), 1) // WINDOW) for r in raw]
+        flat = np.frombuffer(b"".join(r.ljust(n * WINDOW, b"\0") for r, n in zip(raw, sizes, strict=True)), np.uint8).reshape(-1, WINDOW)
+        probs = np.concatenate([m.probabilities(flat[i : i + 64]) for i in range(0, len(flat), 64)])
+        weight = np.full(len(flat), WINDOW, np.float64)
+        ends = np.cumsum(sizes)
+        weight[ends - 1] = [max(len(r), 1) - (n - 1) * WINDOW for r, n in zip(raw, sizes, strict=True)]
+        total = np.add.reduceat(probs * weight[:, None], ends - sizes) / np.add.reduceat(weight, ends - sizes)[:, None]
+        best = total.argmax(1)
+        return [(m.languages[c], min(1.0, float(row[c]))) if t else (UNKNOWN, 0.0) for t, c, row in zip(texts, best.tolist(), total, strict=True)]
+
+    return f
+
+
+def _lettered(text_col: str):
+    """The text if it has a letter, else null."""
+    return F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language and score (its mean probability) of every whole text: one pass, no shuffle.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text without a model.
     """
+    if model is None:
+        return docs.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_text(docs.select(id_col, _lettered(text_col).alias(text_col)), lambda: _predictor(shared.value), "lang_pred string, score double", id_col, text_col)
+
+
+def accepted(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is known with a score of ``least`` or more; learns as ``identify`` does.
+    Without a labelled row to learn from, all rows with a letter stay."""
+    import pandas as pd
+
+    texts, languages = sample(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    if not texts:
+        return docs.filter(_lettered(text_col).isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(train(texts, languages))
+
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        f, rows = _predictor(shared.value), column.tolist()
+        return pd.Series([s for i in range(0, len(rows), 256) for _, s in f([t or "" for t in rows[i : i + 256]])], dtype="float64")
 
-    def per_texts():
-        m = shared.value
-
-        def f(texts: list[str]) -> list[tuple]:
-            if m is None:
-                return [(UNKNOWN, 0.0)] * len(texts)
-            raw = [t.encode() for t in texts]
-            sizes = [-(-max(len(r), 1) // WINDOW) for r in raw]
-            flat = np.frombuffer(b"".join(r.ljust(n * WINDOW, b"\0") for r, n in zip(raw, sizes, strict=True)), np.uint8).reshape(-1, WINDOW)
-            probs = np.concatenate([m.probabilities(flat[i : i + 64]) for i in range(0, len(flat), 64)])
-            weight = np.full(len(flat), WINDOW, np.float64)
-            ends = np.cumsum(sizes)
-            weight[ends - 1] = [max(len(r), 1) - (n - 1) * WINDOW for r, n in zip(raw, sizes, strict=True)]
-            total = np.add.reduceat(probs * weight[:, None], ends - sizes) / np.add.reduceat(weight, ends - sizes)[:, None]
-            best = total.argmax(1)
-            return [(m.languages[c], min(1.0, float(row[c]))) if t else (UNKNOWN, 0.0) for t, c, row in zip(texts, best.tolist(), total, strict=True)]
-
-        return f
-
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    marked = docs.select(id_col, F.when(lettered, F.col(text_col)).alias(text_col))
-    out = map_text(marked, per_texts, "lang_pred string, score double", id_col, text_col) if model else marked.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return out
+    return docs.filter(score(_lettered(text_col)) >= least)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
