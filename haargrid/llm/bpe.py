@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from haargrid.llm.rows import each, map_text
@@ -109,8 +110,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Bytes of each row's ids; a null list decodes to nothing."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("binary")
     def joined(ids: pd.Series) -> pd.Series:

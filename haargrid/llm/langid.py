@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,8 +168,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def accepted(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more; learns as ``identify`` does.
     Without a labelled row to learn from, all rows with a letter stay."""
-    import pandas as pd
-
     texts, languages = sample(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
     if not texts:
         return docs.filter(_lettered(text_col).isNotNull())

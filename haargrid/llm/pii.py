@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +159,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def masked_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data masked; a null text stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else mask(t, find(t)))
