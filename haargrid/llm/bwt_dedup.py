@@ -234,6 +234,8 @@ def _by_bucket(keys: np.ndarray, n: int):
     """Order by bucket, and where each bucket (in use) begins and ends in it."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
+    if not len(order):
+        return order, []
     used, at = np.unique(bucket[order], return_index=True)
     return order, [(int(b), int(x), int(y)) for b, x, y in zip(used, at, [*at[1:], len(order)], strict=True)]
 

@@ -54,7 +54,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def cells(x: np.ndarray) -> np.ndarray:
     """(vector, table) cell numbers."""
     bits = (unit(x) @ directions(x.shape[1])[1] >= 0).reshape(len(x), TABLES, SIGNS)
-    return bits @ (1 << np.arange(SIGNS))
+    return bits @ (1 << np.arange(SIGNS)) + (x.shape[1] << SIGNS)  # vectors of other sizes have other cells
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
