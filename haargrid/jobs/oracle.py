@@ -112,6 +112,10 @@ ORACLE_SQL: dict[str, str] = {
     "corner_sample": f"""with {TREE}, c as (select tree_id, path, {", ".join(f"{index(d)} << (3 - length(path)) as {c}" for d, c in enumerate("xyz"))} from tree)
  select c.tree_id, c.path, coalesce(vox.v, 0.0) as value, vox.v is not null as active from c left join vox on vox.grid = c.tree_id and vox.x = c.x and vox.y = c.y and vox.z = c.z""",
     "grid_extent": f"with {VOXELS} select grid, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, min(z) as min_z, max(z) as max_z, " + ", ".join(f"ceil(log2(greatest(max({c}) + 1 - min({c}), 1)))::int as level_{c}" for c in "xyz") + " from vox group by grid",
+    "voxel_topology": """with v as (select distinct l_returnflag as grid, l_partkey as x, l_suppkey as y, l_linenumber::bigint as z from lineitem),
+ n as (select grid, 0 as level, 512 as bits, x >> 3 as a, y >> 3 as b, z >> 3 as c, count(*) as k from v group by all union all select grid, 1, 8192, x >> 7, y >> 7, z >> 7, count(*) from v group by all union all select grid, 2, 65536, x >> 12, y >> 12, z >> 12, count(*) from v group by all)
+ select grid, level, count(*) as nodes, sum(bits)::bigint as mask_bits, sum(k)::bigint as voxels from n group by grid, level""",
+    "masked_layout": f"with {TREE} select tree_id, path, v as value from tree",
     "level_pivot_first": f"with {STATS} select thingi_id, " + ", ".join(f"max(case when level = {x} then ds_bytes end)::double as l{x}" for x in range(1, 8)) + " from stats group by thingi_id having count(ds_bytes) > 0",
     "level_aggregate": f"with {LONG} select level, method, count(*) as n, {r6('avg(value::double)')} as mean, {r6('median(value::double)')} as median from long group by all",
     "extremal_topk": f"""with {STATS}, r as (select level, thingi_id, can_bytes / vdb_bytes::double as ratio from stats where can_bytes > 0 and vdb_bytes > 0),

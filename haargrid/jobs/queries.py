@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haargrid.functions import paths
 from haargrid.functions.tables import settled
 from haargrid.operators import coarsen, grid, haar, kernel, report
-from haargrid.sources import grids
+from haargrid.sources import files, grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -123,7 +123,7 @@ def box_volumes(spark, sf_dir):
 
 def _all_nodes(t: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substr("path", F.lit(1), k))
-    return t.select("tree_id", F.explode(prefixes).alias("path"), (F.col("path") == F.col("path")).alias("_")).drop("_").distinct()
+    return t.select("tree_id", F.explode(prefixes).alias("path")).distinct()
 
 
 @query
@@ -327,6 +327,20 @@ def grid_extent(spark, sf_dir):
     return box.select("*", *[level(c).alias(f"level_{c}") for c in "xyz"])
 
 
+@query
+def voxel_topology(spark, sf_dir):
+    """Sparse-tree nodes of the order lines' part, supplier and line numbers as voxels, a grid for each flag."""
+    v = grids.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grid"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_linenumber").alias("z")).distinct()
+    return files.voxel_topology(v)
+
+
+@query
+def masked_layout(spark, sf_dir):
+    """Event trees from their shape and the values that differ from the background."""
+    t = event_tree(spark, sf_dir)
+    return files.with_background(t, files.masked_values(t)).select("tree_id", "path", "value")
+
+
 # statistics
 
 
