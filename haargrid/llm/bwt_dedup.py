@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from haargrid.llm.exchange import mix
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+SINGLE = 255
 #: Documents of a block; blocks from which on an anchor's strings are sent one by one, by their own hash.
-BLOCK, HOT = 1024, 32
+BLOCK, HOT = 1024, 256
 #: Bytes of text worked on together, and of contexts merged together.
 TOGETHER, MERGED = 2 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -82,12 +84,16 @@ def context_key(h: np.ndarray, gram: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     return k
 
 
-def _singles(h, gram, owner, lo, hi):
-    """Runs as strings one by one, each with its own hash in place of the anchor's."""
+def single_hash(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Hash of a string by itself, in place of its anchor's."""
+    return mix(h[p] ^ mix(h[p + GRAM] ^ mix(h[p + LENGTH - GRAM])))
+
+
+def _singles(owner, lo, hi):
+    """Runs as strings one by one."""
     n = hi - lo + 1
     back = np.repeat(np.arange(len(lo)), n)
-    p = lo[back] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return mix(h[p] ^ mix(h[p + GRAM] ^ mix(h[p + LENGTH - GRAM]))), owner[back], p, p
+    return owner[back], lo[back] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -97,16 +103,17 @@ def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], repeated: np.ndarray, hot: np.ndarray):
-    """Contexts (buffer, keys, gram hashes, text, first string, last string) of anchors that other documents have too."""
+    """Contexts of anchors that other documents have too: buffer, keys, hashes of the anchors, texts,
+    first and last strings, places of the anchors behind the first string (SINGLE: a string by itself)."""
     data, h, owner, a, lo, hi = runs_of(texts)
     gram = h[a]
     some = _has(repeated, gram)
-    gram, owner, lo, hi = gram[some], owner[some], lo[some], hi[some]
+    gram, owner, lo, hi, at = gram[some], owner[some], lo[some], hi[some], (a - lo)[some]
     one = _has(hot, gram)
     if one.any():
-        g, o, x, y = _singles(h, gram[one], owner[one], lo[one], hi[one])
-        gram, owner, lo, hi = (np.concatenate([u[~one], v]) for u, v in ((gram, g), (owner, o), (lo, x), (hi, y)))
-    return data, context_key(h, gram, lo, hi), gram, owner, lo, hi
+        o, p = _singles(owner[one], lo[one], hi[one])
+        gram, owner, lo, hi, at = (np.concatenate([u[~one], v]) for u, v in ((gram, single_hash(h, p)), (owner, o), (lo, p), (hi, p), (at, np.full(len(p), SINGLE))))
+    return data, context_key(h, gram, lo, hi), gram, owner, lo, hi, at
 
 
 # transforms
@@ -274,7 +281,11 @@ def _announce(n_buckets: int):
     return run
 
 
-def _answer(batches):
+def _answer(hot_blocks: int):
+    return lambda batches: _answered(batches, hot_blocks)
+
+
+def _answered(batches, hot_blocks: int):
     """Which anchors of a block another document has too, and which of them very many blocks have."""
     blocks, keys, row, many = [], [], [], []
     for batch in batches:
@@ -294,7 +305,7 @@ def _answer(batches):
     size = np.bincount(group)
     known = (size > 1) | (np.bincount(group, many) > 0)
     pick = known[group]
-    key, row, hot = key[pick], row[pick], size[group[pick]] > HOT
+    key, row, hot = key[pick], row[pick], size[group[pick]] > hot_blocks
     order = np.argsort(row, kind="stable")
     key, row, hot = key[order], row[order], hot[order]
     at = np.searchsorted(row, np.arange(len(blocks) + 1))
@@ -308,10 +319,22 @@ def _sorted_keys(column) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-SENT = "bucket int, block long, keys binary, grams binary, least binary, most binary, sizes binary, context binary"
+SENT = "bucket int, block long, places binary, least binary, most binary, sizes binary, context binary"
+
+
+def _squeezed(batches):
+    """Texts compressed for the shuffle that both passes read."""
+    z = zstandard.ZstdCompressor(3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(x) for x in b.column(2).to_pylist()], pa.binary())], names=["block", "doc_id", "raw"])
+
+
+def _texts(docs: pa.Table) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) for x in docs.column("raw").to_pylist()]
 
 
-def _send(n_buckets: int):
+def _send(n_buckets: int, block_size: int):
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -320,49 +343,71 @@ def _send(n_buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """A block's distinct contexts of repeated anchors, with the smallest and largest document of each."""
         repeated, hot = _sorted_keys(answers.column("repeated")), _sorted_keys(answers.column("hot"))
+        if not len(repeated):
+            return schema.empty_table()
         ids = docs.column("doc_id").to_pylist()
-        texts = [t if t and i is not None else b"" for t, i in zip(docs.column("raw").to_pylist(), ids, strict=True)]
+        texts = [t if i is not None else b"" for t, i in zip(_texts(docs), ids, strict=True)]
+        block = docs.column("block")[0].as_py()
         got: list[tuple] = []
-        for rows in _pieces(ids, texts) if len(repeated) else ():
-            data, key, gram, owner, lo, hi = contexts([r[2] for r in rows], repeated, hot)
-            doc = np.array([ids[r[0]] if ids[r[0]] is not None else -1 for r in rows], np.int64)[owner]
+        for rows in _pieces(ids, texts):
+            data, key, gram, owner, lo, hi, at = contexts([r[2] for r in rows], repeated, hot)
+            # documents by their number in the block
+            doc = np.array([ids[r[0]] - block * block_size if ids[r[0]] is not None else 0 for r in rows], np.int64)[owner]
             raw = data.tobytes()
             order = np.lexsort((doc, key))
             head = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), key[order][1:] != key[order][:-1]]))
             last = np.concatenate([head[1:] - 1, [len(order) - 1]])[: len(head)]
             one = order[head]
-            got.append((key[one], gram[one], doc[one], doc[order[last]], hi[one] - lo[one] + LENGTH, [raw[x : y + LENGTH] for x, y in zip(lo[one].tolist(), hi[one].tolist(), strict=True)]))
-        if not got:
-            return schema.empty_table()
-        key, gram, least, most, size = (np.concatenate([g[i] for g in got]) for i in range(5))
+            got.append((gram[one], at[one], doc[one], doc[order[last]], hi[one] - lo[one] + LENGTH, [raw[x : y + LENGTH] for x, y in zip(lo[one].tolist(), hi[one].tolist(), strict=True)]))
+        gram, at, least, most, size = (np.concatenate([g[i] for g in got]) for i in range(5))
         text = [t for g in got for t in g[5]]
         order, buckets = _by_bucket(gram, n_buckets)
-        block = docs.column("block")[0].as_py()
+        z = zstandard.ZstdCompressor(3)
         rows = []
         for k, x, y in buckets:
             o = order[x:y]
-            rows.append((k, block, _pack(key[o], "<u8"), _pack(gram[o], "<u8"), _pack(least[o], "<i8"), _pack(most[o], "<i8"), _pack(size[o], "u1"), b"".join(text[i] for i in o.tolist())))
+            o = o[np.argsort(gram[o], kind="stable")]
+            rows.append((k, block, _pack(at[o], "u1"), _pack(least[o], "<u4"), _pack(most[o], "<u4"), _pack(size[o], "u1"), z.compress(b"".join(text[i] for i in o.tolist()))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return run
 
 
-def _merge(batches):
+def _merge(block_size: int):
+    return lambda batches: _merged(batches, block_size)
+
+
+def _merged(batches, block_size: int):
     """For each block and context the runs of strings that a smaller document has, with that document."""
-    blocks, cols, text, row = [], [[] for _ in range(5)], [], []
+    blocks, cols, raw, row = [], [[] for _ in range(4)], [], []
+    z = zstandard.ZstdDecompressor()
     for batch in batches:
         for k in range(batch.num_rows):
-            parts = [np.frombuffer(batch.column(2 + i)[k].as_py(), t) for i, t in enumerate(("<u8", "<u8", "<i8", "<i8", "u1"))]
-            for c, p in zip(cols, parts, strict=True):
+            block = batch.column(1)[k].as_py()
+            parts = [np.frombuffer(batch.column(2 + i)[k].as_py(), t).astype(np.int64) for i, t in enumerate(("u1", "<u4", "<u4", "u1"))]
+            for c, p in zip(cols, (parts[0], parts[1] + block * block_size, parts[2] + block * block_size, parts[3]), strict=True):
                 c.append(p)
-            raw, end = batch.column(7)[k].as_py(), np.cumsum(parts[4].astype(np.int64)).tolist()
-            text += [raw[x:y] for x, y in zip([0, *end[:-1]], end, strict=True)]
+            raw.append(z.decompress(batch.column(6)[k].as_py()))
             row.append(np.full(len(parts[0]), len(blocks)))
-            blocks.append(batch.column(1)[k].as_py())
-    if not text:
+            blocks.append(block)
+    if not raw:
         return
-    key, gram, least, most, _ = (np.concatenate(c) for c in cols)
+    at, least, most, size = (np.concatenate(c) for c in cols)
     row = np.concatenate(row)
+    start = np.cumsum(size) - size
+    key, gram = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    text: list[bytes] = []
+    done = 0
+    for data, n in zip(raw, (len(c) for c in cols[0]), strict=True):  # hashes again, from the bytes
+        part = slice(done, done + n)
+        h = gram_hashes(np.frombuffer(data + bytes(LENGTH), np.uint8))
+        lo = start[part] - start[done]
+        gram[part] = h[np.minimum(lo + at[part], len(h) - 1)]
+        one = np.flatnonzero(at[part] == SINGLE)
+        gram[done + one] = single_hash(h, lo[one])
+        key[part] = context_key(h, gram[part], lo, lo + size[part] - LENGTH)
+        text += [data[x : x + w] for x, w in zip(lo.tolist(), size[part].tolist(), strict=True)]
+        done += n
     # equal contexts are one, of the smallest document
     order = np.lexsort((least, key, gram))
     head = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (gram[order][1:] != gram[order][:-1])])
@@ -370,7 +415,7 @@ def _merge(batches):
     of[order] = np.cumsum(head) - 1  # the distinct context of each entry
     one = order[head]
     doc, g = least[one], gram[one]
-    size = np.array([len(text[i]) for i in one.tolist()])
+    size = size[one]
     first = np.concatenate([[True], g[1:] != g[:-1]])
     group = np.cumsum(first) - 1
     alone = np.bincount(group)[group] == 1  # no other context has the anchor: nothing to merge it with
@@ -407,7 +452,7 @@ def _merge(batches):
 def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Each document of a block without the strings that a smaller document has."""
     ids = docs.column("doc_id").to_pylist()
-    texts = [t or b"" for t in docs.column("raw").to_pylist()]
+    texts = _texts(docs)
     repeated, hot = _sorted_keys(found.column("repeated")), _sorted_keys(found.column("hot"))
     parts = [[np.frombuffer(x, t) for x in found.column(c).to_pylist() if x is not None] for c, t in (("keys", "<u8"), ("from_", "u1"), ("to_", "u1"), ("doc", "<i8"))]
     covered = [np.zeros(len(t) + 1, np.int32) for t in texts]
@@ -416,7 +461,7 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(keys, kind="stable")
         keys, from_, to_, doc = keys[order], from_[order].astype(np.int64), to_[order].astype(np.int64), doc[order]
         for rows in _pieces(ids, [t if i is not None else b"" for t, i in zip(texts, ids, strict=True)]):
-            _, key, _, owner, lo, _ = contexts([r[2] for r in rows], repeated, hot)
+            _, key, _, owner, lo, _, _ = contexts([r[2] for r in rows], repeated, hot)
             x, y = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = y - x
             back = np.repeat(np.arange(len(key)), n)
@@ -444,7 +489,7 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_size: int = BLOCK, hot_blocks: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its bytes without each 50-byte string
     that starts in a document with a smaller id too.
 
@@ -454,12 +499,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     doc = F.col(id_col).cast("long")
     # contiguous ids are a block, so that what a task reads belongs to few of them
-    block = F.coalesce(F.floor(doc / BLOCK).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 20)))
+    block = F.coalesce(F.floor(doc / block_size).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 20)))
     rows = docs.select(block.alias("block"), doc.alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
-    by_block = rows.groupBy("block")
-    answers = rows.mapInArrow(_announce(n), "bucket int, block long, once binary, often binary").repartition("bucket").mapInArrow(_answer, "block long, repeated binary, hot binary")
-    sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(_send(n), SENT)
-    merged = sent.repartition("bucket").mapInArrow(_merge, "block long, keys binary, from_ binary, to_ binary, doc binary")
+    by_block = rows.mapInArrow(_squeezed, "block long, doc_id long, raw binary").groupBy("block")
+    answers = rows.mapInArrow(_announce(n), "bucket int, block long, once binary, often binary").repartition("bucket").mapInArrow(_answer(hot_blocks), "block long, repeated binary, hot binary")
+    sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(_send(n, block_size), SENT)
+    merged = sent.repartition("bucket").mapInArrow(_merge(block_size), "block long, keys binary, from_ binary, to_ binary, doc binary")
     found = answers.unionByName(merged, allowMissingColumns=True)
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc_id", id_col)

@@ -95,6 +95,9 @@ def test_repeated_strings(spark, sf_dir, odd):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = plain_repeats({r.doc_id: r.text for r in docs.collect()})
     assert {r[0]: tuple(r)[1:] for r in queries.op4_repeated_strings(spark, sf_dir).select(*columns).collect()} == expected
+    # many small blocks, and strings of common anchors one by one
+    small = bwt_dedup.without_repeats(docs, block_size=2, hot_blocks=3).select(*columns)
+    assert {r[0]: tuple(r)[1:] for r in small.collect()} == expected
     rows = bwt_dedup.without_repeats(odd).select(*columns).collect()
     assert len(rows) == odd.count()
     expected = plain_repeats({i * 3: t for i, t in enumerate(TEXTS)})
@@ -120,7 +123,7 @@ def test_strings_one_by_one_give_the_same():
     texts = [BASE.encode() * 3]
     _, h, _, a, _, _ = bwt_dedup.runs_of(texts)
     grams = np.unique(h[a])
-    _, _, _, _, lo, hi = bwt_dedup.contexts(texts, grams, grams)
+    _, _, _, _, lo, hi, _ = bwt_dedup.contexts(texts, grams, grams)
     assert (lo == hi).all() and sorted(lo.tolist()) == list(range(len(texts[0]) - 49))
 
 
