@@ -223,7 +223,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep")))
     wanted = written(distinct.join(groups, distinct.fp == groups.node).select("rep", F.col("component").alias("grp"), "fp"))
     elements = (
-        rows.join(wanted, rows.doc_id == wanted.rep).select("rep", "text", "fp", "grp").mapInArrow(_elements, "rep long, grp long, elements binary")
+        rows.join(wanted.hint("merge"), rows.doc_id == wanted.rep).select("rep", "text", "fp", "grp").mapInArrow(_elements, "rep long, grp long, elements binary")
     )
     blocks = pair_blocks(elements, wanted, "grp", "rep", SETS)
     links = by_group(blocks.select("grp", "i", "j", "rep", "elements"), ["grp", "i", "j"], _group_links, "a long, b long")
