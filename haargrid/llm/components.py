@@ -1,7 +1,7 @@
 """Connected components of a graph that is too large for one machine: distributed union-find.
 
-Each round hooks every node to the neighbour (or itself) of the least priority, a hash of its
-number that changes with the round, and replaces the nodes of all links by what they hook
+Each round hooks every node to the neighbour (or itself) of the least priority (its number in
+the first rounds, then a hash of it that changes with the round), and replaces the nodes of all links by what they hook
 to. Links inside a component vanish and the rest get fewer by a constant factor, whatever
 the order of the numbers (a long chain too). Minima are aggregated before the shuffle, so a
 node with very many links costs a row for each task; the joins that replace nodes have plain
@@ -11,6 +11,7 @@ shuffles on both sides, so adaptive execution splits such a node's links.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Repeated links, links in both directions and links of a node with itself are allowed;
     links with a null end are ignored.
     """
-    edges = written(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter(F.col("a") != F.col("b")).distinct())
+    links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter(F.col("a") != F.col("b"))
+    edges = written(links.mapInArrow(_thinned, "a long, b long"))
     hooks: list[DataFrame] = []
     while not edges.isEmpty():
-        priority = lambda c, r=len(hooks): F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("p"), F.col(c).alias("n"))
+        # links often lead to smaller numbers already; what two rounds in their order leave is hooked at random
+        random = lambda c, r=len(hooks): F.xxhash64(F.col(c), F.lit(r)) if r > 1 else F.col(c)
+        priority = lambda c: F.struct(random(c).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(priority("b")).alias("m"))
         hook = written(least.select(F.col("a").alias("node"), F.least("m", priority("a"))["n"].alias("to")))
         hooks.append(hook)
         for side in ("a", "b"):
             edges = edges.join(hook.withColumnRenamed("node", side), side).withColumn(side, F.col("to")).drop("to")
-        edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
+        edges = written(edges.select("a", "b").filter(F.col("a") != F.col("b")).mapInArrow(_thinned, "a long, b long"))
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = hooks[0]
@@ -44,6 +48,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.join(smallest, "to").select("node", "component")
 
 
+def _thinned(batches):
+    """As many links of each batch as connect what it connects."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = local_forest(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from each node to the smallest node that it reaches, for those that differ: as many as are needed."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)

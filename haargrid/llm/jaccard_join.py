@@ -227,8 +227,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     blocks = pair_blocks(elements, wanted, "grp", "rep", SETS)
     links = by_group(blocks.select("grp", "i", "j", "rep", "elements"), ["grp", "i", "j"], _group_links, "a long, b long")
-    found = written(components(links))
+    found = components(links)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(written(named), ["fp", "n_shingles"], "left").select(
+    return sets.join(named, ["fp", "n_shingles"], "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
