@@ -30,7 +30,7 @@ SINGLE = 255
 #: Documents of a block; blocks from which on an anchor's strings are sent one by one, by their own hash.
 BLOCK, HOT = 1024, 256
 #: Bytes of text worked on together, and of contexts merged together.
-TOGETHER, MERGED = 2 << 20, 1 << 20
+TOGETHER, MERGED = 2 << 20, 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _POWER = [np.uint64(pow(BASE, k, 1 << 64)) for k in range(GRAM + 1)]
 
@@ -122,32 +122,24 @@ def contexts(texts: list[bytes], repeated: np.ndarray, hot: np.ndarray):
 def _transform(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and transform of strings that end in 0 (other symbols are 1 to 256); starts of the strings."""
     n = len(text)
-    ends = np.zeros(n, bool)
-    ends[np.flatnonzero(text == 0)] = True
-    closed = text.astype(np.int64)
-    key, shut = closed.copy(), ends.copy()
+    shut = text == 0  # whether a string ends in the symbols seen so far
+    key = text.astype(np.int64)
     for k in range(1, 7):
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = closed[k:]
-        key = (key << 9) | np.where(shut, 0, nxt)
-        new = np.zeros(n, bool)
-        new[: n - k] = ends[k:]
-        shut |= new
-    order = np.argsort(key, kind="stable")
+        key <<= 9
+        key[: n - k] |= np.where(shut[: n - k], 0, text[k:])
+        shut[: n - k] |= text[k:] == 0
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | shut[order[1:]]  # strings that have ended differ, in the order of the strings
     width = 7
-    while True:
-        sorted_key = key[order]
-        fresh = np.concatenate([[True], (sorted_key[1:] != sorted_key[:-1])])
-        if width == 7:
-            fresh[1:] |= shut[order][1:]  # strings that have ended differ, in the order of the strings
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            break
-        far = np.zeros(n, np.int64)
-        far[: n - width] = rank[width:]
-        key = rank * (n + 1) + far
-        order = np.argsort(key, kind="stable")
+    while not fresh.all():
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        key = rank.astype(np.int64)
+        key *= n + 1
+        key[: n - width] += rank[width:]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
         width *= 2
     before = np.empty(n, text.dtype)
     before[1:] = text[:-1]
@@ -162,21 +154,19 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = L
     """
     built = [_transform(*s) for s in shards]
     symbols = np.concatenate([b[1] for b in built])
-    base = np.cumsum([0, *(len(b[1]) for b in built)])
-    ended = np.concatenate([np.full(int((s[0] == 0).sum()), k, np.int8) for k, s in enumerate(shards)])
-    z = np.concatenate([np.full(len(b[1]), k, np.int8) for k, b in enumerate(built)])
+    ended = np.concatenate([np.full(int((s[0] == 0).sum()), k, np.int16) for k, s in enumerate(shards)])
+    z = np.concatenate([np.full(len(b[1]), k, np.int16) for k, b in enumerate(built)])
     interval = np.zeros(len(z), np.int32)
 
     def rows(z: np.ndarray) -> np.ndarray:
         """Row of each merged suffix among the shards' rows: a shard's come in order."""
-        r = np.empty(len(z), np.int64)
-        for k in range(len(shards)):
-            r[z == k] = np.arange(base[k], base[k + 1])
+        r = np.empty(len(z), np.int32)
+        r[np.argsort(z, kind="stable")] = np.arange(len(z), dtype=np.int32)
         return r
 
     for _ in range(depth):
         s = symbols[rows(z)]
-        order = np.argsort(s, kind="stable")
+        order = np.argsort(s, kind="stable").astype(np.int32)
         z = z[order]
         z[: len(ended)] = ended
         s, old = s[order], interval[order]
@@ -191,27 +181,29 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = L
 def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
     """For each context the smallest document that has the string, string by string."""
     parts = []
-    for k in (0, 1):
+    for k in np.unique(shard).tolist():
         own = np.flatnonzero(shard == k)
-        if len(own):
-            sizes = np.array([len(texts[i]) + 1 for i in own.tolist()])
-            text = np.frombuffer(b"".join(texts[i] + b"\0" for i in own.tolist()), np.uint8).astype(np.uint16) + np.uint16(1)
-            start = np.cumsum(sizes) - sizes
-            text[start + sizes - 1] = 0
-            parts.append((own, text, start, sizes))
+        sizes = np.array([len(texts[i]) + 1 for i in own.tolist()])
+        text = np.frombuffer(b"".join(texts[i] + b"\0" for i in own.tolist()), np.uint8).astype(np.uint16) + np.uint16(1)
+        start = np.cumsum(sizes) - sizes
+        text[start + sizes - 1] = 0
+        parts.append((own, text, start, sizes))
     z, place, interval = merged_intervals([(p[1], p[2]) for p in parts])
-    doc_at = [np.repeat(docs[p[0]], p[3]) for p in parts]
     doc = np.empty(len(z), np.int64)
-    for k, d in enumerate(doc_at):
-        doc[z == k] = d[place[z == k]]
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.minimum.reduceat(doc, first)[np.cumsum(np.concatenate([[True], interval[1:] != interval[:-1]])) - 1]
+    for k, p in enumerate(parts):
+        mine = z == k
+        doc[mine] = np.repeat(docs[p[0]], p[3])[place[mine]]
+    head = np.ones(len(z), bool)
+    head[1:] = interval[1:] != interval[:-1]
+    first = np.flatnonzero(head)
+    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(z))))
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     for k, (own, text, start, sizes) in enumerate(parts):
+        mine = z == k
         back = np.empty(len(text), np.int64)
-        back[place[z == k]] = least[z == k]
+        back[place[mine]] = least[mine]
         for i, s, n in zip(own.tolist(), start.tolist(), sizes.tolist(), strict=True):
-            out[i] = back[s : s + n - LENGTH]
+            out[i] = back[s : s + n - LENGTH].copy()
     return out
 
 
@@ -427,7 +419,8 @@ def _merged(batches, block_size: int):
         while stop < len(rest) and group[rest[stop]] == group[rest[stop - 1]]:
             stop += 1
         some = rest[at:stop]
-        shard = np.array([blocks[row[i]] & 1 for i in one[some].tolist()])
+        # two shards, or as many as keep each small where an anchor has very many contexts
+        shard = row[one[some]] % max(2, -(-int(size[some].sum()) // MERGED))
         for i, a in zip(some.tolist(), least_documents([text[j] for j in one[some].tolist()], doc[some], shard), strict=True):
             answer[i] = a
         at = stop
@@ -496,7 +489,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null text is empty; texts of under 50 bytes lose nothing. A row without an id is kept
     whole and takes no part; rows with the same id don't affect each other. Ids are long numbers.
     """
-    n = max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(256, tasks)
     doc = F.col(id_col).cast("long")
     # contiguous ids are a block, so that what a task reads belongs to few of them
     block = F.coalesce(F.floor(doc / block_size).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 20)))
@@ -504,7 +498,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_block = rows.mapInArrow(_squeezed, "block long, doc_id long, raw binary").groupBy("block")
     answers = rows.mapInArrow(_announce(n), "bucket int, block long, once binary, often binary").repartition("bucket").mapInArrow(_answer(hot_blocks), "block long, repeated binary, hot binary")
     sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(_send(n, block_size), SENT)
-    merged = sent.repartition("bucket").mapInArrow(_merge(block_size), "block long, keys binary, from_ binary, to_ binary, doc binary")
+    merged = sent.repartition(tasks, "bucket").mapInArrow(_merge(block_size), "block long, keys binary, from_ binary, to_ binary, doc binary")
     found = answers.unionByName(merged, allowMissingColumns=True)
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc_id", id_col)
