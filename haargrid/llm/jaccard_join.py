@@ -1,8 +1,8 @@
 """Exact Jaccard join of documents on word shingles, with set relations that skip work.
 
-Equal sets are one. Sets of sizes that can match are cut by hash into one part more than
-their difference may have elements, so two that link have an equal part; equal parts give
-candidate groups. Inside a group, sets are probed in order of size against inverted lists
+Equal sets are one. Sets of sizes that can match are cut by hash into more filled parts
+than their difference may have elements, so two that link have an equal part; equal parts
+give candidate groups. Inside a group, sets are probed in order of size against inverted lists
 that are kept in blocks by position: a block whose position can't leave enough overlap is
 skipped as a whole. A set that a very similar one was found for takes over that set's
 answers: members of its component need no probe of their own.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,11 @@ from haargrid.llm.components import components
 from haargrid.llm.exchange import by_group, mix, pair_blocks, share_keys
 from haargrid.llm.rows import written
 
+#: What op10 asks for; callers may ask for others.
 WORDS = 3
 #: Links need NUM * union <= DEN * intersection: nine tenths.
 NUM, DEN = 9, 10
-GROWTH = 1.5  # sizes of a class, largest to smallest
+ROUNDS = 4  # cuts that are tried for a set that leaves many parts empty
 SETS = 4096  # of a block
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -76,40 +78,55 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
     return mix(mix(s ^ ODD).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))
 
 
-def _bound(k: int) -> int:
+def _bound(k: int, growth: float) -> int:
     """The first size of class k."""
-    return k if k < 9 else int(9 * GROWTH ** (k - 9))
+    return k if k < 9 else int(9 * growth ** (k - 9))
 
 
-def part_keys(s: np.ndarray) -> np.ndarray:
-    """Keys of a set (not empty): sets that link have one in common.
+def part_keys(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Keys of a set (not empty): sets that link at a similarity of num / den have one in common.
 
     A class holds sizes from one bound to below the next, and what can link with them. Two
-    of it differ in at most a ninth of the largest size (floor((next - 1) / 9) elements). One
-    part more than that would do; a second one more lets a set leave out an empty part.
+    of it differ in at most (den - num) / num of the smaller size: ``most`` elements, which
+    lie in as many parts at most. So of a set with more filled parts than that, a filled part
+    is equal in the other. A set with fewer adds a second cut of its elements, and so on;
+    after ROUNDS cuts, its elements one by one. Of two sets, the one that ends first shares
+    a part of that cut with the other, which has made the same cut.
     """
     n = len(s)
-    k = n if n < 9 else 9 + int(np.log(n / 9) / np.log(GROWTH))
-    while _bound(k + 1) <= n:
+    growth = 1.5 if num * 10 >= den * 9 else 1.25  # narrow classes where parts are small
+    k = n if n < 9 else 9 + int(np.log(n / 9) / np.log(growth))
+    while _bound(k + 1, growth) <= n:
         k += 1
-    while _bound(k) > n:
+    while _bound(k, growth) > n:
         k -= 1
-    classes = [k] + [c for c in (k - 1, k - 2) if c > 0 and n * NUM <= (_bound(c + 1) - 1) * DEN]
     element = mix(s ^ MARK)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(element, dtype=np.uint64)])
+    cuts: list[tuple[np.ndarray, np.ndarray]] = []  # places in order, sums of the elements in that order
     keys = []
-    for c in classes:
-        most = (_bound(c + 1) - 1) // NUM
+    while k > 0 and n * num <= (_bound(k + 1, growth) - 1) * den:
+        most = (_bound(k + 1, growth) - 1) * (den - num) // num
         if most == 0:
-            keys.append(mix(total[-1:] + np.uint64(c)))
+            keys.append(mix(element.sum(dtype=np.uint64, keepdims=True) + np.uint64(k)))
+            k -= 1
             continue
-        parts = most + 2
-        edge = np.searchsorted(s, (np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)))
-        edge = np.concatenate([[0], edge, [n]])
-        of = total[edge[1:]] - total[edge[:-1]]
-        full = edge[1:] > edge[:-1]
-        label = mix(np.uint64(c << 32) + np.arange(parts, dtype=np.uint64))
-        keys.append(mix(of + label) if (~full).sum() > 1 else mix(of[full] + label[full]))
+        # some more than would do if none were empty
+        parts = most + 2 + most // (64 if _bound(k, growth) >= 5 * most else 8)
+        inner = np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
+        for cut in range(ROUNDS):
+            if cut == len(cuts):
+                place = s if cut == 0 else mix(s + np.uint64(cut))
+                order = np.argsort(place)
+                cuts.append((place[order], np.concatenate([np.zeros(1, np.uint64), np.cumsum(element[order], dtype=np.uint64)])))
+            place, total = cuts[cut]
+            edge = np.concatenate([[0], np.searchsorted(place, inner), [n]])
+            full = np.flatnonzero(edge[1:] > edge[:-1])
+            label = mix(np.uint64(cut << 56 | k << 32) + full.astype(np.uint64))
+            keys.append(mix(total[edge[full + 1]] - total[edge[full]] + label))
+            if len(full) > most:
+                break
+        else:
+            keys.append(mix(element + mix(np.array([ROUNDS << 56 | k << 32], np.uint64))))
+        k -= 1
     return np.concatenate(keys)
 
 
@@ -124,13 +141,13 @@ def _slices(column: pa.Array, size: int = 2 << 20):
         at = stop
 
 
-def _sets_and_keys(batch: pa.RecordBatch):
+def _sets_and_keys(batch: pa.RecordBatch, words: int, num: int, den: int):
     ids, sizes, prints, keys, owners = batch.column(0).to_pylist(), [], [], [], []
     for a, b in _slices(batch.column(1)):
-        for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist()):
+        for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), words):
             fp = int(fingerprint(s).view(np.int64)[0])
             if len(s) and ids[len(sizes)] is not None:
-                k = part_keys(s)
+                k = part_keys(s, num, den)
                 keys.append(k)
                 owners.append(np.full(len(k), fp))
             sizes.append(len(s))
@@ -190,43 +207,43 @@ def links_in_group(names: list, sets: list[np.ndarray], num: int = NUM, den: int
     return out
 
 
-def _group_links(t: pa.Table):
+def _group_links(t: pa.Table, num: int, den: int):
     names = t.column("rep").to_pylist()
     sets = [np.frombuffer(x, "<u8") for x in t.column("elements").to_pylist()]
-    links = links_in_group(names, sets)
+    links = links_in_group(names, sets, num, den)
     if links:
         a, b = zip(*links, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _elements(batches):
+def _elements(batches, words: int):
     for batch in batches:
         for a, b in _slices(batch.column(1)):
             part = batch.slice(a, b - a)
-            sets = shingle_sets(part.column(1).to_pylist())
+            sets = shingle_sets(part.column(1).to_pylist(), words)
             same = [int(fingerprint(s).view(np.int64)[0]) == f for s, f in zip(sets, part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "grp", "elements"]).filter(pa.array(same))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(id, n_shingles, component_id) of every row of documents.
 
-    Documents link at a Jaccard similarity of 0.9 or more of their 3-word shingles; the
-    component is named by its smallest id. A text without words (null, empty, only white
+    Documents link at a Jaccard similarity of num / den or more of their shingles of ``words``
+    words (0.9 and 3 if not given); the component is named by its smallest id. A text without words (null, empty, only white
     space) links with nothing. A row without an id has no component; repeated rows are one
     document. Ids are long numbers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = written(share_keys(rows, _sets_and_keys, "doc_id long, n_shingles long, fp long"))
+    shared = written(share_keys(rows, partial(_sets_and_keys, words=words, num=num, den=den), "doc_id long, n_shingles long, fp long"))
     sets = shared.filter(F.col("fp").isNotNull()).select("doc_id", "n_shingles", "fp")
     groups = components(shared.filter(F.col("a").isNotNull()).select("a", "b"))
     distinct = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep")))
     wanted = written(distinct.join(groups, distinct.fp == groups.node).select("rep", F.col("component").alias("grp"), "fp"))
     elements = (
-        rows.join(wanted.hint("merge"), rows.doc_id == wanted.rep).select("rep", "text", "fp", "grp").mapInArrow(_elements, "rep long, grp long, elements binary")
+        rows.join(wanted.hint("merge"), rows.doc_id == wanted.rep).select("rep", "text", "fp", "grp").mapInArrow(partial(_elements, words=words), "rep long, grp long, elements binary")
     )
     blocks = pair_blocks(elements, wanted, "grp", "rep", SETS)
-    links = by_group(blocks.select("grp", "i", "j", "rep", "elements"), ["grp", "i", "j"], _group_links, "a long, b long")
+    links = by_group(blocks.select("grp", "i", "j", "rep", "elements"), ["grp", "i", "j"], partial(_group_links, num=num, den=den), "a long, b long")
     found = components(links)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(named, ["fp", "n_shingles"], "left").select(
