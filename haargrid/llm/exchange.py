@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haargrid.llm.components import local_forest
-from haargrid.llm.rows import written
+from haargrid.llm.rows import small_batches, tidy, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,12 +43,16 @@ def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[head], ids[head], least[other], ids[other]
 
 
-def share_keys(rows: DataFrame, per_batch: Callable, keep: str, n_buckets: int | None = None) -> DataFrame:
+#: Keys that a task holds before it sends them, links before it thins them out.
+SENT, THINNED = 1 << 19, 1 << 18
+
+
+def share_keys(rows: DataFrame, per_task: Callable, keep: str, n_buckets: int | None = None) -> DataFrame:
     """Links between ids that have a key in common, and the kept rows, in one shuffle.
 
-    ``per_batch(record batch)`` gives (kept columns, keys, ids): arrays of the columns that
-    the DDL list ``keep`` names, and the batch's uint64 keys and int64 ids. The result has
-    the kept columns, and (a, b) in rows of their own.
+    ``per_task()`` gives the function of a record batch, which gives (kept columns, keys, ids):
+    arrays of the columns that the DDL list ``keep`` names, and uint64 keys and int64 ids. The
+    result has the kept columns, and (a, b) in rows of their own. A receiver sorts one bucket at a time.
     """
     n = n_buckets or max(1024, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,94 +63,129 @@ def share_keys(rows: DataFrame, per_batch: Callable, keep: str, n_buckets: int |
     sent_arrow, got_arrow = to_arrow_schema(sent), to_arrow_schema(got)
     width = len(kept)
 
+    def packed(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, ids, a, b = star(keys, ids)
+        parts = [(-1, *(x.astype("<i8").tobytes() for x in local_forest(a, b)))] if len(a) else []
+        bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)  # ascending, as the keys are
+        at = np.searchsorted(bucket, np.arange(n + 1))
+        raw, who = keys.astype("<u8").tobytes(), ids.astype("<i8").tobytes()
+        parts += [(k, raw[8 * x : 8 * y], who[8 * x : 8 * y]) for k, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
+        for i in range(0, len(parts), 512):
+            some = list(zip(*parts[i : i + 512], strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some[0]), f.type) for f in list(sent_arrow)[:width]), pa.array(some[0], pa.int32()), pa.array(some[1], pa.binary()), pa.array(some[2], pa.binary())], schema=sent_arrow)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, held, size, at = per_task(), [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns, keys, ids = per_batch(batch)
+            columns, keys, ids = f(batch)
             m = len(columns[0])
             if m:
-                spread = pa.array(-1 - np.arange(m) % n, pa.int32())  # kept rows are dealt out evenly
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, sent_arrow, strict=False)), spread, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=sent_arrow)
-            keys, ids, a, b = star(keys, ids)
-            parts = [(-1, *(x.astype("<i8").tobytes() for x in local_forest(a, b)))] if len(a) else []
-            bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)  # ascending, as the keys are
-            at = np.searchsorted(bucket, np.arange(n + 1))
-            raw, who = memoryview(keys.astype("<u8").tobytes()), memoryview(ids.astype("<i8").tobytes())
-            parts += [(k, raw[8 * x : 8 * y], who[8 * x : 8 * y]) for k, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
-            for i in range(0, len(parts), 512):
-                some = parts[i : i + 512]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), f.type) for f in list(sent_arrow)[:width]), *(pa.array(list(map(bytes, c)) if k else list(c), t) for k, (c, t) in enumerate(zip(zip(*some, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)))], schema=sent_arrow)
+                spread = pa.array(-2 - (at + np.arange(m)) % n, pa.int32())  # kept rows are dealt out evenly
+                at += m
+                yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, sent_arrow, strict=False)), spread, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=sent_arrow)
+            held.append((keys, ids))
+            size += len(keys)
+            if size >= SENT:
+                yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield from packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, links = [], [], [[], []]
+        links, n_links, held, last = [], 0, [], None
+
+        def linked(thin: bool):
+            """Links of the bucket that is held."""
+            nonlocal n_links, held, links
+            if held:
+                keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+                _, _, a, b = star(keys, ids)
+                links.append((a, b))
+                n_links += len(a)
+                held = []
+            if links and (thin or n_links > THINNED):
+                a, b = local_forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
+                links, n_links = [], 0
+                for i in range(0, len(a), 65536):
+                    x, y = a[i : i + 65536], b[i : i + 65536]
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(x), f.type) for f in list(got_arrow)[:width]), pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=got_arrow)
+
         for batch in batches:
             own = batch.column(width + 1).is_null()
             plain = batch.filter(own)
             if plain.num_rows:
                 yield pa.RecordBatch.from_arrays([*(plain.column(i) for i in range(width)), pa.nulls(plain.num_rows, pa.int64()), pa.nulls(plain.num_rows, pa.int64())], schema=got_arrow)
-            packed = batch.filter(pa.compute.invert(own))
-            for bucket, k, i in zip(packed.column(width).to_pylist(), packed.column(width + 1).to_pylist(), packed.column(width + 2).to_pylist(), strict=True):
+            some = batch.filter(pa.compute.invert(own))
+            for bucket, k, i in zip(some.column(width).to_pylist(), some.column(width + 1), some.column(width + 2), strict=True):
+                k, i = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((k, "<u8"), (i, "<i8")))
                 if bucket < 0:
-                    links[0].append(np.frombuffer(k, "<i8"))
-                    links[1].append(np.frombuffer(i, "<i8"))
-                else:
-                    keys.append(np.frombuffer(k, "<u8"))
-                    ids.append(np.frombuffer(i, "<i8"))
-        if keys:
-            _, _, a, b = star(np.concatenate(keys), np.concatenate(ids))
-            links[0].append(a)
-            links[1].append(b)
-        if links[0]:
-            a, b = local_forest(np.concatenate(links[0]), np.concatenate(links[1]))
-            for i in range(0, len(a), 65536):
-                x, y = a[i : i + 65536], b[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(x), f.type) for f in list(got_arrow)[:width]), pa.array(x, pa.int64()), pa.array(y, pa.int64())], schema=got_arrow)
-
-    return rows.mapInArrow(send, sent).repartition("bucket").mapInArrow(receive, got)
-
-
-def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """f over the rows of each group, group after group inside a partition: many small groups cost little."""
+                    links.append((k.view("<i8"), i))
+                    n_links += len(i)
+                    continue
+                if bucket != last:
+                    yield from linked(False)
+                    last = bucket
+                held.append((k, i))
+        yield from linked(True)
+
+    small_batches(rows)
+    return rows.mapInArrow(tidy(send), sent).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(receive), got)
+
+
+def by_group(df: DataFrame, keys: list[str], f: Callable[[pa.Table, list[int]], Iterator[pa.RecordBatch]], schema: str, together: int = 1) -> DataFrame:
+    """f over whole groups of rows, and where each of them starts: one group, or as many as reach ``together`` rows."""
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        starts: list[int] = []
+        rows, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             marks = list(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True))
-            starts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
-            for x, y in zip(starts[:-1], starts[1:], strict=True):
-                if held and marks[x] != last:
-                    yield from f(pa.Table.from_batches(held))
-                    held = []
-                last = marks[x]
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from f(pa.Table.from_batches(held))
+            done = 0
+            for x, mark in enumerate(marks):
+                if mark == last:
+                    continue
+                if rows + x - done >= together:
+                    if x > done:
+                        held.append(batch.slice(done, x - done))
+                    yield from f(pa.Table.from_batches(held), starts)
+                    held, starts, rows, done = [], [], 0, x
+                starts.append(rows + x - done)
+                last = mark
+            held.append(batch.slice(done))
+            rows += batch.num_rows - done
+        if rows:
+            yield from f(pa.Table.from_batches(held), starts)
 
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return small_batches(df).select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
-def pair_blocks(members: DataFrame, names: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """``members`` with (i, j): blocks in which any two members of a group meet.
+def in_parts(members: DataFrame, sizes: DataFrame, group: str, member: str, pairs: bool, most: int, weight: int) -> DataFrame:
+    """``members`` with (i, j, cut): the block of a member, and whether its group has more than one.
 
-    ``names`` has a row for each member too, with its group. A group of up to ``size`` is
-    one block. A larger one is cut into parts by the members' hash, and each pair of parts
-    is a block, so no task gets a whole large group.
+    ``sizes`` has (group, n_members, n_weight) of groups; one of over ``most`` members or ``weight`` is
+    cut into parts by the members' hash. With ``pairs`` any two parts of a group are a block, so all its
+    members meet; else each part is one.
     """
-    counts = written(names.groupBy(group).agg(F.count("*").alias("n_members")).filter(F.col("n_members") > size))
-    parts = F.coalesce(F.ceil(F.col("n_members") * 2 / size), F.lit(1)).cast("int")
+    share = 2 if pairs else 1
+    large = sizes.filter((F.col("n_members") > most) | (F.col("n_weight") > weight)).select(
+        group, F.greatest(F.ceil(F.col("n_members") * share / most), F.ceil(F.col("n_weight") * share / weight)).cast("int").alias("n_parts")
+    )
+    parts = F.coalesce("n_parts", F.lit(1))
     own = F.when(parts > 1, F.pmod(F.xxhash64(member), parts)).otherwise(0).cast("int")
+    placed = members.join(large, group, "left").withColumn("own", own).withColumn("cut", parts > 1)
+    if not pairs:
+        return placed.withColumn("i", F.col("own")).withColumn("j", F.col("own")).drop("own", "n_parts")
     other = F.sequence(F.lit(0), parts - 1)
     return (
-        members.join(counts, group, "left")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.when(parts > 1, F.filter(other, lambda k: k != F.col("own"))).otherwise(other)))
+        placed.withColumn("other", F.explode(F.when(parts > 1, F.filter(other, lambda k: k != F.col("own"))).otherwise(other)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .drop("n_members", "own", "other")
+        .drop("own", "other", "n_parts")
     )

@@ -2,16 +2,14 @@
 
 Equal sets are one. Sets of sizes that can match are cut by hash into more filled parts
 than their difference may have elements, so two that link have an equal part; equal parts
-give candidate groups. Inside a group, sets are probed in order of size against inverted lists
-that are kept in blocks by position: a block whose position can't leave enough overlap is
-skipped as a whole. A set that a very similar one was found for takes over that set's
-answers: members of its component need no probe of their own.
+give candidate groups. Inside a group, ``set_join`` skips blocks of the index lists by position, and
+derives the answers of sets that are highly similar to an answered one from its answers.
+
+Words and shingles are told by 64-bit hashes; equal sets by their size and two such sums of all elements.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
@@ -19,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haargrid.llm import set_join
 from haargrid.llm.components import components
-from haargrid.llm.exchange import by_group, mix, pair_blocks, share_keys
-from haargrid.llm.rows import written
+from haargrid.llm.exchange import mix, share_keys
+from haargrid.llm.rows import slices, written
 
 #: What op10 asks for; callers may ask for others.
 WORDS = 3
 #: Links need NUM * union <= DEN * intersection: nine tenths.
 NUM, DEN = 9, 10
 ROUNDS = 4  # cuts that are tried for a set that leaves many parts empty
-SETS = 4096  # of a block
+PIECE = 1 << 16  # bytes of texts that are hashed together: they fit a processor's cache
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 ODD, MARK = np.uint64(0x100000001B3), np.uint64(0xD1B54A32D192ED03)
@@ -74,8 +73,10 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def fingerprint(s: np.ndarray) -> np.ndarray:
-    return mix(mix(s ^ ODD).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers that stand for a set."""
+    both = np.array([mix(s ^ ODD).sum(dtype=np.uint64), mix(s + MARK).sum(dtype=np.uint64)], np.uint64)
+    return tuple(mix(both + np.uint64(len(s))).view(np.int64).tolist())
 
 
 def _bound(k: int, growth: float) -> int:
@@ -130,99 +131,30 @@ def part_keys(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _slices(column: pa.Array, size: int = 2 << 20):
-    """Runs of rows of about ``size`` bytes of text."""
-    at = 0
-    ends = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(column), 0)))
-    while at < len(column):
-        done = int(ends[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, done + size)))
-        yield at, stop
-        at = stop
-
-
-def _sets_and_keys(batch: pa.RecordBatch, words: int, num: int, den: int):
-    ids, sizes, prints, keys, owners = batch.column(0).to_pylist(), [], [], [], []
-    for a, b in _slices(batch.column(1)):
-        for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), words):
-            fp = int(fingerprint(s).view(np.int64)[0])
-            if len(s) and ids[len(sizes)] is not None:
-                k = part_keys(s, num, den)
-                keys.append(k)
-                owners.append(np.full(len(k), fp))
-            sizes.append(len(s))
-            prints.append(fp)
-    return [ids, sizes, prints], np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
-
-
-def links_in_group(names: list, sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple]:
-    """Links that connect what is similar among some sets: a forest, exact as to its components."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(every))  # rare ones first
-    at = np.cumsum([0, *map(len, sets)])
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    lists: dict[int, dict[int, tuple[list[int], list[int]]]] = defaultdict(dict)  # element: position: (sizes, sets), ascending
-    members: dict[int, frozenset] = {}
-    held = lambda i: members.get(i) or members.setdefault(i, frozenset(sets[i].tolist()))
-    out = []
-    for x in order:
-        nx = len(sets[x])
-        tokens = np.sort(rank[inverse[at[x] : at[x + 1]]])
-        prefix = nx - -(-num * nx // den) + 1
-        least = -(-num * nx // den)  # sizes that can link
-        tried = set()
-        for px, t in enumerate(tokens[:prefix].tolist()):
-            blocks = lists.get(t)
-            if blocks is None:
-                continue
-            for py, (sizes, who) in blocks.items():
-                k = bisect_left(sizes, least)
-                # the largest of the block may still reach the overlap that the smallest pair needs, or the block is skipped
-                if k == len(sizes) or min(nx - px, sizes[-1] - py) < -(-num * (nx + sizes[k]) // (num + den)):
-                    continue
-                for ny, y in zip(sizes[k:], who[k:], strict=True):
-                    if y in tried:
-                        continue
-                    tried.add(y)
-                    # what is linked with an answer already is an answer as well
-                    if find(y) == find(x):
-                        continue
-                    both = len(held(x) & held(y))
-                    if den * both >= num * (nx + ny - both):
-                        out.append((names[x], names[y]))
-                        root[find(x)] = find(y)
-        for px, t in enumerate(tokens[:prefix].tolist()):
-            sizes, who = lists[t].setdefault(px, ([], []))
-            sizes.append(nx)
-            who.append(x)
-    return out
+def _sets_and_keys(words: int, num: int, den: int):
+    def f(batch: pa.RecordBatch):
+        ids, sizes, prints, keys, owners = batch.column(0).to_pylist(), [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in slices(batch.column(1), PIECE):
+            for s in shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), words):
+                fp = fingerprint(s)
+                if len(s) and ids[len(sizes)] is not None:
+                    k = part_keys(s, num, den)
+                    keys.append(k)
+                    owners.append(np.full(len(k), fp[0]))
+                sizes.append(len(s))
+                prints.append(fp)
+        fp, check = zip(*prints, strict=True)
+        return [batch.column(0), sizes, fp, check], np.concatenate(keys), np.concatenate(owners)
 
+    return f
 
-def _group_links(t: pa.Table, num: int, den: int):
-    names = t.column("rep").to_pylist()
-    sets = [np.frombuffer(x, "<u8") for x in t.column("elements").to_pylist()]
-    links = links_in_group(names, sets, num, den)
-    if links:
-        a, b = zip(*links, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-
-def _elements(batches, words: int):
-    for batch in batches:
-        for a, b in _slices(batch.column(1)):
-            part = batch.slice(a, b - a)
-            sets = shingle_sets(part.column(1).to_pylist(), words)
-            same = [int(fingerprint(s).view(np.int64)[0]) == f for s, f in zip(sets, part.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "grp", "elements"]).filter(pa.array(same))
+def _sets_of(t: pa.Table, words: int) -> list[np.ndarray]:
+    column, out = t.column("text").combine_chunks(), []
+    for a, b in slices(column, PIECE):
+        out += shingle_sets(column.slice(a, b - a).to_pylist(), words)
+    # a text of another row with the same id is like nothing
+    return [s if len(s) and fingerprint(s) == f else mix(np.array([i], np.uint64)) for i, (s, f) in enumerate(zip(out, zip(t.column("fp").to_pylist(), t.column("chk").to_pylist(), strict=True), strict=True))]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -234,18 +166,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document. Ids are long numbers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = written(share_keys(rows, partial(_sets_and_keys, words=words, num=num, den=den), "doc_id long, n_shingles long, fp long"))
-    sets = shared.filter(F.col("fp").isNotNull()).select("doc_id", "n_shingles", "fp")
+    shared = written(share_keys(rows, partial(_sets_and_keys, words, num, den), "doc_id long, n_shingles long, fp long, chk long"))
+    sets = shared.filter(F.col("fp").isNotNull()).select("doc_id", "n_shingles", "fp", "chk")
     groups = components(shared.filter(F.col("a").isNotNull()).select("a", "b"))
-    distinct = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    wanted = written(distinct.join(groups, distinct.fp == groups.node).select("rep", F.col("component").alias("grp"), "fp"))
-    elements = (
-        rows.join(wanted.hint("merge"), rows.doc_id == wanted.rep).select("rep", "text", "fp", "grp").mapInArrow(partial(_elements, words=words), "rep long, grp long, elements binary")
-    )
-    blocks = pair_blocks(elements, wanted, "grp", "rep", SETS)
-    links = by_group(blocks.select("grp", "i", "j", "rep", "elements"), ["grp", "i", "j"], partial(_group_links, num=num, den=den), "a long, b long")
-    found = components(links)
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fp", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(named, ["fp", "n_shingles"], "left").select(
+    same = ["fp", "chk", "n_shingles"]
+    distinct = written(sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("name")))
+    wanted = written(distinct.join(groups, distinct.fp == groups.node).select("name", F.col("component").alias("grp"), "fp", "chk", "n_shingles"))
+    members = written(rows.filter(F.col("text").isNotNull()).join(wanted.hint("merge"), rows.doc_id == wanted.name).select("grp", "name", "fp", "chk", "text"))
+    sizes = wanted.groupBy("grp").agg(F.count("*").alias("n_members"), F.sum("n_shingles").alias("n_weight"))
+    found = set_join.similar(members, sizes, partial(_sets_of, words=words), num, den)
+    named = distinct.join(found, distinct.name == found.node, "left").select(*same, F.coalesce("component", "name").alias("component_id"))
+    return sets.join(named, same, "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

@@ -2,21 +2,24 @@
 
 Bytes are embedded; filters of several widths slide over a window of fixed length; each
 filter's largest response goes to a softmax over the languages. The network is trained on
-the driver on windows of a bounded sample of labelled texts. For prediction, embedding and
+the driver on windows of a bounded sample of labelled texts; its few thousand weights go along
+with the tasks. For prediction, embedding and
 filters collapse into tables by byte pair, so a filter's response is a sum of looked-up
 rows; all windows of a text are scored, and their probabilities averaged by length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haargrid.llm.rows import map_text
+from haargrid.llm.rows import map_text, slices, small_batches
 
 #: Bytes of a window, widths of the filters, filters of each width, size of an embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
@@ -28,18 +31,28 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     languages: list[str]
-    tables: dict[int, list[np.ndarray]]  # by width: response rows by pair (65536) or byte (256)
+    embedding: np.ndarray
+    filters: dict[int, np.ndarray]  # by width
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
 
-    def probabilities(self, windows: np.ndarray) -> np.ndarray:
+    def tables(self) -> dict[int, list[np.ndarray]]:
+        """By width: response rows by pair (65536) or byte (256)."""
+        pairs = lambda a, b: (a[:, None] + b[None]).reshape(65536, FILTERS)
+        out = {}
+        for w, f in self.filters.items():
+            one = [self.embedding @ f[i * EMBED : (i + 1) * EMBED] for i in range(w)]
+            out[w] = [pairs(one[0], one[1])] + ([one[2]] if w == 3 else [pairs(one[2], one[3])] if w == 4 else [])
+        return out
+
+    def probabilities(self, windows: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
         """Softmax for each row of (n, WINDOW) bytes."""
         n, size = windows.shape
         x = windows.astype(np.int32)
         pair = x[:, :-1] << 8 | x[:, 1:]
-        pooled = np.empty((n, len(self.tables) * FILTERS), np.float32)
-        for k, (w, parts) in enumerate(self.tables.items()):
+        pooled = np.empty((n, len(tables) * FILTERS), np.float32)
+        for k, (w, parts) in enumerate(tables.items()):
             m = size - w + 1
             r = parts[0][pair[:, :m]]
             if w == 3:
@@ -100,12 +113,7 @@ def train(texts: list[str], languages: list[str], steps: int = 400, batch: int =
             first[k] += 0.1 * (g[k] - first[k])
             second[k] += 0.001 * (g[k] ** 2 - second[k])
             v -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    tables = {}
-    for w in WIDTHS:
-        one = [p["e"] @ p[f"w{w}"][i * EMBED : (i + 1) * EMBED] for i in range(w)]
-        pairs = lambda a, b: (a[:, None] + b[None]).reshape(65536, FILTERS)
-        tables[w] = [pairs(one[0], one[1])] + ([one[2]] if w == 3 else [pairs(one[2], one[3])] if w == 4 else [])
-    return Model(names, tables, p["b"], p["v"], p["c"])
+    return Model(names, p["e"], {w: p[f"w{w}"] for w in WIDTHS}, p["b"], p["v"], p["c"])
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS) -> tuple[list[str], list[str]]:
@@ -133,12 +141,13 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _predictor(m: Model):
     """The function from a list of texts to (language, mean probability)."""
+    tables = m.tables()
 
     def f(texts: list[str]) -> list[tuple]:
         raw = [t.encode() for t in texts]
         sizes = [-(-max(len(r), 1) // WINDOW) for r in raw]
         flat = np.frombuffer(b"".join(r.ljust(n * WINDOW, b"\0") for r, n in zip(raw, sizes, strict=True)), np.uint8).reshape(-1, WINDOW)
-        probs = np.concatenate([m.probabilities(flat[i : i + 64]) for i in range(0, len(flat), 64)])
+        probs = np.concatenate([m.probabilities(flat[i : i + 64], tables) for i in range(0, len(flat), 64)])
         weight = np.full(len(flat), WINDOW, np.float64)
         ends = np.cumsum(sizes)
         weight[ends - 1] = [max(len(r), 1) - (n - 1) * WINDOW for r, n in zip(raw, sizes, strict=True)]
@@ -161,24 +170,28 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     if model is None:
         return docs.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_text(docs.select(id_col, _lettered(text_col).alias(text_col)), lambda: _predictor(shared.value), "lang_pred string, score double", id_col, text_col)
+    return map_text(docs.select(id_col, _lettered(text_col).alias(text_col)), lambda: _predictor(model), "lang_pred string, score double", id_col, text_col)
 
 
 def accepted(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more; learns as ``identify`` does.
-    Without a labelled row to learn from, all rows with a letter stay."""
+
+    Null and empty texts and those without a letter go. A row without an id or a label is judged like
+    others; repeated rows stay repeated. Without a labelled row to learn from, all rows with a letter stay.
+    """
     texts, languages = sample(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
     if not texts:
         return docs.filter(_lettered(text_col).isNotNull())
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, languages))
+    model = train(texts, languages)
 
     @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        f, rows = _predictor(shared.value), column.tolist()
-        return pd.Series([s for i in range(0, len(rows), 256) for _, s in f([t or "" for t in rows[i : i + 256]])], dtype="float64")
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = _predictor(model)
+        for column in columns:
+            texts = pa.array(column, pa.string())
+            yield pd.Series([s for a, b in slices(texts) for _, s in f([t or "" for t in texts.slice(a, b - a).to_pylist()])], dtype="float64")
 
-    return docs.filter(score(_lettered(text_col)) >= least)
+    return small_batches(docs).filter(score(_lettered(text_col)) >= least)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from haargrid.llm.rows import small_batches, tidy
+
 BLOCK = 4096
 RATE = 8000
 #: Bytes of samples that are coded together.
@@ -387,7 +389,7 @@ def _map_binary(df: DataFrame, f, out: str, value_col: str, keep: list[str]) ->
                 )
                 at = stop
 
-    return df.select(*keep, value_col).mapInArrow(run, schema)
+    return small_batches(df).select(*keep, value_col).mapInArrow(tidy(run), schema)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 64) -> DataFrame:

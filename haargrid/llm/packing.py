@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from haargrid.llm.bpe import load_ranks
+from haargrid.llm.rows import slices, small_batches, tidy
 
 LENGTH = 1024
 #: Costs of a cut, in tokens of padding: behind a sentence, inside one; and how far a stretch without a place to cut may reach.
@@ -199,8 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), arrow, strict=True)], schema=arrow)
 
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                for doc_id, text in zip(b.column(0).slice(at, 64).to_pylist(), b.column(1).slice(at, 64).to_pylist(), strict=True):
+            for at, stop in slices(b.column(1)):
+                for doc_id, text in zip(b.column(0).slice(at, stop - at).to_pylist(), b.column(1).slice(at, stop - at).to_pylist(), strict=True):
                     ids = enc.encode_to_numpy(text, allowed_special="all") if text else []
                     packer.add(doc_id, np.append(ids, end_id).astype(np.uint32))
                 if len(packer.rows) >= 4096:
@@ -209,4 +210,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         if packer.rows:
             yield rows()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(tidy(run), schema)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haargrid.llm.rows import each, map_text
+from haargrid.llm.rows import each, map_text, small_batches
 
 #: Kinds whose spans are always kept, in the order in which they are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -158,9 +158,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def masked_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data masked; a null text stays null."""
+    """The same rows and columns with personal data masked; a null text stays null, an empty one empty, and
+    null ids and repeated rows stay."""
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else mask(t, find(t)))
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return small_batches(docs).withColumn(text_col, masked(F.col(text_col)))
