@@ -3,12 +3,15 @@
 Strings of 50 bytes are compared. Each has an anchor, the 20-byte string of least hash in
 it; equal strings have equal anchors, so only documents with an anchor in common can share
 a string. Blocks of documents tell which anchors they have, learn which of them others
-have too, and send the context of those: the bytes of all strings that the anchor stands for.
-A receiver puts contexts of an anchor into two shards, sorts each shard's suffixes into its
-transform, and merges the transforms by refining their interleave: after h rounds suffixes
-are in order by h bytes, and a place where the round's bytes or earlier ones differ starts a
-new interval. After 50 rounds an interval holds equal strings, and its smallest document
-keeps them. No merged suffix is sorted again.
+have too, and send the contexts of those: the bytes of runs of strings that have the anchor in common.
+
+A receiver makes equal contexts one (by their bytes) and cuts those of an anchor in two by where the
+anchor lies in the string, which lengthens what the strings of a part must share. Where different
+contexts are left, they are put into two shards; each shard's suffixes are sorted into its
+transform, and the transforms are merged by refining their interleave: after h rounds suffixes
+are in order by h bytes, and a place where a new interval starts has h - 1 as its common prefix. After 50 rounds,
+or as soon as a round starts none, an interval holds equal strings, and its smallest document
+keeps them. No merged suffix is sorted again. What is too much for one merge is cut in two again, so a call's memory is bounded.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haargrid.llm.exchange import mix
+from haargrid.llm.rows import small_batches, tidy, written
+from haargrid.llm.set_join import ranges
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
-SINGLE = 255
-#: Documents of a block; blocks from which on an anchor's strings are sent one by one, by their own hash.
-BLOCK, HOT = 1024, 256
-#: Bytes of text worked on together, and of contexts merged together.
-TOGETHER, MERGED = 2 << 20, 1 << 19
+#: Documents of a block on average; bytes from which on a block is cut; blocks from which on an anchor's
+#: contexts are sent in parts (of FINE places of the anchor) that spread over more receivers.
+BLOCK, BYTES, HOT, FINE = 1024, 4 << 20, 256, 8
+#: Bytes that are hashed together (they fit a processor's cache), a longer text in parts; and of contexts merged together.
+TOGETHER, MERGED = 1 << 17, 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _POWER = [np.uint64(pow(BASE, k, 1 << 64)) for k in range(GRAM + 1)]
 
@@ -50,50 +55,54 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def runs_of(texts: list[bytes]):
     """(buffer, its hashes, text, anchor, first string, last string) of all runs of strings with one anchor."""
-    ends = np.cumsum([len(t) for t in texts])
-    data = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts) + bytes(LENGTH + SPAN), np.uint8)
     h = gram_hashes(data)
-    n = int(ends[-1]) if len(ends) else 0
-    m = -(-(n + SPAN) // SPAN) * SPAN
-    key = np.full(m, np.iinfo(np.uint64).max, np.uint64)
-    k = min(len(h), m)
-    # the leftmost of least hash: the place goes into the low bits
-    key[:k] = (h[:k] >> np.uint64(24) << np.uint64(24)) | np.arange(k, dtype=np.uint64)
-    table = key.reshape(-1, SPAN)
-    before = np.minimum.accumulate(table, 1).ravel()
-    behind = np.minimum.accumulate(table[:, ::-1], 1)[:, ::-1].ravel()
-    best = np.minimum(behind[:n], before[SPAN - 1 : SPAN - 1 + n])
-    anchor = (best & np.uint64(0xFFFFFF)).astype(np.int64)
-    sizes = np.diff(np.concatenate([[0], ends]))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    p = np.flatnonzero(np.arange(n) + LENGTH <= ends[owner]) if n else np.zeros(0, np.int64)
+    # the leftmost of least hash: the place goes into the low bits; windows double up to SPAN
+    key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while 2 * width <= SPAN:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    if width < SPAN:
+        key = np.minimum(key[: width - SPAN], key[SPAN - width :])
+    p = ranges(ends - sizes, ends - sizes + np.maximum(sizes - LENGTH + 1, 0))
+    owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - LENGTH + 1, 0))
     if not len(p):
         z = np.zeros(0, np.int64)
         return data, h, z, z, z, z
-    a, o = anchor[p], owner[p]
-    head = np.concatenate([[True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])])
-    last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(p) - 1]])
-    return data, h, o[head], a[head], p[head], p[last]
+    a = (key[p] & np.uint64(0xFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1])]))
+    last = np.append(first[1:] - 1, len(p) - 1)
+    return data, h, owner[first], a[first], p[first], p[last]
 
 
-def context_key(h: np.ndarray, gram: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def context_key(h: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Key of a context: 20-byte strings that cover it, and its length."""
-    k = mix(gram + (hi - lo).astype(np.uint64))
+    k = mix(group + (hi - lo).astype(np.uint64))
     for at in (lo, lo + GRAM, hi + LENGTH - 2 * GRAM, hi + LENGTH - GRAM):
         k = mix(k ^ h[at])
     return k
 
 
-def single_hash(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Hash of a string by itself, in place of its anchor's."""
-    return mix(h[p] ^ mix(h[p + GRAM] ^ mix(h[p + LENGTH - GRAM])))
+def parts_of(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut by where the anchor lies in their strings, ``width`` places a part: (run, first string, last string)."""
+    first, last = (a - hi) // width, (a - lo) // width
+    back = np.repeat(np.arange(len(a)), last - first + 1)
+    c = ranges(first, last + 1)
+    return back, np.maximum(lo[back], a[back] - (c + 1) * width + 1), np.minimum(hi[back], a[back] - c * width)
 
 
-def _singles(owner, lo, hi):
-    """Runs as strings one by one."""
-    n = hi - lo + 1
-    back = np.repeat(np.arange(len(lo)), n)
-    return owner[back], lo[back] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+def shared_key(h: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """Key of the bytes that all strings of such a part, in any document, have in common."""
+    if width >= SPAN:
+        return h[a]
+    c = (a - hi) // width
+    start = a - c * width
+    end = a + GRAM + np.maximum(SPAN - (c + 1) * width, 0)
+    k = mix(h[start] ^ (c * SPAN + width).astype(np.uint64))
+    return mix(mix(k ^ h[(start + end - GRAM) // 2]) ^ h[end - GRAM])
 
 
 def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -103,17 +112,46 @@ def _has(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def contexts(texts: list[bytes], repeated: np.ndarray, hot: np.ndarray):
-    """Contexts of anchors that other documents have too: buffer, keys, hashes of the anchors, texts,
-    first and last strings, places of the anchors behind the first string (SINGLE: a string by itself)."""
+    """Contexts of anchors that other documents have too: buffer, keys, keys of what their strings share, texts,
+    first and last strings, anchors, widths of their parts (FINE for anchors that are hot)."""
     data, h, owner, a, lo, hi = runs_of(texts)
-    gram = h[a]
-    some = _has(repeated, gram)
-    gram, owner, lo, hi, at = gram[some], owner[some], lo[some], hi[some], (a - lo)[some]
-    one = _has(hot, gram)
-    if one.any():
-        o, p = _singles(owner[one], lo[one], hi[one])
-        gram, owner, lo, hi, at = (np.concatenate([u[~one], v]) for u, v in ((gram, single_hash(h, p)), (owner, o), (lo, p), (hi, p), (at, np.full(len(p), SINGLE))))
-    return data, context_key(h, gram, lo, hi), gram, owner, lo, hi, at
+    some = _has(repeated, h[a])
+    owner, a, lo, hi = owner[some], a[some], lo[some], hi[some]
+    fine = _has(hot, h[a])
+    width = np.full(len(a), SPAN)
+    if fine.any():
+        back, x, y = parts_of(a[fine], lo[fine], hi[fine], FINE)
+        owner, a, lo, hi, width = (np.concatenate([u[~fine], v]) for u, v in ((owner, owner[fine][back]), (a, a[fine][back]), (lo, x), (hi, y), (width, np.full(len(x), FINE))))
+    group = np.empty(len(a), np.uint64)
+    for w in (SPAN, FINE):
+        own = width == w
+        group[own] = shared_key(h, a[own], lo[own], hi[own], w)
+    return data, context_key(h, group, lo, hi), group, owner, lo, hi, a, width
+
+
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each context, of the smallest document, in order of groups; and the number of each entry's context. Bytes are compared."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while True:
+        order = np.lexsort((doc, key, group))
+        head = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(head) - 1
+        one = order[head]
+        more = np.flatnonzero(one[of] != np.arange(len(of)))
+        rep = one[of[more]]
+        other = size[more] != size[rep]
+        same = more[~other]
+        if len(same):
+            rep = rep[~other]
+            n = size[same]
+            unequal = data[ranges(start[same], start[same] + n)] != data[ranges(start[rep], start[rep] + n)]
+            other[np.flatnonzero(~other)[np.logical_or.reduceat(unequal, np.cumsum(n) - n)]] = True
+        if not other.any():
+            return one, of
+        key = key.copy()  # different bytes under one key: they get another
+        key[more[other]] = mix(key[more[other]])
 
 
 # transforms
@@ -147,35 +185,47 @@ def _transform(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, before[order]
 
 
-def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, place in it, and interval (suffixes that agree in ``depth`` symbols) of all suffixes in merged order.
+def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, place in it, interval (suffixes that agree in ``depth`` symbols) and common prefix with the suffix before
+    (``depth`` at most) of all suffixes in merged order.
 
-    ``shards`` has for each shard its text and its strings' starts.
+    ``shards`` has for each shard (two at most) its text and its strings' starts.
     """
     built = [_transform(*s) for s in shards]
     symbols = np.concatenate([b[1] for b in built])
-    ended = np.concatenate([np.full(int((s[0] == 0).sum()), k, np.int16) for k, s in enumerate(shards)])
-    z = np.concatenate([np.full(len(b[1]), k, np.int16) for k, b in enumerate(built)])
-    interval = np.zeros(len(z), np.int32)
+    used = np.unique(symbols)
+    small = np.zeros(257, np.uint8 if len(used) <= 256 else np.uint16)
+    small[used] = np.arange(len(used))  # as few symbols as there are: bytes sort fastest
+    symbols = small[symbols]
+    ended = np.concatenate([np.full(int((s[0] == 0).sum()), k, bool) for k, s in enumerate(shards)])
+    n = len(symbols)
+    z = np.arange(n) >= len(built[0][1])
+    common = np.full(n, -1, np.int8)  # what isn't known yet
+    common[0] = 0
+    interval = np.zeros(n, np.int32)
 
     def rows(z: np.ndarray) -> np.ndarray:
         """Row of each merged suffix among the shards' rows: a shard's come in order."""
-        r = np.empty(len(z), np.int32)
-        r[np.argsort(z, kind="stable")] = np.arange(len(z), dtype=np.int32)
-        return r
+        ones = np.cumsum(z, dtype=np.int32)
+        return np.where(z, ones + np.int32(len(built[0][1]) - 1), np.arange(n, dtype=np.int32) - ones)
 
-    for _ in range(depth):
+    for h in range(depth):
         s = symbols[rows(z)]
-        order = np.argsort(s, kind="stable").astype(np.int32)
+        order = np.argsort(s, kind="stable")
         z = z[order]
         z[: len(ended)] = ended
         s, old = s[order], interval[order]
-        fresh = np.ones(len(z), bool)
+        fresh = np.ones(n, bool)
         fresh[1:] = (s[1:] != s[:-1]) | (old[1:] != old[:-1])
         fresh[: len(ended) + 1] = True
+        new = fresh & (common < 0)
+        common[new] = h
+        if not new.any() and h:  # no two suffixes have a common prefix of h symbols, so none has one of h + 1
+            break
         interval = np.cumsum(fresh, dtype=np.int32)
+    common[common < 0] = depth
     place = np.concatenate([b[0] for b in built])[rows(z)]
-    return z, place, interval
+    return z.astype(np.int8), place, np.cumsum(common < depth, dtype=np.int32), common
 
 
 def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
@@ -188,7 +238,7 @@ def least_documents(texts: list[bytes], docs: np.ndarray, shard: np.ndarray) ->
         start = np.cumsum(sizes) - sizes
         text[start + sizes - 1] = 0
         parts.append((own, text, start, sizes))
-    z, place, interval = merged_intervals([(p[1], p[2]) for p in parts])
+    z, place, interval, _ = merged_intervals([(p[1], p[2]) for p in parts])
     doc = np.empty(len(z), np.int64)
     for k, p in enumerate(parts):
         mine = z == k
@@ -258,7 +308,7 @@ def _announce(n_buckets: int):
             for b in np.unique(blocks).tolist():
                 own = blocks[doc] == b
                 g, d = gram[own], doc[own]
-                order = np.lexsort((d, g))
+                order = np.argsort(g, kind="stable")  # rows of a gram stay in order
                 g, d = g[order], d[order]
                 head = np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]])
                 last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(g) - 1]])[: int(head.sum())]
@@ -273,8 +323,26 @@ def _announce(n_buckets: int):
     return run
 
 
-def _answer(hot_blocks: int):
-    return lambda batches: _answered(batches, hot_blocks)
+def _by_buckets(f):
+    """f over the rows of each bucket, bucket after bucket: a task holds one at a time."""
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                if held and bucket[x] != last:
+                    yield from f(held)
+                    held = []
+                last = bucket[x]
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from f(held)
+
+    return tidy(run)
 
 
 def _answered(batches, hot_blocks: int):
@@ -287,8 +355,6 @@ def _answered(batches, hot_blocks: int):
             row.append(np.full(len(a) + len(b), len(blocks)))
             many.append(np.arange(len(a) + len(b)) >= len(a))
             blocks.append(block)
-    if not blocks:
-        return
     key, row, many = np.concatenate(keys), np.concatenate(row), np.concatenate(many)
     order = np.argsort(key, kind="stable")
     key, row, many = key[order], row[order], many[order]
@@ -311,9 +377,6 @@ def _sorted_keys(column) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-SENT = "bucket int, block long, places binary, least binary, most binary, sizes binary, context binary"
-
-
 def _squeezed(batches):
     """Texts compressed for the shuffle that both passes read."""
     z = zstandard.ZstdCompressor(3)
@@ -326,7 +389,10 @@ def _texts(docs: pa.Table) -> list[bytes]:
     return [z.decompress(x) for x in docs.column("raw").to_pylist()]
 
 
-def _send(n_buckets: int, block_size: int):
+SENT = "bucket int, block long, n int, about binary, context binary"
+
+
+def _send(n_buckets: int):
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -342,102 +408,114 @@ def _send(n_buckets: int, block_size: int):
         block = docs.column("block")[0].as_py()
         got: list[tuple] = []
         for rows in _pieces(ids, texts):
-            data, key, gram, owner, lo, hi, at = contexts([r[2] for r in rows], repeated, hot)
-            # documents by their number in the block
-            doc = np.array([ids[r[0]] - block * block_size if ids[r[0]] is not None else 0 for r in rows], np.int64)[owner]
-            raw = data.tobytes()
-            order = np.lexsort((doc, key))
-            head = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), key[order][1:] != key[order][:-1]]))
-            last = np.concatenate([head[1:] - 1, [len(order) - 1]])[: len(head)]
-            one = order[head]
-            got.append((gram[one], at[one], doc[one], doc[order[last]], hi[one] - lo[one] + LENGTH, [raw[x : y + LENGTH] for x, y in zip(lo[one].tolist(), hi[one].tolist(), strict=True)]))
-        gram, at, least, most, size = (np.concatenate([g[i] for g in got]) for i in range(5))
-        text = [t for g in got for t in g[5]]
-        order, buckets = _by_bucket(gram, n_buckets)
+            data, key, group, owner, lo, hi, a, width = contexts([r[2] for r in rows], repeated, hot)
+            doc = np.array([ids[r[0]] if ids[r[0]] is not None else 0 for r in rows], np.int64)[owner]
+            n = hi - lo + LENGTH
+            got.append((group, key, a - lo, width, doc, n, data[ranges(lo, lo + n)]))
+        group, key, at, width, doc, n, data = (np.concatenate([g[i] for g in got]) for i in range(7))
+        start = np.cumsum(n) - n
+        one, of = distinct(data, start, n, group, key, doc)
+        if not len(one):
+            return schema.empty_table()
+        if (np.diff(np.sort(key[one])) == 0).any():
+            raise ValueError("different contexts of a block have one key; run again with another BASE")
+        most = np.full(len(one), np.iinfo(np.int64).min)
+        np.maximum.at(most, of, doc)
+        order, buckets = _by_bucket(group[one], n_buckets)
         z = zstandard.ZstdCompressor(3)
         rows = []
         for k, x, y in buckets:
-            o = order[x:y]
-            o = o[np.argsort(gram[o], kind="stable")]
-            rows.append((k, block, _pack(at[o], "u1"), _pack(least[o], "<u4"), _pack(most[o], "<u4"), _pack(size[o], "u1"), z.compress(b"".join(text[i] for i in o.tolist()))))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+            o = one[order[x:y]]
+            about = b"".join((_pack(at[o], "u1"), _pack(width[o], "u1"), _pack(n[o], "u1"), _pack(doc[o], "<i8"), _pack(most[order[x:y]], "<i8")))
+            rows.append((k, block, len(o), z.compress(about), z.compress(data[ranges(start[o], start[o] + n[o])].tobytes())))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _merge(block_size: int):
-    return lambda batches: _merged(batches, block_size)
+def answers_of(data: np.ndarray, h: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, doc: np.ndarray, shard: np.ndarray, merged: int = MERGED) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the smallest document of each of its strings: numbers, and where each context's begin.
+
+    Equal contexts are one; one that no other shares anything with has its own document for answer. Of the
+    others, parts of half the width are compared in the same way, until merging them is little work.
+    """
+    group = shared_key(h, a, lo, hi, width)
+    one, of = distinct(data, lo, hi - lo + LENGTH, group, context_key(h, group, lo, hi), doc)
+    n = (hi - lo + 1)[one]
+    begin = np.cumsum(n) - n
+    least = np.repeat(doc[one], n)
+    g = group[one]
+    first = np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]])
+    number = np.cumsum(first) - 1
+    rest = np.flatnonzero(np.bincount(number)[number] > 1) if len(g) else g.astype(np.int64)
+    bytes_of = n + LENGTH
+    total = np.bincount(number, bytes_of)[number] if len(g) else n
+    # whole anchors and what is too much are cut; a part of one string has no other part to differ from
+    cut = (total[rest] > merged) | (width == SPAN)
+    deep = rest[cut & (width > 1)]
+    if len(deep):
+        half = (width + 1) // 2
+        back, x, y = parts_of(a[one[deep]], lo[one[deep]], hi[one[deep]], half)
+        got, at = answers_of(data, h, a[one[deep]][back], x, y, half, doc[one[deep]][back], shard[one[deep]][back], merged)
+        size = y - x + 1
+        least[ranges(begin[deep[back]] + x - lo[one[deep[back]]], begin[deep[back]] + x - lo[one[deep[back]]] + size)] = got[ranges(at, at + size)]
+    todo = rest[~cut]
+    at = 0
+    while at < len(todo):
+        stop = at + max(1, int(np.searchsorted(np.cumsum(bytes_of[todo[at:]]), merged)))
+        while stop < len(todo) and number[todo[stop]] == number[todo[stop - 1]]:
+            stop += 1
+        some = todo[at:stop]
+        texts = [data[lo[k] : hi[k] + LENGTH].tobytes() for k in one[some].tolist()]
+        for i, found in zip(some.tolist(), least_documents(texts, doc[one[some]], shard[one[some]] % 2), strict=True):
+            least[begin[i] : begin[i] + n[i]] = found
+        at = stop
+    return least, begin[of]
 
 
-def _merged(batches, block_size: int):
+def _merged(batches):
     """For each block and context the runs of strings that a smaller document has, with that document."""
-    blocks, cols, raw, row = [], [[] for _ in range(4)], [], []
     z = zstandard.ZstdDecompressor()
+    blocks, raw, about, row = [], [], [], []
     for batch in batches:
-        for k in range(batch.num_rows):
-            block = batch.column(1)[k].as_py()
-            parts = [np.frombuffer(batch.column(2 + i)[k].as_py(), t).astype(np.int64) for i, t in enumerate(("u1", "<u4", "<u4", "u1"))]
-            for c, p in zip(cols, (parts[0], parts[1] + block * block_size, parts[2] + block * block_size, parts[3]), strict=True):
-                c.append(p)
-            raw.append(z.decompress(batch.column(6)[k].as_py()))
-            row.append(np.full(len(parts[0]), len(blocks)))
+        for block, n, numbers, context in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+            b = z.decompress(numbers)
+            about.append((*(np.frombuffer(b, np.uint8, n, i * n).astype(np.int64) for i in range(3)), np.frombuffer(b, "<i8", n, 3 * n), np.frombuffer(b, "<i8", n, 11 * n)))
+            raw.append(z.decompress(context))
+            row.append(np.full(n, len(blocks)))
             blocks.append(block)
-    if not raw:
-        return
-    at, least, most, size = (np.concatenate(c) for c in cols)
+    at, width, size, doc, most = (np.concatenate(x) for x in zip(*about, strict=True))
     row = np.concatenate(row)
-    start = np.cumsum(size) - size
-    key, gram = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
-    text: list[bytes] = []
-    done = 0
-    for data, n in zip(raw, (len(c) for c in cols[0]), strict=True):  # hashes again, from the bytes
-        part = slice(done, done + n)
-        h = gram_hashes(np.frombuffer(data + bytes(LENGTH), np.uint8))
-        lo = start[part] - start[done]
-        gram[part] = h[np.minimum(lo + at[part], len(h) - 1)]
-        one = np.flatnonzero(at[part] == SINGLE)
-        gram[done + one] = single_hash(h, lo[one])
-        key[part] = context_key(h, gram[part], lo, lo + size[part] - LENGTH)
-        text += [data[x : x + w] for x, w in zip(lo.tolist(), size[part].tolist(), strict=True)]
-        done += n
-    # equal contexts are one, of the smallest document
-    order = np.lexsort((least, key, gram))
-    head = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (gram[order][1:] != gram[order][:-1])])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(head) - 1  # the distinct context of each entry
-    one = order[head]
-    doc, g = least[one], gram[one]
-    size = size[one]
-    first = np.concatenate([[True], g[1:] != g[:-1]])
-    group = np.cumsum(first) - 1
-    alone = np.bincount(group)[group] == 1  # no other context has the anchor: nothing to merge it with
-    answer: list = [None] * len(one)
-    rest = np.flatnonzero(~alone)
-    at = 0
-    while at < len(rest):
-        stop = at + max(1, int(np.searchsorted(np.cumsum(size[rest[at:]]), MERGED)))
-        while stop < len(rest) and group[rest[stop]] == group[rest[stop - 1]]:
-            stop += 1
-        some = rest[at:stop]
-        # two shards, or as many as keep each small where an anchor has very many contexts
-        shard = row[one[some]] % max(2, -(-int(size[some].sum()) // MERGED))
-        for i, a in zip(some.tolist(), least_documents([text[j] for j in one[some].tolist()], doc[some], shard), strict=True):
-            answer[i] = a
-        at = stop
+    data = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
+    del raw, about
+    h = gram_hashes(data)
+    lo = np.cumsum(size) - size
+    hi = lo + size - LENGTH
     out: dict[int, list] = {}
-    for e in np.flatnonzero(np.array([(answer[of[i]].min() if answer[of[i]] is not None else doc[of[i]]) < most[i] for i in range(len(of))])).tolist():
-        a = answer[of[e]]
-        k = key[e]
-        if a is None or (a[0] == a).all():
-            runs = [(0, len(text[e]) - LENGTH, int(doc[of[e]] if a is None else a[0]))]
-        else:
-            cut = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-            runs = [(x, y - 1, int(a[x])) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        out.setdefault(blocks[row[e]], []).extend((k, x, y, d) for x, y, d in runs)
-    rows = []
-    for b, entries in out.items():
-        k, x, y, d = zip(*entries, strict=True)
-        rows.append((b, _pack(np.array(k, np.uint64), "<u8"), bytes(x), bytes(y), _pack(np.array(d), "<i8")))
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        a, x, y, m = lo[own] + at[own], lo[own], hi[own], most[own]
+        least, begin = answers_of(data, h, a, x, y, w, doc[own], row[own])
+        key = context_key(h, shared_key(h, a, x, y, w), x, y)
+        n = y - x + 1
+        entry = np.repeat(np.arange(len(own)), n)
+        value, string = least[ranges(begin, begin + n)], ranges(np.zeros_like(n), n)
+        # runs of strings with the same document, of entries that have a larger one
+        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (entry[1:] != entry[:-1])])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:] - 1, len(fresh) - 1)
+        later = value[first] < m[entry[first]]
+        first, last = first[later], last[later]
+        e = entry[first]
+        order = np.argsort(row[own][e], kind="stable")
+        block = row[own][e][order]
+        cols = key[e][order], string[first][order], string[last][order], value[first][order]
+        used, begin = np.unique(block, return_index=True)
+        if not len(used):
+            continue
+        for b, i, j in zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
+            out.setdefault(blocks[b], []).append([c[i:j] for c in cols])
+    rows = [(b, *(_pack(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), ("<u8", "u1", "u1", "<i8"), strict=True))) for b, parts in out.items()]
     for i in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "keys", "from_", "to_", "doc"])
 
@@ -454,7 +532,7 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(keys, kind="stable")
         keys, from_, to_, doc = keys[order], from_[order].astype(np.int64), to_[order].astype(np.int64), doc[order]
         for rows in _pieces(ids, [t if i is not None else b"" for t, i in zip(texts, ids, strict=True)]):
-            _, key, _, owner, lo, _, _ = contexts([r[2] for r in rows], repeated, hot)
+            _, key, _, owner, lo, _, _, _ = contexts([r[2] for r in rows], repeated, hot)
             x, y = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             n = y - x
             back = np.repeat(np.arange(len(key)), n)
@@ -482,23 +560,32 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([docs.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_size: int = BLOCK, hot_blocks: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_size: int = BLOCK, hot_blocks: int = HOT, block_bytes: int = BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its bytes without each 50-byte string
     that starts in a document with a smaller id too.
 
     A null text is empty; texts of under 50 bytes lose nothing. A row without an id is kept
     whole and takes no part; rows with the same id don't affect each other. Ids are long numbers.
+
+    Anchors are looked up by 64-bit hashes, which only proposes; contexts are compared by their bytes, and a block
+    knows its own contexts by a 64-bit key and fails if two of them had the same.
     """
     tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(256, tasks)
+    n = max(256, 4 * tasks)
     doc = F.col(id_col).cast("long")
-    # contiguous ids are a block, so that what a task reads belongs to few of them
-    block = F.coalesce(F.floor(doc / block_size).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 20)))
-    rows = docs.select(block.alias("block"), doc.alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
-    by_block = rows.mapInArrow(_squeezed, "block long, doc_id long, raw binary").groupBy("block")
-    answers = rows.mapInArrow(_announce(n), "bucket int, block long, once binary, often binary").repartition("bucket").mapInArrow(_answer(hot_blocks), "block long, repeated binary, hot binary")
-    sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(_send(n, block_size), SENT)
-    merged = sent.repartition(tasks, "bucket").mapInArrow(_merge(block_size), "block long, keys binary, from_ binary, to_ binary, doc binary")
+    rows = small_batches(docs).select(doc.alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("raw"))
+    # neighbouring ids are a block, so that what a task reads belongs to few of them; one of many bytes is cut
+    ids = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
+    width = max(1, ((ids.high - ids.low + 1) * block_size // ids.n)) if ids.n else 1
+    rows = rows.withColumn("span", F.coalesce(F.floor(F.col("doc_id") / width).cast("long"), -1 - F.pmod(F.xxhash64("raw"), F.lit(1 << 20))))
+    large = written(rows.groupBy("span").agg(F.ceil(F.sum(F.octet_length("raw")) / block_bytes).cast("int").alias("n_parts")).filter("n_parts > 1"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_parts")), F.lit(0)).cast("long")
+    rows = rows.join(large, "span", "left").select(F.xxhash64("span", part).alias("block"), "doc_id", "raw")
+    by_block = rows.mapInArrow(tidy(_squeezed), "block long, doc_id long, raw binary").groupBy("block")
+    told = rows.mapInArrow(tidy(_announce(n)), "bucket int, block long, once binary, often binary")
+    answers = told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_buckets(lambda b: _answered(b, hot_blocks)), "block long, repeated binary, hot binary")
+    sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(_send(n), SENT)
+    merged = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_buckets(_merged), "block long, keys binary, from_ binary, to_ binary, doc binary")
     found = answers.unionByName(merged, allowMissingColumns=True)
     out = by_block.cogroup(found.groupBy("block")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc_id", id_col)

@@ -95,8 +95,8 @@ def test_repeated_strings(spark, sf_dir, odd):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = plain_repeats({r.doc_id: r.text for r in docs.collect()})
     assert {r[0]: tuple(r)[1:] for r in queries.op4_repeated_strings(spark, sf_dir).select(*columns).collect()} == expected
-    # many small blocks, and strings of common anchors one by one
-    small = bwt_dedup.without_repeats(docs, block_size=2, hot_blocks=3).select(*columns)
+    # many small blocks, and common anchors in parts
+    small = bwt_dedup.without_repeats(docs, block_size=2, hot_blocks=3, block_bytes=4096).select(*columns)
     assert {r[0]: tuple(r)[1:] for r in small.collect()} == expected
     rows = bwt_dedup.without_repeats(odd).select(*columns).collect()
     assert len(rows) == odd.count()
@@ -118,13 +118,71 @@ def test_merged_intervals_equal_sorted_windows():
     assert all(a.tolist() == [least[t[i : i + 50]] for i in range(len(t) - 49)] for a, t in zip(got, texts, strict=True))
 
 
-def test_strings_one_by_one_give_the_same():
-    """What very many blocks have is compared by single strings: the same places, all of length 50."""
+def plain_least(texts, docs):
+    least = {}
+    for t, d in zip(texts, docs, strict=True):
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    return [[least[t[i : i + 50]] for i in range(len(t) - 49)] for t in texts]
+
+
+def test_common_prefixes_of_merged_transforms():
+    """The merge gives what sorting all suffixes gives: their order and their common prefixes."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(3, 90, 30)]
+    shards = []
+    for part in (texts[:13], texts[13:]):
+        start = np.cumsum([0, *(len(t) + 1 for t in part)])[:-1]
+        flat = np.frombuffer(b"".join(t + b"\0" for t in part), np.uint8).astype(np.uint16) + np.uint16(1)
+        flat[flat == 1] = 0
+        shards.append((flat, start))
+    z, place, interval, common = bwt_dedup.merged_intervals(shards)
+    ends = [np.flatnonzero(s[0] == 0) for s in shards]
+
+    def suffix(k, p):
+        stop = int(ends[k][np.searchsorted(ends[k], p)])
+        return (*shards[k][0][p:stop].tolist(), 0, k, stop)
+
+    every = [suffix(int(k), int(p)) for k, p in zip(z, place, strict=True)]
+    # ties of strings that end are in the order of the strings
+    clip = [e[:50] for e in every]
+    assert clip == sorted(clip) and len({(int(k), int(p)) for k, p in zip(z, place, strict=True)}) == len(z)
+    for x, y, c in zip(every[:-1], every[1:], common[1:].tolist(), strict=True):
+        same = next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v or u == 0), 50)
+        assert c == min(same, 50)
+    assert (np.diff(interval) == (common[1:] < 50)).all()
+
+
+@pytest.mark.parametrize("merged", [60, 400, 1 << 18])
+def test_answers_of_contexts(merged):
+    """However small a merge has to be, each string's smallest document is found; equal keys of different bytes don't matter."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(97, 101, 400).astype(np.uint8).tobytes()
+    texts = []
+    for _ in range(60):
+        t = bytearray(base[int(rng.integers(0, 200)) :][: int(rng.integers(50, 200))])
+        for k in rng.integers(0, len(t), int(rng.integers(0, 3))).tolist():
+            t[k] = 98
+        texts.append(bytes(t))
+    docs = rng.permutation(60)
+    data, h, owner, a, lo, hi = bwt_dedup.runs_of(texts)
+    least, begin = bwt_dedup.answers_of(data, h, a, lo, hi, bwt_dedup.SPAN, docs[owner], owner, merged)
+    expected = plain_least(texts, docs.tolist())
+    starts = np.cumsum([0, *map(len, texts)])
+    for o, x, y, at in zip(owner.tolist(), lo.tolist(), hi.tolist(), begin.tolist(), strict=True):
+        assert least[at : at + y - x + 1].tolist() == expected[o][x - starts[o] : y - starts[o] + 1]
+    one, of = bwt_dedup.distinct(data, lo, hi - lo + 50, np.zeros(len(lo), np.uint64), np.zeros(len(lo), np.uint64), docs[owner])
+    contexts = [data[x : y + 50].tobytes() for x, y in zip(lo, hi, strict=True)]
+    assert len(one) == len(set(contexts)) and all(contexts[one[of[i]]] == c for i, c in enumerate(contexts))
+
+
+def test_parts_of_hot_anchors_hold_all_strings():
     texts = [BASE.encode() * 3]
     _, h, _, a, _, _ = bwt_dedup.runs_of(texts)
     grams = np.unique(h[a])
-    _, _, _, _, lo, hi, _ = bwt_dedup.contexts(texts, grams, grams)
-    assert (lo == hi).all() and sorted(lo.tolist()) == list(range(len(texts[0]) - 49))
+    _, _, _, _, lo, hi, _, width = bwt_dedup.contexts(texts, grams, grams)
+    assert (width == bwt_dedup.FINE).all() and (hi - lo < bwt_dedup.FINE).all()
+    assert sorted(i for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for i in range(x, y + 1)) == list(range(len(texts[0]) - 49))
 
 
 def plain_lines(texts):
