@@ -1,11 +1,10 @@
 """Byte-level BPE encoding and decoding of whole texts by overlapping chunks.
 
-A long text is cut into chunks that overlap. Each chunk is split into units (white space,
-then what isn't) by itself; a chunk's first units may be wrong, since it starts anywhere,
-but unit starts agree again after a few characters. Neighbours are stitched at the first
-unit start that both have in their overlap. A unit starts where white space follows other
-text; no pre-token of the pattern reaches over such a place, so units can be encoded apart
-and decoded bytes joined.
+A long text is dealt as chunks that overlap, rows of their own. Each chunk is split into pre-tokens
+by itself; its first ones may be wrong, since it starts anywhere, but the chunk before has the
+same characters in its overlap. Neighbours are stitched where their pre-token boundaries agree again; what lies between
+two such places is a piece, which is encoded apart from the others. Only boundaries at which white space follows other text count:
+no pre-token of the pattern reaches over them, whatever stands before. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -16,18 +15,23 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from haargrid.llm.rows import each, map_text
+from haargrid.llm.rows import BATCH, slices, small_batches, tidy, written
 
 #: Characters that the \\s of the pattern matches (Unicode White_Space).
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-CHUNK, OVERLAP = 16_384, 256
+#: Characters of a text that is dealt as chunks, of a chunk, and of the overlap with the next.
+LONG, CHUNK, OVERLAP = 1 << 16, 1 << 15, 256
+#: A run of white space from which on the library's pattern matcher isn't asked; every STEP characters, such a run is met twice.
+RUN, STEP = 4096, 1024
+_RUN, _TWO, _START = re.compile(f"[{WHITE}]{{{RUN},}}"), re.compile(f"[{WHITE}]{{2}}"), re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,26 +55,30 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
-    """The text in order, in pieces that start where units start, by chunks stitched in their overlaps."""
-    sure = at = 0  # a unit starts at sure, and everything before it is out
-    while at + chunk + overlap < len(text):
-        end = at + chunk + overlap
-        at += chunk
-        # starts that this chunk finds in the overlap, and those that the next one finds from its own first character
-        mine = (m.start() for m in UNIT.finditer(text, sure, end))
-        theirs = {m.start() for m in UNIT.finditer(text, at, end)} - {at}
-        cut = next((s for s in mine if s in theirs), None)
-        if cut is None:  # one unit fills the overlap: the chunk grows by the next
-            continue
-        yield text[sure:cut]
-        sure = cut
-    if sure < len(text):
-        yield text[sure:]
+def encode_text(enc, text: str) -> Iterator[list[int]]:
+    """Ids of a text, part after part. The library matches white space by recursion, so very long runs are taken out
+    by the pattern's own rule: all but the last character are one match, or all where the text ends."""
+    at = 0
+    if len(text) > RUN and _TWO.search(text[::STEP]):
+        for m in _RUN.finditer(text):
+            if m.start() > at:
+                yield enc.encode_ordinary(text[at : m.start()])
+            at = m.end() - (m.end() < len(text))
+            yield enc._encode_single_piece(text[m.start() : at].encode())
+    if at < len(text):
+        yield enc.encode_ordinary(text[at:])
 
 
-def encode_ids(text: str, path: str, pattern: str) -> list[int]:
-    return list(chain.from_iterable(map(encoding(path, pattern).encode_ordinary, pieces(text))))
+@functools.lru_cache(2)
+def _matcher(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def boundaries(text: str, pattern: str) -> list[int]:
+    """Starts of the chunk's pre-tokens at which white space follows other text."""
+    return [m.start() for m in _matcher(pattern).finditer(text) if m.start() and _START.match(text, m.start())]
 
 
 @functools.lru_cache(2)
@@ -80,33 +88,166 @@ def _shown(path: str, pattern: str) -> tuple[list[str], list[bytes]]:
     return [f"{i}" for i in range(enc.n_vocab)], [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Digest:
+    """Count and digests of a stream of ids."""
+
+    def __init__(self, path: str, pattern: str):
+        self.text_of, self.bytes_of = _shown(path, pattern)
+        self.n, self.ids_sha, self.raw_sha = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids) -> None:
+        if len(ids):
+            line = " ".join(map(self.text_of.__getitem__, ids))
+            self.ids_sha.update((" " + line if self.n else line).encode())
+            self.raw_sha.update(b"".join(map(self.bytes_of.__getitem__, ids)))
+            self.n += len(ids)
+
+    def row(self) -> tuple[int, str, str]:
+        return self.n, self.ids_sha.hexdigest(), self.raw_sha.hexdigest()
+
+
+def _schema(spec: list):
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    s = T.StructType([f for x in spec for f in (T._parse_datatype_string(x).fields if isinstance(x, str) else [x])])
+    return s, to_arrow_schema(s)
+
+
+def _by_row(batches, width: int):
+    """Rows as tuples of a batch's columns; binary ones are views."""
+    for b in batches:
+        yield from zip(*(b.column(i) if pa.types.is_binary(b.column(i).type) else b.column(i).to_pylist() for i in range(width)), strict=True)
+
+
+def _batched(rows, arrow, size_of):
+    """Record batches of rows, by about BATCH bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += size_of(r)
+        if size >= BATCH or len(held) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Ids of every whole text and the bytes that they decode to, as counts and digests.
 
     With ``keep_ids`` also the ids themselves. Null and empty texts have no tokens; null
-    ids and repeated rows are passed on. One pass, no shuffle; ids are held for one piece
-    of a text at a time, unless they are kept.
+    ids and repeated rows are passed on. Texts of up to ``long`` characters (two chunks) are encoded where they are read;
+    a longer one becomes rows of chunks, of any number of tasks: only their boundaries, and then the
+    pieces' ids, meet by document. A pre-token that is longer than chunks is one piece.
     """
+    doc = T.StructField("doc", docs.schema[id_col].dataType)
+    answer = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    schema, arrow = _schema([doc, answer, "key long, k long, more boolean, part string"])
+
+    def first(batches):
+        """Answers of short texts, chunks of long ones (with the overlap)."""
+        from pyspark import TaskContext
+
+        enc, key = encoding(path, pattern), TaskContext.get().partitionId() << 33
+
+        def rows():
+            nonlocal key
+            for b in batches:
+                for x, y in slices(b.column(1)):
+                    for i, text in zip(b.column(0).slice(x, y - x).to_pylist(), b.column(1).slice(x, y - x).to_pylist(), strict=True):
+                        text = text or ""
+                        if len(text) <= long:
+                            d, kept = _Digest(path, pattern), []
+                            for ids in encode_text(enc, text):
+                                d.add(ids)
+                                if keep_ids:
+                                    kept += ids
+                            yield i, *d.row(), kept if keep_ids else None, None, None, None, None
+                            continue
+                        key += 1
+                        for k, at in enumerate(range(0, len(text), chunk)):
+                            yield i, None, None, None, None, key, k, at + chunk < len(text), text[at : at + chunk + overlap]
+
+        yield from _batched(rows(), arrow, lambda r: 200 + len(r[8] or "") + 4 * len(r[4] or ()))
+
+    all_rows = written(small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(first), schema))
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
+    short = all_rows.filter(F.col("key").isNull()).select(F.col("doc").alias(id_col), *columns)
+    chunks = all_rows.filter(F.col("key").isNotNull()).select("key", "k", "doc", "more", "part")
+    if chunks.isEmpty():
+        return short
+
+    seen_schema, seen_arrow = _schema(["key long, k long, head array<long>, tail array<long>"])
+
+    def pretokens(batches):
+        """A chunk's boundaries in its first ``overlap`` characters, and in those that the next chunk has too."""
+
+        def rows():
+            for key, k, more, part in _by_row(batches, 4):
+                at = boundaries(part, pattern)
+                yield key, k, [k * chunk + s for s in at if s < overlap], [k * chunk + s for s in at if s >= chunk] if more else []
+
+        yield from _batched(rows(), seen_arrow, lambda r: 64 + 8 * len(r[2]) + 8 * len(r[3]))
+
+    of_text = Window.partitionBy("key").orderBy("k")
+    seen = chunks.select("key", "k", "more", "part").repartition("key", "k").mapInArrow(tidy(pretokens), seen_schema)
+    stitched = seen.withColumn("cut", F.array_min(F.array_intersect("tail", F.lead("head").over(of_text))))
+    stitched = stitched.select(
+        "key", "k", F.coalesce(F.lag("cut").over(of_text), F.col("k") * chunk).alias("begin"), F.coalesce("cut", (F.col("k") + 1) * chunk).alias("stop"),
+        F.coalesce(F.count("cut").over(of_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece"),
+    )
+    placed = chunks.join(stitched.hint("merge"), ["key", "k"]).select("key", "piece", "k", "doc", (F.col("begin") - F.col("k") * chunk).alias("begin"), (F.col("stop") - F.col("k") * chunk).alias("stop"), "part")
+    ids_schema, ids_arrow = _schema(["key long, piece long, at long", doc, "raw binary"])
+
+    def encode(batches):
+        """Ids of whole pieces, in rows of bounded size."""
+        enc = encoding(path, pattern)
+
+        def rows():
+            held, last, of = [], None, None
+
+            def out():
+                at = 0
+                for some in encode_text(enc, "".join(held)):
+                    for x in range(0, len(some), BATCH // 8):
+                        yield *last, at, of, np.array(some[x : x + BATCH // 8], "<u4").tobytes()
+                        at += 1
+
+            for key, piece, _, doc_id, begin, stop, part in _by_row(batches, 7):
+                if (key, piece) != last:
+                    if held:
+                        yield from out()
+                    held, last, of = [], (key, piece), doc_id
+                held.append(part[begin:stop])
+            if held:
+                yield from out()
+
+        yield from _batched(rows(), ids_arrow, lambda r: 64 + len(r[4]))
+
+    encoded = placed.repartition("key", "piece").sortWithinPartitions("key", "piece", "k").mapInArrow(tidy(encode), ids_schema)
+    joined_schema, joined_arrow = _schema([T.StructField(id_col, doc.dataType), answer])
+
+    def join(batches):
+        """The pieces' ids of each text, in order."""
 
-    def per_texts():
-        encode = encoding(path, pattern).encode_ordinary
-        text_of, bytes_of = _shown(path, pattern)
-
-        def one(text: str):
-            n, ids_sha, raw_sha, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-            for piece in pieces(text):
-                ids = encode(piece)
-                line = " ".join(map(text_of.__getitem__, ids))
-                ids_sha.update((" " + line if n else line).encode())
-                raw_sha.update(b"".join(map(bytes_of.__getitem__, ids)))
-                n += len(ids)
+        def rows():
+            d, last, of, kept = None, None, None, []
+            for key, _, _, doc_id, raw in _by_row(batches, 5):
+                if key != last:
+                    if d:
+                        yield of, *d.row(), kept if keep_ids else None
+                    d, last, of, kept = _Digest(path, pattern), key, doc_id, []
+                ids = np.frombuffer(raw.as_buffer(), "<u4").tolist()
+                d.add(ids)
                 if keep_ids:
                     kept += ids
-            return (n, ids_sha.hexdigest(), raw_sha.hexdigest(), *([kept] if keep_ids else []))
+            if d:
+                yield of, *d.row(), kept if keep_ids else None
 
-        return each(one)
+        yield from _batched(rows(), joined_arrow, lambda r: 200 + 4 * len(r[4] or ()))
 
-    return map_text(docs, per_texts, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, id_col, text_col)
+    whole = encoded.repartition("key").sortWithinPartitions("key", "piece", "at").mapInArrow(tidy(join), joined_schema)
+    return short.unionByName(whole.select(id_col, *columns))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -12,15 +12,17 @@ powers of two where that costs less than its padding.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from bisect import bisect_left
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from haargrid.llm.bpe import load_ranks
+from haargrid.llm.bpe import encode_text, load_ranks
 from haargrid.llm.rows import slices, small_batches, tidy
 
 LENGTH = 1024
@@ -45,7 +47,18 @@ def _tokenizer(path: str):
     for i in range(enc.n_vocab):
         b = enc.decode_single_token_bytes(i)
         ends[i] = b"\n" in b or b.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?")
-    return enc, ends
+    return enc, ends, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+
+def token_ids(enc, text: str, special: re.Pattern | None) -> Iterator[int]:
+    """Ids of a text as the tokenizer gives them: special strings are their tokens, what is between them is encoded apart."""
+    parts = special.split(text) if special and special.search(text) else [text]
+    for k, part in enumerate(parts):
+        if k % 2:
+            yield enc.encode_single_token(part)
+        else:
+            for ids in encode_text(enc, part):
+                yield from ids
 
 
 def best_cuts(place: list[int], cost: list[int], length: int = LENGTH) -> list[int]:
@@ -179,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     """Pieces of all documents in sequences of at most ``length`` tokens.
 
     A document is its text's ids, then ``end_id``; null and empty texts are that one id.
-    Null ids and repeated rows are packed like others. Sequence numbers hold the task's
+    Null ids and repeated rows are packed like others, white space of any length too. Sequence numbers hold the task's
     number in their upper bits, so they are unique without a shuffle.
     """
     import pyarrow as pa
@@ -192,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
-        enc, ends = _tokenizer(tokenizer_path)
+        enc, ends, special = _tokenizer(tokenizer_path)
         packer = _Packer(ends, TaskContext.get().partitionId() << 36, length)
 
         def rows():
@@ -202,8 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         for b in batches:
             for at, stop in slices(b.column(1)):
                 for doc_id, text in zip(b.column(0).slice(at, stop - at).to_pylist(), b.column(1).slice(at, stop - at).to_pylist(), strict=True):
-                    ids = enc.encode_to_numpy(text, allowed_special="all") if text else []
-                    packer.add(doc_id, np.append(ids, end_id).astype(np.uint32))
+                    packer.add(doc_id, np.array([*token_ids(enc, text or "", special), end_id], np.uint32))
                 if len(packer.rows) >= 4096:
                     yield rows()
         packer.plan(True)
