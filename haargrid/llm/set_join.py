@@ -7,7 +7,8 @@ the Jaccard distance its answers hold those of every set that is very similar to
 pivot's: by bounds from the sizes of the differences, and where these don't decide, by counting
 the index lists of just the elements that differ.
 
-A group that is too large for one block is cut into parts. Each part is joined by itself; then only pivots
+Of a group that is too large for one block, sets go first that have too few elements in common with any others
+to be similar to one of them; chains of chance candidates fall apart so. What is left, if still too large, is cut into parts. Each part is joined by itself; then only pivots
 meet. Two pivots that are too far apart for any of their sets to link need nothing more; the sets of two
 that aren't, and that no chain of links connects, are compared in blocks of their own.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haargrid.llm.components import components
-from haargrid.llm.exchange import by_group, in_parts
-from haargrid.llm.rows import written
+from haargrid.llm.exchange import by_group, in_parts, mix
+from haargrid.llm.rows import tidy, written
 
 #: Entries of a block of an index list; sets and elements of a block of a group.
 ENTRIES, SETS, ELEMENTS = 32, 1024, 1 << 19
@@ -166,6 +167,61 @@ def far_pairs(sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[in
     return [(real[a], real[b]) for a, b in links], [(real[a], real[b]) for a, b in pairs if label[a] != label[b]]
 
 
+def with_company(members: DataFrame, sets_of: Callable[[pa.Table], list[np.ndarray]], num: int, den: int) -> DataFrame:
+    """(name) of the members of which a share of num / den of the elements is in other members of the group too.
+
+    All others are similar to none. Elements are dealt by packed arrays; a bucket's counts are summed by name.
+    """
+    n = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches):
+        def packed(held: list):
+            keys, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, names = keys[order], names[order]
+            at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64), np.arange(n + 1)).tolist()
+            rows = [(k, keys[x:y].tobytes(), names[x:y].tobytes()) for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if y > x]
+            bucket, raw, who = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(raw, pa.binary()), pa.array(who, pa.binary())], names=["bucket", "keys", "names"])
+
+        held, size = [], 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            for s, grp, name in zip(sets_of(t), t.column("grp").to_pylist(), t.column("name").to_pylist(), strict=True):
+                held.append((mix(s ^ mix(np.array([grp], np.int64).view(np.uint64))), np.full(len(s), name)))
+                size += len(s)
+                if size >= ELEMENTS:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def count(batches):
+        def counted(held: list):
+            keys, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, names = keys[order], names[order]
+            same = keys[1:] == keys[:-1]
+            shared = np.append(same, False) | np.insert(same, 0, False)
+            who, at = np.unique(names, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.bincount(at, shared).astype(np.int64)), pa.array(np.bincount(at))], names=["name", "shared", "n"])
+
+        held, last = [], None
+        for b in batches:
+            for bucket, keys, names in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if bucket != last and held:
+                    yield counted(held)
+                    held = []
+                last = bucket
+                held.append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(names.as_buffer(), np.int64)))
+        if held:
+            yield counted(held)
+
+    sent = members.mapInArrow(tidy(send), "bucket int, keys binary, names binary")
+    counts = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(count), "name long, shared long, n long")
+    return counts.groupBy("name").agg(F.sum("shared").alias("shared"), F.sum("n").alias("n")).filter(F.col("shared") * den >= F.col("n") * num).select("name")
+
+
 def _pairs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     kind, a, b = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
@@ -206,6 +262,14 @@ def similar(members: DataFrame, sizes: DataFrame, sets_of: Callable[[pa.Table],
         names, sets = t.column("name").to_pylist(), sets_of(t)
         yield _pairs([(LINK, names[a], names[b]) for a, b in join(sets, num, den)[0]])
 
+    sizes = written(sizes)
+    large = sizes.filter((F.col("n_members") > SETS) | (F.col("n_weight") > ELEMENTS)).select("grp", F.lit(True).alias("large"))
+    if not large.isEmpty():
+        some = written(with_company(members.join(large, "grp", "left_semi"), sets_of, num, den))
+        members = written(members.join(large, "grp", "left").join(some.withColumn("stays", F.lit(True)), "name", "left").filter("large is null or stays").drop("large", "stays"))
+        left = members.join(large, "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("left"))
+        share = F.when(F.col("large").isNull(), 1.0).otherwise(F.coalesce(F.col("left") / F.col("n_members"), F.lit(0.0)))
+        sizes = sizes.join(large, "grp", "left").join(left, "grp", "left").select("grp", F.ceil(F.col("n_members") * share).alias("n_members"), F.ceil(F.col("n_weight") * share).alias("n_weight"))
     rest = [c for c in members.columns if c not in ("grp", "name")]
     found = "kind int, a long, b long"
     blocks = in_parts(members, sizes, "grp", "name", False, SETS, ELEMENTS)

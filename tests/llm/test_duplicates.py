@@ -4,9 +4,11 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from haargrid.llm import bwt_dedup, embed_dedup, jaccard_join, line_dedup, queries
+from haargrid.llm import bwt_dedup, embed_dedup, jaccard_join, line_dedup, queries, set_join
 from haargrid.llm.components import components
 
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from here into the deep dark wood where no one ever goes at night"
@@ -275,3 +277,107 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[2000 + i] == 1000 for i in range(200)) and got[6001] == got[6000] == 6000
     assert 5000 not in got
+
+
+def plain_similar(sets, num, den):
+    u = Union(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if den * both >= num * (len(a) + len(sets[j]) - both):
+                u.join(i, j)
+    return [u.find(i) for i in range(len(sets))]
+
+
+def made_sets(seed, n):
+    """Copies of few bases with small and larger edits, and sets that share only a common part."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(0, 2**63, int(k)).astype(np.uint64) for k in (30, 60, 200)]
+    common = rng.integers(0, 2**63, 12).astype(np.uint64)
+    out = []
+    for i in range(n):
+        b = bases[i % 3].copy()
+        k = int(rng.integers(0, len(b) // 4))
+        b[rng.permutation(len(b))[:k]] = rng.integers(0, 2**63, k).astype(np.uint64)
+        out.append(np.unique(b if i % 5 else np.concatenate([common, rng.integers(0, 2**63, 20).astype(np.uint64)])))
+    return out
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_join_of_sets(num, den):
+    """Exact components; index blocks are skipped, and most answers are derived from a similar set's."""
+    for seed in range(6):
+        sets = made_sets(seed, 90)
+        expected = plain_similar([set(s.tolist()) for s in sets], num, den)
+        ix = set_join.Index(sets)
+        links, pivot = set_join.join(sets, num, den, ix)
+        u = Union(range(len(sets)))
+        for a, b in links:
+            u.join(a, b)
+        assert [u.find(i) for i in range(len(sets))] == expected
+        for x, p in enumerate(pivot.tolist()):
+            both = len(np.intersect1d(sets[x], sets[p]))
+            assert 2 * den * both >= (num + den) * (len(sets[x]) + len(sets[p]) - both)
+        assert ix.skipped > 0
+    base = np.arange(1000, dtype=np.uint64) * np.uint64(77)
+    sets = [np.unique(np.concatenate([base[i % 3 * 40 :], np.arange(i % 7, dtype=np.uint64) + np.uint64(10**6 + 50 * i)])) for i in range(300)]
+    ix = set_join.Index(sets)
+    links, pivot = set_join.join(sets, num, den, ix)
+    assert len(links) == 299 and ix.probed < 10 * 300 and len(set(pivot.tolist())) < 10
+
+
+def test_groups_beyond_a_block(spark, monkeypatch):
+    """A large group is cut: each part, then pivots, then what stays open, give the same components."""
+    monkeypatch.setattr(set_join, "SETS", 16)
+    sets = made_sets(9, 200)
+    members = spark.createDataFrame([(1, 10 + i, s.tobytes()) for i, s in enumerate(sets)] + [(2, 1000, sets[0].tobytes())], "grp long, name long, raw binary")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n_members"), F.sum(F.octet_length("raw")).alias("n_weight"))
+    got = {r.node: r.component for r in set_join.similar(members, sizes, lambda t: [np.frombuffer(x, np.uint64) for x in t.column("raw").to_pylist()], 4, 5).collect()}
+    expected = plain_similar([set(s.tolist()) for s in sets], 4, 5)
+    assert {10 + i: 10 + e for i, e in enumerate(expected) if expected.count(e) > 1} == got
+
+
+def test_equal_line_numbers_of_different_lines(spark, monkeypatch):
+    """Half of a digest may be equal by chance: lines are told by all of it."""
+    real = line_dedup.digest
+    monkeypatch.setattr(line_dedup, "digest", lambda k: (b"same key" + real(k)[8:]) if k else bytes(16))
+    f = line_dedup._lines_and_keys()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one line", "another line\none line"]})
+    (_, lines, checks), _, _ = f(batch)
+    assert len({x for row in lines.to_pylist() for x in row}) == 1 and checks.to_pylist()[0][0] == checks.to_pylist()[1][1] != checks.to_pylist()[1][0]
+
+
+def test_vector_work_is_near_linear():
+    """Twice the vectors: a sign more, so pairs that are counted and verified grow little faster than vectors."""
+    work = []
+    for n in (2048, 4096, 8192):
+        x = np.random.default_rng(1).normal(size=(n, 64))
+        u = embed_dedup.unit(x)
+        signs, tables = embed_dedup.plan(n)
+        pairs = 0
+        for t in range(tables):
+            size = np.unique(embed_dedup.cells(u, t, signs), return_counts=True)[1]
+            pairs += int((size * (size - 1) // 2).sum())
+        work.append(pairs)
+    assert work[1] <= 2.5 * work[0] and work[2] <= 2.5 * work[1]
+
+
+def test_planted_vectors_are_found(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    y = embed_dedup.unit(x)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * y).sum(1, keepdims=True) * y
+    near = y + embed_dedup.unit(noise) * np.tan(np.arccos(0.9801))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([y, near]))]
+    got = {r.vec_id: r.component_id for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert np.mean([got[3000 + i] == i for i in range(3000)]) >= 0.998
+
+
+def test_clashing_names(spark):
+    """Columns may have the names that the operators use inside."""
+    one, two = "a line that both of the documents have in them", "and another that only one of them has, which is longer"
+    rows = [(1, one, "u", "v", "w", "x"), (2, f"{one}\n{two}", "u", "v", "w", "x"), (None, one, "u", "v", "w", "x"), (4, None, "u", "v", "w", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, id string, removed string, `left` string")
+    out = {r.doc_id: tuple(r) for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert out == {1: rows[0], 2: (2, two, "u", "v", "w", "x"), None: rows[2], 4: rows[3]}
