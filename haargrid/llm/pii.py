@@ -1,9 +1,10 @@
-"""Personal data: expressions propose, checksums confirm, nearby words adjust the score."""
+"""Personal data and secrets: expressions propose, checksums and entropy confirm, nearby words adjust the score."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from haargrid.llm.rows import each, map_text, small_batches
 #: Kinds whose spans are always kept, in the order in which they are listed.
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that this method adds, listed after the others.
-MORE = ("iban", "national_id", "local_phone")
+MORE = ("iban", "national_id", "local_phone", "secret")
 #: Words near a span that speak for its kind (lower case).
 CONTEXT = {
     "email": ("mail", "e-mail", "email", "contact", "write"),
@@ -24,9 +25,10 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "national_id": ("ssn", "social", "security", "tax", "national"),
     "local_phone": ("phone", "tel", "telephone", "call", "mobile", "fax"),
+    "secret": ("token", "secret", "key", "api-key", "apikey", "password", "passwd", "pwd", "auth", "authorization", "bearer", "credential", "credentials"),
 }
 #: What a span scores before and with a context word, and what an added kind needs.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.3, "local_phone": 0.2}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "national_id": 0.3, "local_phone": 0.2, "secret": 0.3}
 BONUS, NEEDED, NEAR = 0.4, 0.6, 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +40,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
+#: What a name is set to; fixed values: keys that are known by how they begin, and a private key's block.
+_VALUE = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{16,512})")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,250}|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _WORD = re.compile(r"[a-z-]+")
+#: Bits a character that a secret value has at least; words have letters only, so it has a digit and a letter too.
+ENTROPY = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -59,6 +66,20 @@ def mod97(code: str) -> bool:
     return left == 1
 
 
+def entropy(s: str) -> float:
+    """Bits a character, by the value's own characters."""
+    return -sum(n / len(s) * log2(n / len(s)) for n in (s.count(c) for c in set(s)))
+
+
+def _iban(m: re.Match) -> int | None:
+    """Where the code ends: a match may have taken in upper-case words behind it, which go until the checksum is right."""
+    for end in [len(m[0]), *(i for i in range(len(m[0]) - 1, 14, -1) if m[0][i] == " ")]:
+        code = m[0][:end].replace(" ", "")
+        if 15 <= len(code) <= 34 and mod97(code):
+            return m.start() + end
+    return None
+
+
 def _emails(text: str):
     """Leftmost matches that don't overlap, found from their @, in linear time."""
     floor, at = 0, text.find("@")
@@ -99,11 +120,17 @@ def propose(text: str):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
     for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+        if end := _iban(m):
+            yield "iban", m.start(), end
     for kind, p in (("national_id", _NATIONAL), ("local_phone", _LOCAL_PHONE)):
         for m in p.finditer(text):
             yield kind, m.start(), m.end()
+    for m in _KNOWN.finditer(text):
+        yield "known_secret", m.start(), m.end()
+    for m in _VALUE.finditer(text):
+        v = m[1]
+        if any("0" <= c <= "9" for c in v) and any(c.isalpha() for c in v) and entropy(v) >= ENTROPY:
+            yield "secret", m.start(1), m.end(1)
 
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
@@ -115,7 +142,10 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     kept: list[tuple[str, int, int, float]] = []
     taken: list[tuple[int, int]] = []
     for kind, a, b in propose(text):
-        near = _WORD.findall(text[max(0, a - NEAR) : a].lower()) + _WORD.findall(text[b : b + NEAR].lower())
+        if kind == "known_secret":
+            kind, near = "secret", ["key"]
+        else:
+            near = _WORD.findall(text[max(0, a - NEAR) : a].lower()) + _WORD.findall(text[b : b + NEAR].lower())
         score = min(1.0, SCORE[kind] + BONUS * any(w in CONTEXT[kind] for w in near))
         if kind in BASE or score >= NEEDED and not any(a < y and x < b for x, y in taken):
             kept.append((kind, a, b, score))

@@ -133,12 +133,21 @@ def test_pii_checks_and_context():
     assert not pii.find(good.replace("893", "883"))
     assert [s[0] for s in pii.find("his social security number 123-45-6789")] == ["national_id"]
     assert not [s for s in pii.find("part 123-45-6789 of the list") if s[0] == "national_id"]
+    assert [s[:3] for s in pii.find("BE68 5390 0754 7034 NOW or BE68 5390 0754 7034 now")] == [("iban", 0, 19), ("iban", 27, 46)]
     t = "mail bob@x.example.com or 4111 1111 1111 1111"
     assert pii.mask(t, pii.find(t)) == "mail [EMAIL] or [CARD]"
 
 
+def test_secrets_by_context_and_entropy():
+    assert pii.mask('the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is', pii.find('the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is')) == 'the token = "[SECRET]" is'
+    assert [s[0] for s in pii.find("password: x9Kd02mQp7LwZ81t")] == ["secret"]
+    assert [s[0] for s in pii.find("so AKIA" + "Q7R5T3Z9" * 2 + ".")] == ["secret"]
+    for clean in ("token = aaaaaaaaaaaaaaaaaaaa1", "token = verylongwordwithoutnumber", 'checksum = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "the key: a word"):
+        assert not pii.find(clean)
+
+
 def test_pii_takes_linear_time():
-    for t in ("1" * 200_000, "a" * 200_000, "+1" + "(" * 200_000, "1." * 100_000, "a@" * 100_000, "a.b" * 60_000 + "@x"):
+    for t in ("1" * 200_000, "a" * 200_000, "+1" + "(" * 200_000, "1." * 100_000, "a@" * 100_000, "a.b" * 60_000 + "@x", "=" + "a1" * 100_000, "BE68 " + "ABCD " * 40_000, "eyJ" * 60_000):
         pii.find(t)
 
 
