@@ -27,7 +27,7 @@ from haargrid.llm.exchange import by_group, in_parts, mix
 from haargrid.llm.rows import tidy, written
 
 #: Entries of a block of an index list; sets and elements of a block of a group.
-ENTRIES, SETS, ELEMENTS = 32, 1024, 1 << 19
+ENTRIES, SETS, ELEMENTS = 32, 4096, 1 << 20
 
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -148,21 +148,25 @@ def join(sets: list[np.ndarray], num: int, den: int, index: Index | None = None)
     return [(int(real[a]), int(real[b])) for a, b in links], back
 
 
-def far_pairs(sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links of pivots as of ``join``, and pairs that these don't connect but whose sets may link."""
+def far_pairs(sets: list[np.ndarray], wide: np.ndarray, num: int, den: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links of pivots, and pairs that these don't connect but whose sets may link; only pivots that are ``wide`` have other sets."""
     ix = Index(sets)
     n = len(sets)
-    open_ = np.ones(n, bool)
+    open_, wide = np.ones(n, bool), wide[ix.order]
     label, links, pairs = np.arange(n), [], []
     for p in range(n):
         open_[p] = False
-        y, both = ix.probe(p, max(1, 2 * num - den), den, open_)
-        linked = den * both >= num * (ix.size[p] + ix.size[y] - both)
+        # a pivot's sets are at most half of what two that link may be apart from it
+        least = (max(1, 2 * num - den), den) if wide[p] else (3 * num - den, 2 * den) if wide[p:].any() else (num, den)
+        y, both = ix.probe(p, *least, open_)
+        union = ix.size[p] + ix.size[y] - both
+        linked = den * both >= num * union
         for q in y[linked].tolist():
             if label[p] != label[q]:
                 links.append((p, q))
                 label[label == label[q]] = label[p]
-        pairs += [(p, q) for q in y[~linked].tolist()]
+        may = ~linked & ((wide[y] & wide[p]) | ((wide[y] | wide[p]) & (2 * den * both >= (3 * num - den) * union)))
+        pairs += [(p, q) for q in y[may].tolist()]
     real = ix.order.tolist()
     return [(real[a], real[b]) for a, b in links], [(real[a], real[b]) for a, b in pairs if label[a] != label[b]]
 
@@ -255,7 +259,7 @@ def similar(members: DataFrame, sizes: DataFrame, sets_of: Callable[[pa.Table],
 
     def second(t: pa.Table, starts: list[int]):
         names, sets = t.column("name").to_pylist(), sets_of(t)
-        links, pairs = far_pairs(sets, num, den)
+        links, pairs = far_pairs(sets, t.column("wide").to_numpy(), num, den)
         yield _pairs([(LINK, names[a], names[b]) for a, b in links] + [(FAR, names[a], names[b]) for a, b in pairs])
 
     def third(t: pa.Table, starts: list[int]):
@@ -278,11 +282,11 @@ def similar(members: DataFrame, sizes: DataFrame, sets_of: Callable[[pa.Table],
     of_pivot = one.filter(F.col("kind") == OF_PIVOT).select(F.col("a").alias("name"), F.col("b").alias("pivot"))
     if of_pivot.isEmpty():
         return components(links)
-    pivots = members.join(of_pivot.select(F.col("pivot").alias("name")).distinct(), "name", "left_semi")
+    pivots = members.join(of_pivot.groupBy(F.col("pivot").alias("name")).agg((F.count("*") > 1).alias("wide")), "name")
     counts = of_pivot.filter("name = pivot").join(members.select("grp", "name"), "name").groupBy("grp").agg(F.count("*").alias("n_members"))
     counts = counts.join(sizes.select("grp", (F.col("n_weight") / F.col("n_members")).alias("each")), "grp").select("grp", "n_members", F.ceil(F.col("n_members") * F.col("each")).alias("n_weight"))
     blocks = in_parts(pivots, written(counts), "grp", "name", True, SETS, ELEMENTS)
-    two = written(by_group(blocks.select("grp", "i", "j", "name", *rest), ["grp", "i", "j"], second, found))
+    two = written(by_group(blocks.select("grp", "i", "j", "name", "wide", *rest), ["grp", "i", "j"], second, found))
     links = links.unionByName(two.filter(F.col("kind") == LINK).select("a", "b"))
     far = two.filter(F.col("kind") == FAR).select("a", "b").distinct()
     if far.isEmpty():

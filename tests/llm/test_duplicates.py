@@ -1,6 +1,7 @@
 """Operators on pairs against brute force, on the small tables and on odd rows."""
 
 import hashlib
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -271,12 +272,15 @@ def test_large_block_is_cut_without_loss(spark):
     assert np.mean([r.n_links for r in got]) >= 0.99 * (len(rows) - 1)
 
 
-def test_components(spark):
-    """A long chain, a star, a loop of one, repeated and null links."""
+@pytest.mark.parametrize("local", [0, 1 << 19])
+def test_components(spark, monkeypatch, local):
+    """A long chain, a star, a loop of one, repeated and null links; with and without a last step in one task."""
+    monkeypatch.setattr(sys.modules["haargrid.llm.components"], "LOCAL", local)
     links = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(5000, 5000), (6000, 6001), (6001, 6000), (6001, 6000), (None, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[2000 + i] == 1000 for i in range(200)) and got[6001] == got[6000] == 6000
     assert 5000 not in got
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def plain_similar(sets, num, den):
