@@ -23,9 +23,9 @@ def r6(c: str) -> str:
     return f"round({c}, 6) + 0.0"
 
 
-RASTER = """cells as (select l_returnflag as tree_id, l_partkey % 8 as x, l_suppkey % 8 as y, avg(l_quantity) as v from lineitem group by all)"""
-RASTER_LEAF = RASTER + ", leaf as (select tree_id, " + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1))::varchar" for b in (2, 1, 0)) + " as path, v from cells)"
-VOXELS = "vox as (select user_id % 10 as grid, user_id % 8 as x, (hour(ts) % 8)::bigint as y, (length(event_type) % 8)::bigint as z, count(*)::double as v from events group by all)"
+RASTER = """cells as (select l_suppkey as tree_id, l_partkey % 4 as x, l_orderkey % 4 as y, avg(l_quantity) as v from lineitem group by all)"""
+RASTER_LEAF = RASTER + ", leaf as (select tree_id, " + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1))::varchar" for b in (1, 0)) + " as path, v from cells)"
+VOXELS = "vox as (select user_id as grid, (day(ts) % 8)::bigint as x, (hour(ts) % 8)::bigint as y, (length(event_type) % 8)::bigint as z, count(*)::double as v from events group by all)"
 CELLS = VOXELS + """, box as (select grid, x, y, z from (select distinct grid from vox), (select unnest(range(0, 8)) as x), (select unnest(range(0, 8)) as y), (select unnest(range(0, 8)) as z)),
 cell as (select grid as tree_id, x, y, z, case when coalesce(v, 0) > 0 then 1.0 else 0.0 end::double as v, """ + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1) + 4 * ((z >> {b}) & 1))::varchar" for b in (2, 1, 0)) + """ as path from box left join vox using (grid, x, y, z))"""
 TREE = CELLS + """, region as (select tree_id, substr(path, 1, d) as path, min(v) as v from cell, (select unnest(range(0, 4))::int as d) group by all having min(v) = max(v)),
@@ -52,8 +52,8 @@ def inside(x: str, y: str, z: str) -> dict[str, str]:
     }
 
 
-MORTON = " | ".join(f"((({c} >> {b}) & 1) << {3 * b + d})" for b in range(10) for d, c in enumerate(("(l_partkey % 1024)", "(l_suppkey % 1024)", "l_linenumber::bigint")))
-UNMORTON = [" | ".join(f"(((o_orderkey >> {3 * b + d}) & 1) << {b})" for b in range(8)) for d in range(3)]
+MORTON = " | ".join(f"((({c} >> {b}) & 1) << {3 * b + d})" for b in range(21) for d, c in enumerate(("l_partkey", "l_suppkey", "l_linenumber::bigint")))
+UNMORTON = [" | ".join(f"(((o_orderkey >> {3 * b + d}) & 1) << {b})" for b in range(21)) for d in range(3)]
 POINTS = [f"(({c} % 16 + 0.5::double) / 16)" for c in ("l_partkey", "l_suppkey", "l_orderkey")]
 GIVE = "(1 * (max(abs(c)) filter (j & 1 != 0) <= 0.06 + 1e-12)::int + 2 * (max(abs(c)) filter (j & 2 != 0) <= 0.06 + 1e-12)::int + 4 * (max(abs(c)) filter (j & 4 != 0) <= 0.06 + 1e-12)::int)"
 PART = "coalesce(sum(abs(c)) filter (j & {b} != 0), 0) * (max(abs(c)) filter (j & {b} != 0) <= 0.06 + 1e-12)::int"
@@ -66,7 +66,7 @@ WHATIF = "with " + vectors(3) + ", " + forward(3, 2) + """, need as (select tree
 select tree_id, threshold, case when all_ then 1 else kids + 8 * (8 - kids) end::bigint as boxes, (9 - coarsenable)::bigint as inner_nodes, coarsenable from got"""
 
 ORACLE_SQL: dict[str, str] = {
-    "haar2d_lineitem": f"with {RASTER_LEAF}, {forward(2, 3)} select tree_id, path, j, {r6('c')} as c from coef",
+    "haar2d_lineitem": f"with {RASTER_LEAF}, {forward(2, 2)} select tree_id, path, j, {r6('c')} as c from coef",
     "haar1d_embeddings": f"with {vectors(1)}, {forward(1, 6)} select tree_id, path, j, {r6('c')} as c from coef",
     "haar3d_embeddings": f"with {vectors(3)}, {forward(3, 2)} select tree_id, path, j, {r6('c')} as c from coef",
     "inverse_haar_roundtrip": f"with {vectors(3)} select tree_id, path, {r6('v')} as value from leaf",
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "whatif_thresholds": WHATIF,
     "rasterize": f"with {TREE} select tree_id, x, y, z, v as value from cell",
     "sparse_fill": f"with {TREE} select tree_id, x, y, z, v as value from cell where v != 0",
-    "occupancy_threshold": f"with {RASTER} select tree_id, (" + " | ".join(f"(((x >> {b}) & 1) << {2 * b}) | (((y >> {b}) & 1) << {2 * b + 1})" for b in range(3)) + ")::bigint as m, v / 51.0::double >= 0.5 as at_least, v / 51.0::double > 0.5 as above from cells",
+    "occupancy_threshold": f"with {RASTER} select tree_id, (" + " | ".join(f"(((x >> {b}) & 1) << {2 * b}) | (((y >> {b}) & 1) << {2 * b + 1})" for b in range(2)) + ")::bigint as m, v / 51.0::double >= 0.5 as at_least, v / 51.0::double > 0.5 as above from cells",
     "analytic_shapes": "select l_returnflag, " + ", ".join(f"count(*) filter ({f}) as {n}" for n, f in inside(*POINTS).items()) + " from lineitem group by l_returnflag",
     "error_norms": f"with {TWO} select grid, {r6('max(abs(a - b))')} as linf_error, {r6('sum(abs(a - b)) / 512')} as l1_error, {r6('sqrt(sum((a - b) * (a - b)) / 512)')} as l2_error, {r6('max(abs(a))')} as linf_sol, {r6('sum(abs(a)) / 512')} as l1_sol, {r6('sqrt(sum(a * a) / 512)')} as l2_sol from pair group by grid",
     "max_error": DETAIL + f""", go as (select tree_id, path from low group by all having max(abs(c)) <= 0.06 + 1e-12), mean as (select tree_id, path, c as m from coef semi join go using (tree_id, path) where j = 0)
@@ -135,7 +135,7 @@ ORACLE_SQL: dict[str, str] = {
     "pairwise_equality": f"with {TWO} select side, count(*) as cells from (select 'first' as side, * from (select * from vox except all select * from other) union all select 'second', * from (select * from other except all select * from vox)) group by side",
     "outermost_prefixes": f"""with {TREE}, c as (select tree_id, substr(path, 1, length(path) - 1) as path, count(*) as leaves from tree where path != '' group by all having count(*) >= 2)
  select c.tree_id, c.path, c.leaves from c where not exists (select 1 from c q where q.tree_id = c.tree_id and length(q.path) < length(c.path) and c.path like q.path || '%')""",
-    "zorder_concat": f"""with {TREE} select ((((tree_id % 4) >> 1) & 1) + 2 * (((tree_id // 4 % 4) >> 1) & 1))::varchar || (((tree_id % 4) & 1) + 2 * ((tree_id // 4 % 4) & 1))::varchar || path as path, v as value from tree""",
+    "zorder_concat": f"""with {TREE} select tree_id // 16 as tree_id, ((((tree_id % 4) >> 1) & 1) + 2 * (((tree_id // 4 % 4) >> 1) & 1))::varchar || (((tree_id % 4) & 1) + 2 * ((tree_id // 4 % 4) & 1))::varchar || path as path, v as value from tree""",
     "slice_i_of_n": "select c_custkey, rn as row from (select c_custkey, row_number() over (order by c_custkey) - 1 as rn, count(*) over () as n from customer) where rn >= round_even(3 * n / 7.0, 0) and rn < round_even(4 * n / 7.0, 0)",
     "partition_layout": f"with {VOXELS} select grid, x >> 1 as px, y >> 2 as py, z >> 2 as pz, (x >> 1) * 2 as ox, (y >> 2) * 4 as oy, (z >> 2) * 4 as oz, count(*) as voxels, sum(v) as total from vox group by all",
     "jsonlines_parse": f"select event_type, props->>'$.k' as k, count(*) as n, {r6('sum(value)')} as total from events group by all",

@@ -59,7 +59,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def haar2d_lineitem(spark, sf_dir):
     cells = grids.order_raster(grids.read(spark, sf_dir, "lineitem"))
-    return haar.forward(grids.full_tree(cells, ["x", "y"], 3)).withColumn("c", r6("c"))
+    return haar.forward(grids.full_tree(cells, ["x", "y"], 2)).withColumn("c", r6("c"))
 
 
 @query
@@ -89,13 +89,13 @@ def node_means(spark, sf_dir):
 @query
 def morton_encode(spark, sf_dir):
     li = grids.read(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", paths.morton([F.col("l_partkey") % 1024, F.col("l_suppkey") % 1024, F.col("l_linenumber")], 10).alias("m"))
+    return li.select("l_orderkey", "l_linenumber", paths.morton([F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")], 21).alias("m"))
 
 
 @query
 def morton_decode(spark, sf_dir):
     m = F.col("o_orderkey")
-    return grids.read(spark, sf_dir, "orders").select("o_orderkey", *[paths.unmorton(m, 3, 8, d).alias(c) for d, c in enumerate("xyz")])
+    return grids.read(spark, sf_dir, "orders").select("o_orderkey", *[paths.unmorton(m, 3, 21, d).alias(c) for d, c in enumerate("xyz")])
 
 
 @query
@@ -274,7 +274,7 @@ def occupancy_threshold(spark, sf_dir):
     """Cells of the orders' raster from a half of its mean on, and above it, in Morton order."""
     cells = grids.order_raster(grids.read(spark, sf_dir, "lineitem"))
     half = F.col("value") / 51.0
-    return cells.select("tree_id", paths.morton([F.col("x"), F.col("y")], 3).alias("m"), (half >= 0.5).alias("at_least"), (half > 0.5).alias("above"))
+    return cells.select("tree_id", paths.morton([F.col("x"), F.col("y")], 2).alias("m"), (half >= 0.5).alias("at_least"), (half > 0.5).alias("above"))
 
 
 @query
@@ -427,10 +427,10 @@ def outermost_prefixes(spark, sf_dir):
 
 @query
 def zorder_concat(spark, sf_dir):
-    """All event trees as parts of one, below a regular top grid."""
+    """The event trees of sixteen users each as parts of one, below a regular top grid."""
     t = event_tree(spark, sf_dir)
-    parts = t.withColumn("top_x", F.col("tree_id") % 4).withColumn("top_y", F.floor(F.col("tree_id") / 4) % 4).withColumn("top_z", F.lit(0)).withColumn("tree_id", F.lit(0))
-    return grid.compose(parts, 2, 3).select("path", "value")
+    parts = t.withColumn("top_x", F.col("tree_id") % 4).withColumn("top_y", F.floor(F.col("tree_id") / 4) % 4).withColumn("top_z", F.lit(0)).withColumn("tree_id", F.floor(F.col("tree_id") / 16))
+    return grid.compose(parts, 2, 3).select("tree_id", "path", "value")
 
 
 @query

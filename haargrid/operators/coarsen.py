@@ -94,22 +94,39 @@ def coarsening_round(leaves: DataFrame, threshold: float = 0.0, bound: str = "fl
     return new.unionByName(roots), plan
 
 
-def canonical(leaves: DataFrame, threshold: float = 0.0, bound: str = "flat", max_rounds: int = 64) -> DataFrame:
+def canonical(leaves: DataFrame, threshold: float = 0.0, bound: str = "flat") -> DataFrame:
     """Rounds until nothing changes: leaves with ``discarded``, the L1 of all rounds, by tree.
 
-    A tree needs no more rounds than its depth times its dimensions; each round's leaves are checkpointed.
+    Each round with a change takes a dimension from a node, so rounds end, after as many at most as a tree has
+    dimensions and depths. Only trees that the last round has changed are looked at again.
     """
-    now = leaves.select("tree_id", "path", "refs", "value")
-    lost = None
-    for _ in range(max_rounds):
+    now = settled(leaves.select("tree_id", "path", "refs", "value"))
+    done, lost = None, None
+    while True:
         new = settled(coarsening_round(now, threshold, bound)[0])
-        part = new.groupBy("tree_id").agg(F.sum("discarded").alias("discarded"), F.max("changed").alias("changed"))
-        lost = part.select("tree_id", "discarded") if lost is None else lost.unionByName(part.select("tree_id", "discarded"))
-        now = new.select("tree_id", "path", "refs", "value")
-        if part.filter("changed").isEmpty():
+        part = settled(new.groupBy("tree_id").agg(F.sum("discarded").alias("discarded"), F.max("changed").alias("changed")))
+        gone = part.select("tree_id", "discarded")
+        lost = gone if lost is None else lost.unionByName(gone)
+        changed = part.filter("changed").select("tree_id")
+        new = new.select("tree_id", "path", "refs", "value")
+        finished = new.join(part.filter("not changed").select("tree_id"), "tree_id", "left_semi")
+        done = finished if done is None else done.unionByName(finished)
+        if changed.isEmpty():
             break
+        now = new.join(changed, "tree_id", "left_semi")
     total = lost.groupBy("tree_id").agg(F.sum("discarded").alias("discarded"))
-    return now.join(total, "tree_id")
+    return done.join(total, "tree_id")
+
+
+def lineage(leaves: DataFrame, threshold: float, bound: str = "flat", partial: bool = True) -> DataFrame:
+    """(tree_id, path, new_path): for every leaf the leaf of the next round that its region is in."""
+    plan = decisions(leaves, threshold, bound, partial)
+    keep = F.col("ref") - F.col("give")
+    moved = plan.select("tree_id", "up", "ref", "give", keep.alias("keep"), F.explode("kids").alias("kid"))
+    slot = paths.project(F.col("kid.slot"), F.col("ref"), F.col("keep"))
+    new = F.when(F.col("give") == 0, F.col("kid.path")).when(F.col("keep") == 0, F.col("up")).otherwise(F.concat("up", slot.cast("string")))
+    roots = leaves.filter(F.size("refs") == 0).select("tree_id", "path", F.col("path").alias("new_path"))
+    return moved.select("tree_id", F.col("kid.path").alias("path"), new.alias("new_path")).unionByName(roots)
 
 
 def adaptive(cells: DataFrame, coords: list[str], levels: int) -> DataFrame:

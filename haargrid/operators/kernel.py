@@ -181,7 +181,13 @@ def rows_of(t, path: str = "", refs: tuple[int, ...] = ()) -> list[tuple[str, li
     return [r for s, c in enumerate(t[1]) for r in rows_of(c, f"{path}{s}", (*refs, t[0]))]
 
 
-SCHEDULERS = {"batched": downsplit, "decomposed": decomposed, "normalize": lambda t, *_: (normalize(t), 0.0)}
+def push_and_back(t, *_):
+    """Pushes the best dimension of the root down and normalises: the tree as it was."""
+    return (normalize(push(t, best_dim(t))) if not isinstance(t, float) and t[0].bit_count() > 1 else t), 0.0
+
+
+SCHEDULERS = {"batched": downsplit, "decomposed": decomposed, "normalize": lambda t, *_: (normalize(t), 0.0), "push_and_back": push_and_back}
+BOUNDS = ("flat", "per_volume")
 
 
 def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float = 0.0, bound: str = "flat", prefix: int = 0) -> DataFrame:
@@ -191,6 +197,8 @@ def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float
     there; seams between the parts are coarsened by ``coarsen.canonical`` only. Leaves above
     the cut stay as they are.
     """
+    if bound not in BOUNDS:
+        raise ValueError(f"unknown bound {bound!r}; there are {BOUNDS}")
     run = SCHEDULERS[scheduler]
     schema = leaves.select("tree_id", "path", "refs", "value", F.lit(0.0).alias("discarded")).schema
 

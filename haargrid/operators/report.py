@@ -90,3 +90,17 @@ def slice_of(items: DataFrame, order: str, i: int, n: int) -> DataFrame:
     row = F.col("row") + F.create_map(*offsets)[F.col("part")].cast("long")
     lo, hi = round(i * total / n), round((i + 1) * total / n)
     return ranged.withColumn("row", row).filter((F.col("row") >= lo) & (F.col("row") < hi)).drop("part")
+
+
+def unequal_cells(grids: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(first, second, cells): for each pair of reconstructions how many cells differ; missing cells count as such.
+
+    Cells of all grids meet in one shuffle, so a further grid costs no further joins.
+    """
+    from functools import reduce
+
+    names = sorted(grids)
+    rows = reduce(DataFrame.unionByName, [grids[n].select(*keys, F.lit(n).alias("of"), F.col("value").cast("double").alias("value")) for n in names])
+    wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("of") == n, F.col("value"))).alias(n) for n in names])
+    pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (~F.col(a).eqNullSafe(F.col(b))).alias("differs")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return wide.select(F.inline(F.array(*pairs))).groupBy("first", "second").agg(F.count_if("differs").alias("cells"))

@@ -67,9 +67,22 @@ def sweep_folders(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(p.alias("folder"), kinds.alias("kind")).filter("folder != '' and kind is not null").groupBy("folder").agg(F.count_distinct("kind").alias("n")).filter("n = 3").select("folder", F.regexp_extract("folder", "^thr_(.*)$", 1).try_cast("double").alias("threshold")).orderBy("folder")
 
 
+def write_metadata(runs: DataFrame, path: str) -> None:
+    """Run metadata as JSON, an object for each run: bounding box, levels, levels of the partition grid, partitions."""
+    runs.write.mode("overwrite").json(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report that replaces an earlier one: numbers without decimals, nan where there is none."""
+    numbers = {f.name for f in rows.schema if f.dataType.typeName() in ("double", "float")}
+    rows.select(*[F.when(F.isnan(c), None).otherwise(F.format_string("%.0f", F.col(c))).alias(c) if c in numbers else F.col(c) for c in rows.columns]).select(
+        *[F.coalesce(F.when(F.col(c) != "null", F.col(c)), F.lit("nan")).alias(c) if c in numbers else F.col(c) for c in rows.columns]
+    ).write.mode("overwrite").option("header", True).option("nullValue", "nan").csv(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Run metadata: bounding box, levels of a dimension, levels of the partition grid, partitions."""
-    return spark.read.schema("bbox_min array<int>, per_dim_levels array<int>, grid_levels array<int>, n_partitions int").option("multiLine", True).json(path)
+    return spark.read.schema("bbox_min array<int>, per_dim_levels array<int>, grid_levels array<int>, n_partitions int").json(path)
 
 
 def read_gray(spark: SparkSession, path: str) -> DataFrame:

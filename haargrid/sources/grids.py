@@ -30,17 +30,17 @@ def vector_cells(vectors: DataFrame, coords: list[str], levels: int) -> DataFram
     return flat.select("tree_id", *[F.shiftright("i", n * d).bitwiseAND(mask).alias(c) for d, c in enumerate(coords)], F.col("value").cast("double").alias("value"))
 
 
-def order_raster(lineitem: DataFrame, levels: int = 3) -> DataFrame:
-    """Average quantity by part and supplier bins, a raster for each return flag."""
+def order_raster(lineitem: DataFrame, levels: int = 2) -> DataFrame:
+    """Average quantity by part and order bins, a raster for each supplier."""
     side = 1 << levels
-    bins = lineitem.groupBy(F.col("l_returnflag").alias("tree_id"), (F.col("l_partkey") % side).alias("x"), (F.col("l_suppkey") % side).alias("y"))
+    bins = lineitem.groupBy(F.col("l_suppkey").alias("tree_id"), (F.col("l_partkey") % side).alias("x"), (F.col("l_orderkey") % side).alias("y"))
     return bins.agg(F.avg("l_quantity").alias("value"))
 
 
 def event_voxels(events: DataFrame) -> DataFrame:
-    """Sparse voxels of the number of events: user bin, hour, type; a grid for each tenth of the users."""
+    """Sparse voxels of the number of events: day, hour, type; a grid for each user."""
     kind = (F.length("event_type") % 8).cast("long")
-    return events.groupBy((F.col("user_id") % 10).alias("grid"), (F.col("user_id") % 8).alias("x"), (F.hour("ts") % 8).cast("long").alias("y"), kind.alias("z")).agg(F.count("*").cast("double").alias("value"))
+    return events.groupBy(F.col("user_id").alias("grid"), (F.dayofmonth("ts") % 8).cast("long").alias("x"), (F.hour("ts") % 8).cast("long").alias("y"), kind.alias("z")).agg(F.count("*").cast("double").alias("value"))
 
 
 def padded(voxels: DataFrame, side: int, background: float = 0.0) -> DataFrame:
@@ -51,6 +51,16 @@ def padded(voxels: DataFrame, side: int, background: float = 0.0) -> DataFrame:
     return cells.join(voxels, ["grid", "x", "y", "z"], "left").withColumn("value", F.coalesce("value", F.lit(background)))
 
 
+def unit_cube(points: DataFrame, key: str) -> DataFrame:
+    """Points of each thing moved to the origin and divided by its longest side; a thing of one point stays at the origin."""
+    box = points.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))])
+    side = F.greatest(*[F.col(f"high_{c}") - F.col(f"low_{c}") for c in "xyz"])
+    placed = points.join(box.withColumn("side", side), key)
+    for c in "xyz":
+        placed = placed.withColumn(c, F.coalesce(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col("side")), F.lit(0.0)))
+    return placed.select(*points.columns)
+
+
 def named_grid(voxels: DataFrame, name) -> DataFrame:
     """The voxels of one grid; a name that no voxel has is an error that lists some names."""
     found = voxels.filter(F.col("grid") == name)

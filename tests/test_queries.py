@@ -5,9 +5,11 @@ import os
 
 import pytest
 
-from haargrid.jobs.oracle import ORACLE_SQL
+from haargrid.jobs import oracle, studies, studies_sql  # noqa: F401
 from haargrid.jobs.queries import QUERIES
 
+ORACLE_SQL = oracle.ORACLE_SQL | studies_sql.ORACLE_SQL
+
 
 def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
