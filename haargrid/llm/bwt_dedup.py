@@ -33,9 +33,11 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Documents of a block on average; bytes from which on a block is cut; blocks from which on an anchor's
 #: contexts are sent in parts (of FINE places of the anchor) that spread over more receivers.
-BLOCK, BYTES, HOT, FINE = 1024, 4 << 20, 256, 8
+BLOCK, BYTES, HOT, FINE = 1024, 4 << 20, 32, 8
 #: Bytes that are hashed together (they fit a processor's cache), a longer text in parts; and of contexts merged together.
 TOGETHER, MERGED = 1 << 17, 1 << 18
+#: Contexts of whole groups that a receiver works on together.
+ENTRIES = 1 << 15
 BASE = 0x9E3779B97F4A7C15
 _POWER = [np.uint64(pow(BASE, k, 1 << 64)) for k in range(GRAM + 1)]
 
@@ -53,6 +55,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h16[: len(data) - GRAM + 1] * _POWER[4] + h4[16 : 16 + len(data) - GRAM + 1])
 
 
+class Grams:
+    """``gram_hashes`` of some places only, computed when they are asked for."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
+        for k in range(GRAM):
+            out = out * _POWER[1] + (self.data[places + k].astype(np.uint64) + np.uint64(1))
+        return mix(out)
+
+
 def runs_of(texts: list[bytes]):
     """(buffer, its hashes, text, anchor, first string, last string) of all runs of strings with one anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -143,11 +158,12 @@ def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.nd
         rep = one[of[more]]
         other = size[more] != size[rep]
         same = more[~other]
-        if len(same):
-            rep = rep[~other]
-            n = size[same]
-            unequal = data[ranges(start[same], start[same] + n)] != data[ranges(start[rep], start[rep] + n)]
-            other[np.flatnonzero(~other)[np.logical_or.reduceat(unequal, np.cumsum(n) - n)]] = True
+        rep, at = rep[~other], np.flatnonzero(~other)
+        for x in range(0, len(same), 1 << 13):
+            s, r = same[x : x + (1 << 13)], rep[x : x + (1 << 13)]
+            n = size[s]
+            unequal = data[ranges(start[s], start[s] + n)] != data[ranges(start[r], start[r] + n)]
+            other[at[x : x + len(s)][np.logical_or.reduceat(unequal, np.cumsum(n) - n)]] = True
         if not other.any():
             return one, of
         key = key.copy()  # different bytes under one key: they get another
@@ -473,6 +489,29 @@ def answers_of(data: np.ndarray, h: np.ndarray, a: np.ndarray, lo: np.ndarray, h
     return least, begin[of]
 
 
+def _later_runs(data, h, a, lo, hi, w, doc, most, row, own):
+    """By block: keys, runs of strings and their smallest document, of the contexts that a larger document has."""
+    a, lo, hi, most, row = a[own], lo[own], hi[own], most[own], row[own]
+    least, begin = answers_of(data, h, a, lo, hi, w, doc[own], row)
+    key = context_key(h, shared_key(h, a, lo, hi, w), lo, hi)
+    for x in range(0, len(own), 1 << 13):
+        n = (hi - lo + 1)[x : x + (1 << 13)]
+        entry, string = np.repeat(np.arange(x, x + len(n)), n), ranges(np.zeros_like(n), n)
+        value = least[ranges(begin[x : x + len(n)], begin[x : x + len(n)] + n)]
+        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (entry[1:] != entry[:-1])])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:] - 1, len(fresh) - 1)
+        later = value[first] < most[entry[first]]
+        first, last = first[later], last[later]
+        e = entry[first]
+        order = np.argsort(row[e], kind="stable")
+        block = row[e][order]
+        cols = key[e][order], string[first][order], string[last][order], value[first][order]
+        used, start = np.unique(block, return_index=True)
+        for b, i, j in zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(block)] if len(used) else [], strict=True):
+            yield b, [c[i:j] for c in cols]
+
+
 def _merged(batches):
     """For each block and context the runs of strings that a smaller document has, with that document."""
     z = zstandard.ZstdDecompressor()
@@ -488,33 +527,26 @@ def _merged(batches):
     row = np.concatenate(row)
     data = np.frombuffer(b"".join(raw) + bytes(LENGTH), np.uint8)
     del raw, about
-    h = gram_hashes(data)
+    h = Grams(data)
     lo = np.cumsum(size) - size
-    hi = lo + size - LENGTH
-    out: dict[int, list] = {}
+    hi, a = lo + size - LENGTH, lo + at
+    group = np.empty(len(lo), np.uint64)
     for w in np.unique(width).tolist():
-        own = np.flatnonzero(width == w)
-        a, x, y, m = lo[own] + at[own], lo[own], hi[own], most[own]
-        least, begin = answers_of(data, h, a, x, y, w, doc[own], row[own])
-        key = context_key(h, shared_key(h, a, x, y, w), x, y)
-        n = y - x + 1
-        entry = np.repeat(np.arange(len(own)), n)
-        value, string = least[ranges(begin, begin + n)], ranges(np.zeros_like(n), n)
-        # runs of strings with the same document, of entries that have a larger one
-        fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (entry[1:] != entry[:-1])])
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:] - 1, len(fresh) - 1)
-        later = value[first] < m[entry[first]]
-        first, last = first[later], last[later]
-        e = entry[first]
-        order = np.argsort(row[own][e], kind="stable")
-        block = row[own][e][order]
-        cols = key[e][order], string[first][order], string[last][order], value[first][order]
-        used, begin = np.unique(block, return_index=True)
-        if not len(used):
-            continue
-        for b, i, j in zip(used.tolist(), begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
-            out.setdefault(blocks[b], []).append([c[i:j] for c in cols])
+        own = width == w
+        group[own] = shared_key(h, a[own], lo[own], hi[own], w)
+    order = np.lexsort((group, width))
+    cut = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (width[order][1:] != width[order][:-1])]))
+    out: dict[int, list] = {}
+    begin = 0
+    while begin < len(order):
+        # whole groups of one width, ENTRIES or more
+        k = int(np.searchsorted(cut, begin + ENTRIES))
+        end = int(cut[k]) if k < len(cut) else len(order)
+        w = int(width[order[begin]])
+        end = min(end, int(np.searchsorted(width[order], w, "right")))
+        for block, runs in _later_runs(data, h, a, lo, hi, w, doc, most, row, order[begin:end]):
+            out.setdefault(blocks[block], []).append(runs)
+        begin = end
     rows = [(b, *(_pack(np.concatenate(c), t) for c, t in zip(zip(*parts, strict=True), ("<u8", "u1", "u1", "<i8"), strict=True))) for b, parts in out.items()]
     for i in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "keys", "from_", "to_", "doc"])
@@ -540,6 +572,8 @@ def _cut(docs: pa.Table, found: pa.Table) -> pa.Table:
             mine = np.array([ids[r[0]] if ids[r[0]] is not None else -1 for r in rows], np.int64)[owner[back]]
             later = doc[hit] < mine
             back, hit = back[later], hit[later]
+            if not len(back):
+                continue
             start = np.cumsum([0, *(len(r[2]) for r in rows)])[:-1]
             at = lo[back] - start[owner[back]] + np.array([r[1] for r in rows])[owner[back]]
             row = np.array([r[0] for r in rows])[owner[back]]
