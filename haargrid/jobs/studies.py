@@ -137,13 +137,12 @@ def sweep_rows(spark, sf_dir):
 @query
 def stats_rows(spark, sf_dir):
     """Statistics of each vector at levels 2 to 6: a level's cells are means of the finer ones."""
-    every = None
-    for level in range(2, 7):
-        cells = vectors(spark, sf_dir, 1).groupBy("tree_id", F.substr("path", F.lit(1), F.lit(level)).alias("path")).agg(F.avg("value").alias("value"))
-        part = cells.select(F.struct(F.col("tree_id").alias("thingi_id"), F.lit(level).alias("level")).alias("tree_id"), "path", F.array_repeat(F.lit(1), level).alias("refs"), "value")
-        every = part if every is None else every.unionByName(part)
-    every = settled(every)
-    return sweeps.stats_rows(every, line_voxels(every.withColumn("value", F.lit(1.0))), 0.05, 1)
+    fine = vectors(spark, sf_dir, 1).select("tree_id", "path", "value", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("level"))
+    tree = F.col("tree_id") * 8 + F.col("level")
+    cells = fine.groupBy(tree.alias("tree_id"), "level", F.substr("path", F.lit(1), F.col("level")).alias("path")).agg(F.avg("value").alias("value"))
+    every = settled(cells.select("tree_id", "path", F.array_repeat(F.lit(1), F.col("level")).alias("refs"), "value"))
+    things = every.select("tree_id").distinct().select("tree_id", F.floor(F.col("tree_id") / 8).alias("thingi_id"), (F.col("tree_id") % 8).cast("int").alias("level"))
+    return sweeps.stats_rows(every, line_voxels(every.withColumn("value", F.lit(1.0))), things, 0.05, 1)
 
 
 @query

@@ -107,7 +107,7 @@ ORACLE_SQL: dict[str, str] = {
     "decomposed_lines": ONE + f" select tree_id, path, {r6('v')} as value from can",
     "partitioned_lines": ONE + f" select tree_id, path, {r6('v')} as value from can",
     "cascade_lines": "with " + canonical("0.01, 0.05, 0.2") + " select tree_id, threshold, count(*) as boxes from can group by all",
-    "normalize_alternating": f"with {vectors(2)} select tree_id, path, {r6('v')} as value, '333' as refs from leaf",
+    "normalize_alternating": f"with {vectors(1)} select tree_id, ((i >> 4) & 3)::varchar || ((i >> 2) & 3)::varchar || (i & 3)::varchar as path, {r6('v')} as value, '333' as refs from emb",
     "push_and_normalize": f"with {vectors(3)} select tree_id, path, {r6('v')} as value from leaf",
     "lineage_round": DETAIL + """, go as (select tree_id, path from low group by all having max(abs(c)) <= 0.06 + 1e-12)
  select leaf.tree_id, leaf.path, coalesce(go.path, leaf.path) as new_path from leaf left join go on go.tree_id = leaf.tree_id and go.path = substr(leaf.path, 1, 1)""",

@@ -109,8 +109,9 @@ def sweep_rows(leaves: DataFrame, thresholds: list[float], dims: int, depth: int
     return files.conform(rows.withColumn("ratio_raw_vs_vdb", F.try_divide(F.col("raw_total_bytes").cast("double"), F.col("vdb_orig_file_bytes"))), files.SWEEP)
 
 
-def stats_rows(leaves: DataFrame, voxels: DataFrame, threshold: float, dims: int) -> DataFrame:
-    """A row of the 33 columns for each thing and level; ``tree_id`` is a struct of both, ``voxels.grid`` too. Values are single bits."""
+def stats_rows(leaves: DataFrame, voxels: DataFrame, things: DataFrame, threshold: float, dims: int) -> DataFrame:
+    """A row of the 33 columns for each thing and level: ``things`` has (tree_id, thingi_id, level). ``voxels.grid`` is a tree's id too.
+    Values are single bits."""
     keys = ["threshold", "variant"]
     size = sizes(stages(leaves, [threshold]), keys, dims)
     coeffs, desc = _bytes("boxes"), _bytes("topo_bits")
@@ -122,8 +123,7 @@ def stats_rows(leaves: DataFrame, voxels: DataFrame, threshold: float, dims: int
         out = part if out is None else out.join(part, "tree_id", "left")
     vdb = voxel_summary(voxels, 1)
     vdb = vdb.select(F.col("grid").alias("tree_id"), *[F.col(c).alias(f"vdb_{c}") for c in vdb.columns[1:]])
-    rows = out.join(vdb, "tree_id", "left").withColumn("thingi_id", F.col("tree_id.thingi_id")).withColumn("level", F.col("tree_id.level"))
-    return files.conform(rows, files.STATS)
+    return files.conform(things.join(out, "tree_id").join(vdb, "tree_id", "left"), files.STATS)
 
 
 # stored stages

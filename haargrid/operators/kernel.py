@@ -1,15 +1,16 @@
 """Restructuring compression of single trees: push-down of dimensions, coarsening, normalising.
 
 What a plain aggregation can't express, path rewriting over several levels, runs on one
-tree at a time inside ``applyInPandas``. A tree is a float (leaf) or (ref, children), the
+tree at a time inside ``mapInArrow``, many small trees in a batch. A tree is a float (leaf) or (ref, children), the
 children in slot order. Large trees are cut by a path prefix and composed again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,18 +201,30 @@ def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float
     if bound not in BOUNDS:
         raise ValueError(f"unknown bound {bound!r}; there are {BOUNDS}")
     run = SCHEDULERS[scheduler]
-    schema = leaves.select("tree_id", "path", "refs", "value", F.lit(0.0).alias("discarded")).schema
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("path")
-        cut = pdf["top"].iloc[0]
-        n = len(cut)
-        above = list(pdf["refs"].iloc[0][:n])
-        volume = 2.0 ** -sum(int(r).bit_count() for r in above)
-        tree = tree_of([(p[n:], list(r[n:]), v) for p, r, v in zip(pdf["path"], pdf["refs"], pdf["value"], strict=True)])
-        tree, lost = run(tree, threshold, bound)
-        out = rows_of(tree)
-        return pd.DataFrame({"tree_id": pdf["tree_id"].iloc[0], "path": [cut + p for p, _, _ in out], "refs": [above + r for _, r, _ in out], "value": [v for _, _, v in out], "discarded": [lost * volume] + [0.0] * (len(out) - 1)})
-
-    top = leaves.select("tree_id", "path", "refs", "value", F.substr("path", F.lit(1), F.lit(prefix)).alias("top"))
-    return top.groupBy("tree_id", "top").applyInPandas(f, schema)
+    fields = leaves.select("tree_id", "path", "refs", "value", F.lit(0.0).alias("discarded")).schema
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        """Rows of all batches in order: a tree's part is never split, however batches are cut."""
+        for b in batches:
+            yield from zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, out = to_arrow_schema(fields), []
+        for (tree_id, cut), rows in groupby(parts(batches), key=lambda r: (r[0], r[1])):
+            rows = list(rows)
+            n = len(cut)
+            above = rows[0][3][:n]
+            volume = 2.0 ** -sum(int(r).bit_count() for r in above)
+            tree, lost = run(tree_of([(p[n:], refs[n:], v) for _, _, p, refs, v in rows]), threshold, bound)
+            for k, (p, refs, v) in enumerate(rows_of(tree)):
+                out.append((tree_id, cut + p, above + refs, v, lost * volume if k == 0 else 0.0))
+            if len(out) > 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    top = leaves.select("tree_id", F.substr("path", F.lit(1), F.lit(prefix)).alias("top"), "path", "refs", "value")
+    return top.repartition("tree_id", "top").sortWithinPartitions("tree_id", "top", "path").mapInArrow(f, fields)
