@@ -55,4 +55,22 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings)}
-ORACLE_SQL: dict[str, str] = {}
+_COMPONENTS = """both_ as (select a, b from link union all select b, a from link),
+reach as (select a as id, a as c from both_ union select both_.b, reach.c from reach join both_ on both_.a = reach.id),
+component as (select id, min(c) as c from reach group by id)"""
+#: Pairs by a self-join, components by recursion; the others are compared with libraries and plain versions in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(a) >= 3 then list_transform(range(1, len(a) - 1), lambda i: array_to_string(a[i:i + 2], ' ')) when len(a) > 0 then [array_to_string(a, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pair as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by all),
+link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 90 * (na.n + nb.n - k)), """
+    + _COMPONENTS
+    + " select documents.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c, documents.doc_id) as component_id from documents left join n using (doc_id) left join component on id = documents.doc_id",
+    "op6_near_vectors": """with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(embedding, lambda e: e != 0)) > 0),
+link as (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id < q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.98), """
+    + _COMPONENTS
+    + """, degree as (select a as id, count(*) as n from both_ group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept from embeddings left join component on component.id = vec_id left join degree on degree.id = vec_id""",
+}
