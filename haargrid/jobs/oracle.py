@@ -23,7 +23,7 @@ def r6(c: str) -> str:
     return f"round({c}, 6) + 0.0"
 
 
-RASTER = """cells as (select l_suppkey as tree_id, l_partkey % 4 as x, l_orderkey % 4 as y, avg(l_quantity) as v from lineitem group by all)"""
+RASTER = """cells as (select l_suppkey as tree_id, l_partkey % 4 as x, l_orderkey % 4 as y, sum(l_quantity) as v from lineitem group by all)"""
 RASTER_LEAF = RASTER + ", leaf as (select tree_id, " + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1))::varchar" for b in (1, 0)) + " as path, v from cells)"
 VOXELS = "vox as (select user_id as grid, (day(ts) % 8)::bigint as x, (hour(ts) % 8)::bigint as y, (length(event_type) % 8)::bigint as z, count(*)::double as v from events group by all)"
 CELLS = VOXELS + """, box as (select grid, x, y, z from (select distinct grid from vox), (select unnest(range(0, 8)) as x), (select unnest(range(0, 8)) as y), (select unnest(range(0, 8)) as z)),
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "whatif_thresholds": WHATIF,
     "rasterize": f"with {TREE} select tree_id, x, y, z, v as value from cell",
     "sparse_fill": f"with {TREE} select tree_id, x, y, z, v as value from cell where v != 0",
-    "occupancy_threshold": f"with {RASTER} select tree_id, (" + " | ".join(f"(((x >> {b}) & 1) << {2 * b}) | (((y >> {b}) & 1) << {2 * b + 1})" for b in range(2)) + ")::bigint as m, v / 51.0::double >= 0.5 as at_least, v / 51.0::double > 0.5 as above from cells",
+    "occupancy_threshold": f"with {RASTER} select tree_id, (" + " | ".join(f"(((x >> {b}) & 1) << {2 * b}) | (((y >> {b}) & 1) << {2 * b + 1})" for b in range(2)) + ")::bigint as m, v / 2000.0::double >= 0.5 as at_least, v / 2000.0::double > 0.5 as above from cells",
     "analytic_shapes": "select l_returnflag, " + ", ".join(f"count(*) filter ({f}) as {n}" for n, f in inside(*POINTS).items()) + " from lineitem group by l_returnflag",
     "error_norms": f"with {TWO} select grid, {r6('max(abs(a - b))')} as linf_error, {r6('sum(abs(a - b)) / 512')} as l1_error, {r6('sqrt(sum((a - b) * (a - b)) / 512)')} as l2_error, {r6('max(abs(a))')} as linf_sol, {r6('sum(abs(a)) / 512')} as l1_sol, {r6('sqrt(sum(a * a) / 512)')} as l2_sol from pair group by grid",
     "max_error": DETAIL + f""", go as (select tree_id, path from low group by all having max(abs(c)) <= 0.06 + 1e-12), mean as (select tree_id, path, c as m from coef semi join go using (tree_id, path) where j = 0)

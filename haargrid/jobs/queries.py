@@ -271,9 +271,9 @@ def sparse_fill(spark, sf_dir):
 
 @query
 def occupancy_threshold(spark, sf_dir):
-    """Cells of the orders' raster from a half of its mean on, and above it, in Morton order."""
+    """Cells of the orders' raster that count as occupied, from one half on or only above it, in Morton order."""
     cells = grids.order_raster(grids.read(spark, sf_dir, "lineitem"))
-    half = F.col("value") / 51.0
+    half = F.col("value") / 2000.0
     return cells.select("tree_id", paths.morton([F.col("x"), F.col("y")], 2).alias("m"), (half >= 0.5).alias("at_least"), (half > 0.5).alias("above"))
 
 

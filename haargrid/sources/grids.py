@@ -31,10 +31,10 @@ def vector_cells(vectors: DataFrame, coords: list[str], levels: int) -> DataFram
 
 
 def order_raster(lineitem: DataFrame, levels: int = 2) -> DataFrame:
-    """Average quantity by part and order bins, a raster for each supplier."""
+    """Quantity by part and order bins, a raster for each supplier."""
     side = 1 << levels
     bins = lineitem.groupBy(F.col("l_suppkey").alias("tree_id"), (F.col("l_partkey") % side).alias("x"), (F.col("l_orderkey") % side).alias("y"))
-    return bins.agg(F.avg("l_quantity").alias("value"))
+    return bins.agg(F.sum("l_quantity").alias("value"))
 
 
 def event_voxels(events: DataFrame) -> DataFrame:
