@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haargrid.llm import bpe, bwt_dedup, embed_dedup, jaccard_join, langid, line_dedup, media, packing, pii, token_counts
+from haargrid.llm import bpe, bwt_dedup, embed_dedup, jaccard_join, langid, line_dedup, media, merkle, packing, pii, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,10 +54,69 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings, op12_merkle_manifest)}
 _COMPONENTS = """both_ as (select a, b from link union all select b, a from link),
 reach as (select a as id, a as c from both_ union select both_.b, reach.c from reach join both_ on both_.a = reach.id),
 component as (select id, min(c) as c from reach group by id)"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32(codes: str) -> str:
+    """The crc32 of a list of bytes, which this engine has no function for."""
+    step = f"xor(c >> 8, ({_crc_table()}::bigint[])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, 4294967295::bigint), 4294967295)"
+
+
+#: Levels that the SQL of the manifest has: sources of up to 16 ** 5 documents, as many sources.
+_LEVELS = 5
+
+
+def _levels(name: str, start: str) -> str:
+    """{name}0 .. {name}5: nodes (key, i, h, n) of trees of width 16 over ``start``; {name}_path: for each of its rows the siblings (l1, r1 ..) of each level."""
+    side = lambda a, b: f"coalesce(string_agg(h, '') over (partition by key, i // 16 order by i rows between {a} and {b}), '')"
+    out = [f"{name}0 as ({start})"]
+    for k in range(1, _LEVELS + 1):
+        grouped = f"max(n) > {16 ** (k - 1)}"
+        out.append(f"{name}{k} as (select key, i // 16 as i, case when {grouped} then sha256(string_agg(h, '' order by i)) else max(h) end as h, max(n) as n from {name}{k - 1} group by key, i // 16)")
+        out.append(f"{name}s{k} as (select key, i, n > {16 ** (k - 1)} as up{k}, {side('unbounded preceding', '1 preceding')} as l{k}, {side('1 following', 'unbounded following')} as r{k} from {name}{k - 1})")
+    joins = " ".join(f"join {name}s{k} on {name}s{k}.key = {name}0.key and {name}s{k}.i = {name}0.i // {16 ** (k - 1)}" for k in range(1, _LEVELS + 1))
+    columns = ", ".join(f"{c}{k}" for k in range(1, _LEVELS + 1) for c in ("up", "l", "r"))
+    out.append(f"{name}_path as (select {name}0.*, {columns} from {name}0 {joins})")
+    return ", ".join(out)
+
+
+def _manifest() -> str:
+    framed = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    steps = range(1, _LEVELS + 1)
+    proof = " || ".join(f"case when {p}.up{k} then {p}.l{k} || {p}.r{k} else '' end" for p in ("d", "s") for k in steps)
+    # each level's folding is a table of its own, or the expression would double with each
+    chain = [f"f0 as (select d.doc_id, d.h as leaf, s.h as subroot, coalesce(d.tampered, d.h) as f0, sha256({proof}) as proof_sha256, " + ", ".join(f"{p}.{c}{k} as {p}_{c}{k}" for p in ("d", "s") for k in steps for c in ("up", "l", "r")) + " from d_path d join s_path s on s.source_key = d.key)"]
+    for i, (p, k) in enumerate((p, k) for p in ("d", "s") for k in steps):
+        chain.append(f"f{i + 1} as (select * replace (case when {p}_up{k} then sha256({p}_l{k} || f0 || {p}_r{k}) else f0 end as f0) from f{i})")
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rank = "(row_number() over (partition by key order by {o}) - 1)::bigint as i, count(*) over (partition by key) as n"
+    return (
+        f"with leaf as (select doc_id, coalesce('=' || source, '') as key, {leaf('text')} as h, case when {_crc32('list_transform(string_split(doc_id::varchar, {e}), lambda x: ascii(x)::bigint)').format(e=chr(39) * 2)} % 5 = 0 then {leaf(text)} end as tampered from documents), "
+        + _levels("d", "select *, " + rank.format(o="doc_id nulls first, h") + " from leaf")
+        + f", {_levels('s', 'select *, ' + rank.format(o='source_key') + f' from (select distinct 0 as key, key as source_key, h from d{_LEVELS})')}, "
+        + ", ".join(chain)
+        + f" select doc_id, leaf, subroot, h as root, proof_sha256, f0 as folded_root, f0 = h as verified from f{2 * _LEVELS}, s{_LEVELS}"
+    )
+
+
 #: Pairs by a self-join, components by recursion; the others are compared with libraries and plain versions in tests.
 ORACLE_SQL: dict[str, str] = {
     "op10_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
@@ -73,4 +132,5 @@ link as (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.la
     + _COMPONENTS
     + """, degree as (select a as id, count(*) as n from both_ group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept from embeddings left join component on component.id = vec_id left join degree on degree.id = vec_id""",
+    "op12_merkle_manifest": _manifest(),
 }
