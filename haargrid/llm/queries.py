@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haargrid.llm import bpe, bwt_dedup, embed_dedup, jaccard_join, langid, line_dedup, media, merkle, packing, pii, token_counts
+from haargrid.llm import bpe, bwt_dedup, embed_dedup, jaccard_join, langid, license_scan, line_dedup, media, merkle, packing, pii, spelling, token_counts
 from haargrid.llm.rows import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings, op12_merkle_manifest)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(license_scan.scan_documents(documents(spark, sf_dir)))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_language_id, op5_personal_data, op8_byte_bpe, op9_flac, op10_jaccard_join, op7_line_dedup, op6_near_vectors, op4_repeated_strings, op12_merkle_manifest, op11_license_scan, op13_spelling_variants)}
 _COMPONENTS = """both_ as (select a, b from link union all select b, a from link),
 reach as (select a as id, a as c from both_ union select both_.b, reach.c from reach join both_ on both_.a = reach.id),
 component as (select id, min(c) as c from reach group by id)"""
@@ -117,6 +125,22 @@ def _manifest() -> str:
     )
 
 
+def _spelling() -> str:
+    codes = "flatten(list_transform(string_split(doc_id::varchar || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end))"
+    return f"""with recursive t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{5,}}')) as run from documents),
+r as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from t group by all),
+h as (select run, n, {_crc32(codes)} as h from r),
+w as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+v as (select word, sum(n)::bigint as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select *, unnest(range(1, length(word) + 1)) as i from v)),
+less as (select distinct cut.word, v.word as form, cut.n, v.n as form_n from cut join v on v.word = cut.rest),
+pair as (select a.word, b.word as form, a.n, b.n as form_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word != b.word union all select * from less union all select form, word, form_n, n from less),
+best as (select word, n, form, form_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by form_n desc, form) as k from pair),
+led as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * v.n then form end as form, case when form_n >= 2 * v.n then form_n end as form_n from v left join best on best.word = v.word and k = 1),
+walk as (select word, word as root, form as next from led union all select walk.word, walk.next, led.form from walk join led on led.word = walk.next)
+select led.word, form, root, n, n_near, form_n from led join walk on walk.word = led.word and walk.next is null"""
+
+
 #: Pairs by a self-join, components by recursion; the others are compared with libraries and plain versions in tests.
 ORACLE_SQL: dict[str, str] = {
     "op10_jaccard_join": r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
@@ -133,4 +157,5 @@ link as (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.la
     + """, degree as (select a as id, count(*) as n from both_ group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept from embeddings left join component on component.id = vec_id left join degree on degree.id = vec_id""",
     "op12_merkle_manifest": _manifest(),
+    "op13_spelling_variants": _spelling(),
 }
