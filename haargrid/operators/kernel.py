@@ -109,9 +109,9 @@ def normalize(t):
 
 
 def best_dim(t) -> int:
-    """The dimension with the smallest detail of its own; ties go to the highest."""
+    """The dimension with the smallest detail of its own (to 12 decimals); ties go to the highest."""
     d, order = details(t), dims(t[0])
-    return min(((d[1 << i], -e) for i, e in enumerate(order)))[1] * -1
+    return min(((round(d[1 << i], 12), -e) for i, e in enumerate(order)))[1] * -1
 
 
 def _push_all(t):
