@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import groupby
 from math import log2
 
 import pandas as pd
@@ -40,9 +42,16 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-#: What a name is set to; fixed values: keys that are known by how they begin, and a private key's block.
-_VALUE = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{16,512})")
-_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,250}|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,2000})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+#: What a name is set to; fixed values: keys that are known by how they begin. No value has an upper bound; a run is entered at its start only.
+_VALUE = re.compile(r"[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.~-]{16,}+)")
+_KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)?"
+)
+#: Marks of a private key's block, and the lines of one that has no end.
+_BEGIN, _END = (re.compile(rf"-----{mark} [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----") for mark in ("BEGIN", "END"))
+_KEY_LINES = re.compile(r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{1,15}={1,2})?")
 _WORD = re.compile(r"[a-z-]+")
 #: Bits a character that a secret value has at least; words have letters only, so it has a digit and a letter too.
 ENTROPY = 3.0
@@ -105,6 +114,18 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _key_blocks(text: str):
+    """Private keys from their BEGIN to their END line; where another BEGIN or nothing follows, as far as lines of a key go."""
+    begins = list(_BEGIN.finditer(text))
+    ends = [m.end() for m in _END.finditer(text)] if begins else []
+    for m, after in zip(begins, [*(m.start() for m in begins[1:]), len(text)], strict=False):
+        k = bisect_left(ends, m.end())
+        if k < len(ends) and ends[k] <= after:
+            yield m.start(), ends[k]
+        else:
+            yield m.start(), _KEY_LINES.match(text, m.end(), after).end()
+
+
 def propose(text: str):
     """(kind, start, end) that passed its kind's validator."""
     for a, b in _emails(text):
@@ -125,6 +146,8 @@ def propose(text: str):
     for kind, p in (("national_id", _NATIONAL), ("local_phone", _LOCAL_PHONE)):
         for m in p.finditer(text):
             yield kind, m.start(), m.end()
+    for a, b in _key_blocks(text):
+        yield "key_block", a, b
     for m in _KNOWN.finditer(text):
         yield "known_secret", m.start(), m.end()
     for m in _VALUE.finditer(text):
@@ -133,23 +156,49 @@ def propose(text: str):
             yield "secret", m.start(1), m.end(1)
 
 
+class _Union:
+    """Spans as runs in order that don't meet."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, spans) -> None:
+        runs: list[list[int]] = []
+        for a, b in sorted([*zip(self.starts, self.ends, strict=True), *((s[1], s[2]) for s in spans)]):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+        self.starts, self.ends = [r[0] for r in runs], [r[1] for r in runs]
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """Spans with their scores, by kind as listed, then start.
 
     Base kinds stay at any score. An added kind stays if it reaches NEEDED and overlaps no
-    span that is kept already.
+    span that is kept already; a secret may overlap base kinds. Whole keys are spans, whatever their length.
     """
     kept: list[tuple[str, int, int, float]] = []
-    taken: list[tuple[int, int]] = []
-    for kind, a, b in propose(text):
-        if kind == "known_secret":
-            kind, near = "secret", ["key"]
-        else:
-            near = _WORD.findall(text[max(0, a - NEAR) : a].lower()) + _WORD.findall(text[b : b + NEAR].lower())
-        score = min(1.0, SCORE[kind] + BONUS * any(w in CONTEXT[kind] for w in near))
-        if kind in BASE or score >= NEEDED and not any(a < y and x < b for x, y in taken):
-            kept.append((kind, a, b, score))
-            taken.append((a, b))
+    # what is kept so far, all of it and what was added; a pattern's own matches don't overlap
+    every, added = _Union(), _Union()
+    for pattern, found in groupby(propose(text), key=lambda p: p[0]):
+        kind, new = "secret" if pattern in ("key_block", "known_secret") else pattern, []
+        # digits of a secret may look like a base kind; that doesn't save the rest of it
+        taken = added if kind == "secret" else every
+        for _, a, b in found:
+            near = ["key"] if kind != pattern else _WORD.findall(text[max(0, a - NEAR) : a].lower()) + _WORD.findall(text[b : b + NEAR].lower())
+            score = min(1.0, SCORE[kind] + BONUS * any(w in CONTEXT[kind] for w in near))
+            if kind in BASE or score >= NEEDED and not taken.meets(a, b):
+                new.append((kind, a, b, score))
+        kept += new
+        every.add(new)
+        if kind not in BASE:
+            added.add(new)
     order = {k: i for i, k in enumerate(BASE + MORE)}
     return sorted(kept, key=lambda s: (order[s[0]], s[1]))
 
