@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding of whole texts by overlapping chunks.
 
-A long text is dealt as chunks that overlap, rows of their own. Each chunk is split into pre-tokens
+Every text is cut into chunks that overlap. Each chunk is split into pre-tokens
 by itself; its first ones may be wrong, since it starts anywhere, but the chunk before has the
 same characters in its overlap. Neighbours are stitched where their pre-token boundaries agree again; what lies between
 two such places is a piece, which is encoded apart from the others. Only boundaries at which white space follows other text count:
-no pre-token of the pattern reaches over them, whatever stands before. Decoding concatenates the tokens' bytes.
+no pre-token of the pattern reaches over them, whatever stands before. A text of many chunks is first dealt out to tasks as
+large chunks, rows of their own, in the same way. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import functools
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from haargrid.llm.rows import BATCH, slices, small_batches, tidy, written
 
 #: Characters that the \\s of the pattern matches (Unicode White_Space).
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters of a text that is dealt as chunks, of a chunk, and of the overlap with the next.
-LONG, CHUNK, OVERLAP = 1 << 16, 1 << 15, 256
+#: Characters of a chunk, and of its overlap with the next.
+CHUNK, OVERLAP = 1024, 128
+#: The same of what is dealt out to tasks, and of texts for which that is done.
+LONG, DEALT, DEALT_OVERLAP = 1 << 16, 1 << 15, 256
 #: A run of white space from which on the library's pattern matcher isn't asked; every STEP characters, such a run is met twice.
 RUN, STEP = 4096, 1024
 _RUN, _TWO, _START = re.compile(f"[{WHITE}]{{{RUN},}}"), re.compile(f"[{WHITE}]{{2}}"), re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
@@ -55,18 +59,19 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def encode_text(enc, text: str) -> Iterator[list[int]]:
-    """Ids of a text, part after part. The library matches white space by recursion, so very long runs are taken out
-    by the pattern's own rule: all but the last character are one match, or all where the text ends."""
-    at = 0
+def encode_text(enc, text: str, encode=None) -> Iterator:
+    """Ids of a text, part after part, as ``encode`` (the library's lists, if not given) gives them. The library matches white
+    space by recursion, so very long runs are taken out by the pattern's own rule: all but the last character are one match,
+    or all where the text ends."""
+    at, encode = 0, encode or enc.encode_ordinary
     if len(text) > RUN and _TWO.search(text[::STEP]):
         for m in _RUN.finditer(text):
             if m.start() > at:
-                yield enc.encode_ordinary(text[at : m.start()])
+                yield encode(text[at : m.start()])
             at = m.end() - (m.end() < len(text))
             yield enc._encode_single_piece(text[m.start() : at].encode())
     if at < len(text):
-        yield enc.encode_ordinary(text[at:])
+        yield encode(text[at:])
 
 
 @functools.lru_cache(2)
@@ -76,9 +81,30 @@ def _matcher(pattern: str):
     return regex.compile(pattern)
 
 
-def boundaries(text: str, pattern: str) -> list[int]:
-    """Starts of the chunk's pre-tokens at which white space follows other text."""
-    return [m.start() for m in _matcher(pattern).finditer(text) if m.start() and _START.match(text, m.start())]
+def boundaries(text: str, pattern: str, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """Starts of a chunk's pre-tokens at which white space follows other text: those in its first ``overlap`` characters, and
+    those from ``chunk`` on, which the next chunk has too."""
+    starts = [m.start() for m in _matcher(pattern).finditer(text)]
+    fit = lambda some: [s for s in some if s and _START.match(text, s)]
+    return fit(starts[: bisect_left(starts, overlap)]), fit(starts[bisect_left(starts, chunk) :])
+
+
+def pieces(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
+    """A text cut where its chunks' boundaries agree; a chunk that never agrees with the next goes on in it."""
+    if len(text) <= chunk:
+        if text:
+            yield text
+        return
+    begin, tail = 0, []
+    for at in range(0, len(text), chunk):
+        head, after = boundaries(text[at : at + chunk + overlap], pattern, chunk, overlap)
+        both = {at + s for s in head}.intersection(tail)
+        if both:
+            cut = min(both)
+            yield text[begin:cut]
+            begin = cut
+        tail = [at + s for s in after]
+    yield text[begin:]
 
 
 @functools.lru_cache(2)
@@ -132,60 +158,74 @@ def _batched(rows, arrow, size_of):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, dealt: int = DEALT, dealt_overlap: int = DEALT_OVERLAP, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Ids of every whole text and the bytes that they decode to, as counts and digests.
 
     With ``keep_ids`` also the ids themselves. Null and empty texts have no tokens; null
-    ids and repeated rows are passed on. Texts of up to ``long`` characters (two chunks) are encoded where they are read;
-    a longer one becomes rows of chunks, of any number of tasks: only their boundaries, and then the
-    pieces' ids, meet by document. A pre-token that is longer than chunks is one piece.
+    ids and repeated rows are passed on. Chunks of texts of up to ``long`` characters stay in their task;
+    a longer one becomes rows of large chunks, of any number of tasks: only their boundaries, and then the
+    pieces' ids, meet by document, and a piece is cut into small chunks again. A pre-token that is longer than chunks is one piece.
     """
     doc = T.StructField("doc", docs.schema[id_col].dataType)
     answer = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
-    schema, arrow = _schema([doc, answer, "key long, k long, more boolean, part string"])
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
-    def first(batches):
-        """Answers of short texts, chunks of long ones (with the overlap)."""
-        from pyspark import TaskContext
+    def encoded_pieces(enc, text: str) -> Iterator[list[int]]:
+        for piece in pieces(text, pattern, chunk, overlap):
+            yield from encode_text(enc, piece)
+
+    def by_text(batches):
+        """(id, text), a few of a batch's texts at a time."""
+        for b in batches:
+            for x, y in slices(b.column(1)):
+                yield from zip(b.column(0).slice(x, y - x).to_pylist(), b.column(1).slice(x, y - x).to_pylist(), strict=True)
 
-        enc, key = encoding(path, pattern), TaskContext.get().partitionId() << 33
+    short_schema, short_arrow = _schema([T.StructField(id_col, doc.dataType), answer])
+
+    def in_task(batches):
+        """Answers of texts whose chunks stay together."""
+        enc = encoding(path, pattern)
 
         def rows():
-            nonlocal key
-            for b in batches:
-                for x, y in slices(b.column(1)):
-                    for i, text in zip(b.column(0).slice(x, y - x).to_pylist(), b.column(1).slice(x, y - x).to_pylist(), strict=True):
-                        text = text or ""
-                        if len(text) <= long:
-                            d, kept = _Digest(path, pattern), []
-                            for ids in encode_text(enc, text):
-                                d.add(ids)
-                                if keep_ids:
-                                    kept += ids
-                            yield i, *d.row(), kept if keep_ids else None, None, None, None, None
-                            continue
-                        key += 1
-                        for k, at in enumerate(range(0, len(text), chunk)):
-                            yield i, None, None, None, None, key, k, at + chunk < len(text), text[at : at + chunk + overlap]
-
-        yield from _batched(rows(), arrow, lambda r: 200 + len(r[8] or "") + 4 * len(r[4] or ()))
-
-    all_rows = written(small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(first), schema))
-    columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
-    short = all_rows.filter(F.col("key").isNull()).select(F.col("doc").alias(id_col), *columns)
-    chunks = all_rows.filter(F.col("key").isNotNull()).select("key", "k", "doc", "more", "part")
+            for i, text in by_text(batches):
+                d, kept = _Digest(path, pattern), []
+                for ids in encoded_pieces(enc, text or ""):
+                    d.add(ids)
+                    if keep_ids:
+                        kept += ids
+                yield i, *d.row(), kept if keep_ids else None
+
+        yield from _batched(rows(), short_arrow, lambda r: 200 + 4 * len(r[4] or ()))
+
+    size = F.coalesce(F.length(text_col), F.lit(0))
+    read = small_batches(docs).select(F.col(id_col), F.col(text_col))
+    short = read.filter(size <= long).mapInArrow(tidy(in_task), short_schema).select(id_col, *columns)
+    chunk_schema, chunk_arrow = _schema(["key long, k long", doc, "more boolean, part string"])
+
+    def deal(batches):
+        """Large chunks of long texts, with their overlap."""
+        from pyspark import TaskContext
+
+        def rows():
+            for key, (i, text) in enumerate(by_text(batches), TaskContext.get().partitionId() << 33):
+                for k, at in enumerate(range(0, len(text), dealt)):
+                    yield key, k, i, at + dealt < len(text), text[at : at + dealt + dealt_overlap]
+
+        yield from _batched(rows(), chunk_arrow, lambda r: 200 + len(r[4]))
+
+    chunks = written(read.filter(size > long).mapInArrow(tidy(deal), chunk_schema))
     if chunks.isEmpty():
         return short
 
     seen_schema, seen_arrow = _schema(["key long, k long, head array<long>, tail array<long>"])
 
     def pretokens(batches):
-        """A chunk's boundaries in its first ``overlap`` characters, and in those that the next chunk has too."""
+        """Boundaries that large chunks have in common with their neighbours."""
 
         def rows():
             for key, k, more, part in _by_row(batches, 4):
-                at = boundaries(part, pattern)
-                yield key, k, [k * chunk + s for s in at if s < overlap], [k * chunk + s for s in at if s >= chunk] if more else []
+                head, tail = boundaries(part, pattern, dealt, dealt_overlap)
+                yield key, k, [k * dealt + s for s in head], [k * dealt + s for s in tail] if more else []
 
         yield from _batched(rows(), seen_arrow, lambda r: 64 + 8 * len(r[2]) + 8 * len(r[3]))
 
@@ -193,10 +233,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
     seen = chunks.select("key", "k", "more", "part").repartition("key", "k").mapInArrow(tidy(pretokens), seen_schema)
     stitched = seen.withColumn("cut", F.array_min(F.array_intersect("tail", F.lead("head").over(of_text))))
     stitched = stitched.select(
-        "key", "k", F.coalesce(F.lag("cut").over(of_text), F.col("k") * chunk).alias("begin"), F.coalesce("cut", (F.col("k") + 1) * chunk).alias("stop"),
+        "key", "k", F.coalesce(F.lag("cut").over(of_text), F.col("k") * dealt).alias("begin"), F.coalesce("cut", (F.col("k") + 1) * dealt).alias("stop"),
         F.coalesce(F.count("cut").over(of_text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece"),
     )
-    placed = chunks.join(stitched.hint("merge"), ["key", "k"]).select("key", "piece", "k", "doc", (F.col("begin") - F.col("k") * chunk).alias("begin"), (F.col("stop") - F.col("k") * chunk).alias("stop"), "part")
+    placed = chunks.join(stitched.hint("merge"), ["key", "k"]).select("key", "piece", "k", "doc", (F.col("begin") - F.col("k") * dealt).alias("begin"), (F.col("stop") - F.col("k") * dealt).alias("stop"), "part")
     ids_schema, ids_arrow = _schema(["key long, piece long, at long", doc, "raw binary"])
 
     def encode(batches):
@@ -208,7 +248,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
 
             def out():
                 at = 0
-                for some in encode_text(enc, "".join(held)):
+                for some in encoded_pieces(enc, "".join(held)):
                     for x in range(0, len(some), BATCH // 8):
                         yield *last, at, of, np.array(some[x : x + BATCH // 8], "<u4").tobytes()
                         at += 1

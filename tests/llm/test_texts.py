@@ -68,15 +68,30 @@ def test_bpe_by_chunks_of_any_task(spark, odd):
     enc = bpe.encoding(path, P.PATTERN)
     texts = strings(1500, 60) + ["word " * 30, "x" * 100, " " * 90, "it's we'll  " * 9, "a" + "\u3000" * 40 + "b"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = bpe.encode_decode(docs, path, P.PATTERN, keep_ids=True, long=12, chunk=6, overlap=3).collect()
+    got = bpe.encode_decode(docs, path, P.PATTERN, keep_ids=True, long=12, dealt=6, dealt_overlap=3, chunk=4, overlap=2).collect()
     assert len(got) == len(texts)
     for r in got:
         assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id]), texts[r.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(r.ids), hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
-    whole, cut = (sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(odd, path, P.PATTERN, **k).collect()) for k in ({}, {"long": 100, "chunk": 50, "overlap": 20}))
+    whole, cut = (sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(odd, path, P.PATTERN, **k).collect()) for k in ({}, {"long": 100, "dealt": 50, "dealt_overlap": 20, "chunk": 9, "overlap": 4}))
     assert whole == cut and len(cut) == len(ODD) + 1
 
 
+def test_pieces_of_small_chunks_are_encoded_apart(spark, sf_dir):
+    """Pieces make up the text, and their ids the library's; most given documents have several."""
+    enc = bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    cut = 0
+    for t in strings(3000, 80) + ["it's  we'll !\r\n" * 20, "!\n" * 50, "a \n" * 50]:
+        for chunk, overlap in ((4, 2), (7, 7), (16, 8)):
+            parts = list(bpe.pieces(t, P.PATTERN, chunk, overlap))
+            cut += len(parts) > 1
+            assert "".join(parts) == t and [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t), t
+    assert cut > 2000
+    given = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    several = [len(list(bpe.pieces(t, P.PATTERN))) > 1 for t in given]
+    assert sum(several) > len(given) / 2
+
+
 @pytest.mark.parametrize("white", [" ", "\n", "\u3000 "])
 def test_very_long_white_space(spark, white):
     """A million characters of white space, which the library's matcher can't take: by its pattern's own rule."""
