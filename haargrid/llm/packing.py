@@ -50,15 +50,15 @@ def _tokenizer(path: str):
     return enc, ends, re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
 
-def token_ids(enc, text: str, special: re.Pattern | None) -> Iterator[int]:
-    """Ids of a text as the tokenizer gives them: special strings are their tokens, what is between them is encoded apart."""
+def token_ids(enc, text: str, special: re.Pattern | None) -> Iterator[np.ndarray]:
+    """Ids of a text as the tokenizer gives them, in arrays: special strings are their tokens, what is between them is encoded apart."""
     parts = special.split(text) if special and special.search(text) else [text]
     for k, part in enumerate(parts):
         if k % 2:
-            yield enc.encode_single_token(part)
+            yield np.array([enc.encode_single_token(part)], np.uint32)
         else:
-            for ids in encode_text(enc, part):
-                yield from ids
+            for ids in encode_text(enc, part, lambda t: enc.encode_to_numpy(t, disallowed_special=())):
+                yield np.asarray(ids, np.uint32)
 
 
 def best_cuts(place: list[int], cost: list[int], length: int = LENGTH) -> list[int]:
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
 
         enc, ends, special = _tokenizer(tokenizer_path)
         packer = _Packer(ends, TaskContext.get().partitionId() << 36, length)
+        end = np.array([end_id], np.uint32)
 
         def rows():
             got, packer.rows = packer.rows, []
@@ -215,7 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         for b in batches:
             for at, stop in slices(b.column(1)):
                 for doc_id, text in zip(b.column(0).slice(at, stop - at).to_pylist(), b.column(1).slice(at, stop - at).to_pylist(), strict=True):
-                    packer.add(doc_id, np.array([*token_ids(enc, text or "", special), end_id], np.uint32))
+                    packer.add(doc_id, np.concatenate([*token_ids(enc, text or "", special), end]))
                 if len(packer.rows) >= 4096:
                     yield rows()
         packer.plan(True)
