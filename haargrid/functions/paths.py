@@ -8,6 +8,8 @@ pre-order, prefixes are ancestors, and level, index and volume follow without a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,13 +87,33 @@ def path_of(coords: list[Column], levels: int) -> Column:
     return F.concat(*steps)
 
 
+def has(ref: Column, dim: int) -> Column:
+    return ref.bitwiseAND(1 << dim) != 0
+
+
+def _table(entry: Callable[[int, int], int]) -> str:
+    """A lookup for all refinements and slots, as one literal: much less to plan and run than shifts by counts of bits."""
+    return "array(" + ",".join(str(entry(ref, x)) for ref in range(1 << DIMS) for x in range(1 << DIMS)) + ")"
+
+
+def _dims(ref: int) -> list[int]:
+    return [d for d in range(DIMS) if ref >> d & 1]
+
+
+_SPREAD = _table(lambda ref, slot: sum((slot >> i & 1) << d for i, d in enumerate(_dims(ref))))
+_PACKED = _table(lambda ref, bits: sum((bits >> d & 1) << i for i, d in enumerate(_dims(ref))))
+
+
+def spread(slot: Column, ref: Column) -> Column:
+    """The bits of a child slot at the places of their dimensions."""
+    return F.get(F.expr(_SPREAD), ref * 8 + slot)
+
+
+def packed(bits: Column, ref: Column) -> Column:
+    """The child slot of bits at the places of their dimensions."""
+    return F.get(F.expr(_PACKED), ref * 8 + bits)
+
+
 def project(slot: Column, ref: Column, keep: Column) -> Column:
     """The slot's bits of the dimensions in ``keep`` (part of ``ref``), packed again."""
-    out, at = F.lit(0), F.lit(0)
-    for d in range(DIMS):
-        has, stays = F.shiftright(ref, d).bitwiseAND(1) == 1, F.shiftright(keep, d).bitwiseAND(1) == 1
-        rank = F.bit_count(ref.bitwiseAND((1 << d) - 1)).cast("int")
-        bit = F.call_function("shiftright", slot, rank).bitwiseAND(1)
-        out = F.when(has & stays, out.bitwiseOR(F.call_function("shiftleft", bit, at.cast("int")))).otherwise(out)
-        at = F.when(has & stays, at + 1).otherwise(at)
-    return out
+    return packed(spread(slot, ref).bitwiseAND(keep), keep)

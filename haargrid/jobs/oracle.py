@@ -26,10 +26,12 @@ def r6(c: str) -> str:
 RASTER = """cells as (select l_suppkey as tree_id, l_partkey % 4 as x, l_orderkey % 4 as y, sum(l_quantity) as v from lineitem group by all)"""
 RASTER_LEAF = RASTER + ", leaf as (select tree_id, " + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1))::varchar" for b in (1, 0)) + " as path, v from cells)"
 VOXELS = "vox as (select user_id as grid, (day(ts) % 8)::bigint as x, (hour(ts) % 8)::bigint as y, (length(event_type) % 8)::bigint as z, count(*)::double as v from events group by all)"
-CELLS = VOXELS + """, box as (select grid, x, y, z from (select distinct grid from vox), (select unnest(range(0, 8)) as x), (select unnest(range(0, 8)) as y), (select unnest(range(0, 8)) as z)),
-cell as (select grid as tree_id, x, y, z, case when coalesce(v, 0) > 0 then 1.0 else 0.0 end::double as v, """ + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1) + 4 * ((z >> {b}) & 1))::varchar" for b in (2, 1, 0)) + """ as path from box left join vox using (grid, x, y, z))"""
-TREE = CELLS + """, region as (select tree_id, substr(path, 1, d) as path, min(v) as v from cell, (select unnest(range(0, 4))::int as d) group by all having min(v) = max(v)),
-tree as (select r.tree_id, r.path, r.v from region r left join region q on q.tree_id = r.tree_id and r.path != '' and q.path = substr(r.path, 1, length(r.path) - 1) where q.tree_id is null),
+CELLS = VOXELS + """, box as materialized (select grid, x, y, z from (select distinct grid from vox), (select unnest(range(0, 8)) as x), (select unnest(range(0, 8)) as y), (select unnest(range(0, 8)) as z)),
+cell as materialized (select grid as tree_id, x, y, z, case when coalesce(v, 0) > 0 then 1.0 else 0.0 end::double as v, """ + " || ".join(f"(((x >> {b}) & 1) + 2 * ((y >> {b}) & 1) + 4 * ((z >> {b}) & 1))::varchar" for b in (2, 1, 0)) + """ as path from box left join vox using (grid, x, y, z))"""
+# each stage is stored, so that no engine joins the regions with themselves while it still aggregates them
+TREE = CELLS + """, region as materialized (select tree_id, substr(path, 1, d) as path, min(v) as v from cell, (select unnest(range(0, 4))::int as d) group by all having min(v) = max(v)),
+inside as materialized (select r.tree_id, r.path from region r join region q on q.tree_id = r.tree_id and q.path = substr(r.path, 1, length(r.path) - 1) where r.path != ''),
+tree as materialized (select tree_id, path, v from region anti join inside using (tree_id, path)),
 node as (select distinct tree_id, substr(path, 1, k) as path from (select tree_id, path, unnest(range(0, length(path) + 1))::int as k from tree))"""
 STATS = """stats as (select l_suppkey as thingi_id, l_linenumber as level, sum(l_quantity::bigint)::bigint as can_bytes, sum(case when l_returnflag = 'N' then l_quantity::bigint end)::bigint as ds_bytes,
   sum(case when l_linestatus = 'O' then l_quantity::bigint end)::bigint as vdb_bytes, count(*) as n_rows from lineitem group by all)"""

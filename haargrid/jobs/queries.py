@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.functions.tables import settled
-from haargrid.operators import coarsen, grid, haar, kernel, report
+from haargrid.operators import coarsen, grid, haar, kernel, report, restructure
 from haargrid.sources import files, grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,7 +214,8 @@ def canonical_fixpoint(spark, sf_dir):
 
 
 def _restructured(spark, sf_dir, scheduler):
-    out = kernel.restructure(vectors(spark, sf_dir, 3), scheduler, 0.06)
+    """Canonical trees restructured, summed up by tree."""
+    out = kernel.restructure(coarsen.canonical(vectors(spark, sf_dir, 3), 0.06), scheduler, 0.06)
     return out.groupBy("tree_id").agg(F.count("*").alias("boxes"), r6(F.sum("discarded")).alias("discarded"), r6(F.sum(F.col("value") * paths.volume(F.col("refs")))).alias("mean"))
 
 
@@ -230,13 +231,16 @@ def decomposed_compress(spark, sf_dir):
 
 @query
 def normalize(spark, sf_dir):
-    return _restructured(spark, sf_dir, "normalize")
+    """Canonical trees after a push everywhere, normalised: the boxes are the same, the shape isn't."""
+    pushed = restructure.push_down(settled(coarsen.canonical(vectors(spark, sf_dir, 3), 0.06)))
+    out = restructure.normalized(pushed)
+    return out.select("tree_id", "path", F.array_join(F.transform("refs", lambda r: r.cast("string")), "").alias("refs"), r6("value").alias("value"))
 
 
 @query
 def partitioned_compress(spark, sf_dir):
-    """Trees cut by their first step, compressed apart, composed, and coarsened over the seams."""
-    parts = kernel.restructure(vectors(spark, sf_dir, 3), "batched", 0.06, prefix=1)
+    """Canonical trees cut by their first step, compressed apart, composed, and coarsened over the seams."""
+    parts = kernel.restructure(coarsen.canonical(vectors(spark, sf_dir, 3), 0.06), "batched", 0.06, prefix=1)
     return coarsen.canonical(settled(parts).drop("discarded"), 0.06).groupBy("tree_id").agg(F.count("*").alias("boxes"))
 
 

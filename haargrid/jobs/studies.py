@@ -11,10 +11,10 @@ from haargrid.functions import paths
 from haargrid.functions.tables import settled, shared_folder
 from haargrid.jobs import sweeps
 from haargrid.jobs.queries import query, r6, stats, vectors
-from haargrid.operators import coarsen, grid, kernel, report, sparse
+from haargrid.operators import coarsen, grid, kernel, report, restructure, sparse
 from haargrid.sources import files, grids
 
-THRESHOLDS = [0.0, 0.05, 0.2]
+THRESHOLDS = [0.0, 0.06, 0.1]
 #: Index to world: a row for each axis, then the origin.
 MATRIX = [[0.5, 0.0, 0.0], [0.25, 0.5, 0.0], [0.0, 0.0, 2.0], [1.0, -2.0, 3.0]]
 
@@ -117,32 +117,39 @@ def approximate_topology(spark, sf_dir):
 # sweeps over the vectors' trees
 
 
-def line_voxels(leaves: DataFrame) -> DataFrame:
-    x = F.conv("path", 2, 10).cast("long")
-    return leaves.filter("value != 0").select(F.col("tree_id").alias("grid"), F.coalesce(x, F.lit(0)).alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"))
+def _cubes(spark, sf_dir):
+    """The vectors' cells and trees in three dimensions."""
+    cells = grids.vector_cells(grids.read(spark, sf_dir, "embeddings"), list("xyz"), 2)
+    return cells, grids.full_tree(cells, list("xyz"), 2)
+
+
+def _voxels(cells: DataFrame) -> DataFrame:
+    return cells.filter("value != 0").select(F.col("tree_id").alias("grid"), "x", "y", "z")
 
 
 @query
 def compare_thresholds(spark, sf_dir):
-    return sweeps.comparison(vectors(spark, sf_dir, 1), THRESHOLDS, 1, 6).withColumn("ratio_to_dense", r6("ratio_to_dense")).withColumn("max_error", r6("max_error"))
+    rows = sweeps.comparison(_cubes(spark, sf_dir)[1], THRESHOLDS, 3, 2)
+    return rows.withColumn("ratio_to_dense", r6("ratio_to_dense")).withColumn("max_error", r6("max_error"))
 
 
 @query
 def sweep_rows(spark, sf_dir):
-    leaves = vectors(spark, sf_dir, 1)
-    rows = sweeps.sweep_rows(leaves, THRESHOLDS, 1, 6, line_voxels(leaves))
+    cells, leaves = _cubes(spark, sf_dir)
+    rows = sweeps.sweep_rows(leaves, THRESHOLDS, 3, 2, _voxels(cells))
     return rows.select(*[r6(c).alias(c) if c.endswith(("error", "sol")) or c == "ratio_raw_vs_vdb" else F.col(c) for c in rows.columns])
 
 
 @query
 def stats_rows(spark, sf_dir):
-    """Statistics of each vector at levels 2 to 6: a level's cells are means of the finer ones."""
-    fine = vectors(spark, sf_dir, 1).select("tree_id", "path", "value", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("level"))
+    """Statistics of each vector at levels 1 and 2: a level's cells are means of the finer ones."""
+    fine = vectors(spark, sf_dir, 3).select("tree_id", "path", "value", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("level"))
     tree = F.col("tree_id") * 8 + F.col("level")
-    cells = fine.groupBy(tree.alias("tree_id"), "level", F.substr("path", F.lit(1), F.col("level")).alias("path")).agg(F.avg("value").alias("value"))
-    every = settled(cells.select("tree_id", "path", F.array_repeat(F.lit(1), F.col("level")).alias("refs"), "value"))
+    means = fine.groupBy(tree.alias("tree_id"), "level", F.substr("path", F.lit(1), F.col("level")).alias("path")).agg(F.avg("value").alias("value"))
+    every = settled(means.select("tree_id", "path", F.array_repeat(F.lit(7), F.col("level")).alias("refs"), "value"))
     things = every.select("tree_id").distinct().select("tree_id", F.floor(F.col("tree_id") / 8).alias("thingi_id"), (F.col("tree_id") % 8).cast("int").alias("level"))
-    return sweeps.stats_rows(every, line_voxels(every.withColumn("value", F.lit(1.0))), things, 0.05, 1)
+    at = [paths.index(F.col("path"), F.col("refs"), d).alias(c) for d, c in enumerate("xyz")]
+    return sweeps.stats_rows(every, every.select(F.col("tree_id").alias("grid"), *at), things, 0.06, 3)
 
 
 @query
@@ -214,6 +221,39 @@ def lineage_partial(spark, sf_dir):
     return n.groupBy("tree_id", "n").agg(F.count("*").alias("leaves"))
 
 
+# restructuring in three dimensions
+
+
+def _canonical(spark, sf_dir, threshold=0.06):
+    return settled(coarsen.canonical(vectors(spark, sf_dir, 3), threshold).select("tree_id", "path", "refs", "value"))
+
+
+def _leaves(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("tree_id", "path", F.array_join(F.transform("refs", lambda r: r.cast("string")), "").alias("refs"), r6("value").alias("value"), *more)
+
+
+@query
+def push_down_round(spark, sf_dir):
+    """Canonical trees with a dimension pushed down at every node that has two leaves or more."""
+    return _leaves(restructure.push_down(_canonical(spark, sf_dir)), "was")
+
+
+@query
+def downsplit_leaves(spark, sf_dir):
+    """Leaves of the restructured canonical trees, by joins over leaves."""
+    return _leaves(restructure.downsplit(_canonical(spark, sf_dir), 0.06)[0])
+
+
+@query
+def downsplit_lineage(spark, sf_dir):
+    """Each canonical leaf with the restructured leaf that holds it, and its share of that."""
+    can = _canonical(spark, sf_dir)
+    new, line = restructure.downsplit(can, 0.06, lineage=True)
+    size = lambda df, name: df.select("tree_id", F.col("path").alias(name), paths.volume(F.col("refs")).alias(f"{name}_volume"))
+    both = line.select("tree_id", "origin", F.col("path").alias("new")).join(size(can, "origin"), ["tree_id", "origin"]).join(size(new, "new"), ["tree_id", "new"])
+    return both.select("tree_id", "origin", F.col("new").alias("path"), (F.col("origin_volume") / F.col("new_volume")).alias("share"))
+
+
 # partitioned runs
 
 

@@ -52,14 +52,6 @@ pair as (select can.threshold, can.tree_id, can.v, leaf.v as cell from can join
 
 
 ONE = "with " + canonical("0.05")
-SWEEP = "with " + canonical("0.0, 0.05, 0.2") + """, tree as (select threshold, tree_id, count(*) as boxes, 2 * count(*) - 1 as nodes, count(*) filter (v != 0) as nonbg from can group by all),
-total as (select threshold, sum(nodes)::bigint as nodes, sum(boxes)::bigint as boxes, sum(nonbg)::bigint as nonbg, sum(ceil(nodes / 8.0)::bigint)::bigint as desc_bytes from tree group by all)"""
-LEVELS = """lv as (select unnest(range(2, 7))::int as level), bad as (select distinct tree_id, path, length(path) as depth from coef where j = 1 and abs(c) > 0.05 + 1e-12),
-kept as (select distinct tree_id, level, substr(path, 1, d) as path from (select tree_id, level, path, unnest(range(0, depth + 1))::int as d from bad, lv where depth < level)),
-size as (select ids.tree_id, lv.level, count(kept.path) as inner_ from (select distinct tree_id from leaf) ids cross join lv left join kept on kept.tree_id = ids.tree_id and kept.level = lv.level group by all),
-s as (select tree_id as thingi_id, level, 2 * inner_ + 1 as nodes, inner_ + 1 as boxes, inner_, ceil((2 * inner_ + 1) / 8.0)::bigint as d, ceil((inner_ + 1) / 8.0)::bigint as c, greatest(1, (1 << level) // 8)::bigint as leafs, (1 << level)::bigint as active from size)"""
-METHOD = ", ".join(f"nodes::bigint as {p}_nodes, boxes::bigint as {p}_boxes, nodes::bigint as {p}_topo_bits, case when inner_ > 0 then '{{\"1\":' || inner_ || '}}' else '{{}}' end as {p}_ref_counts, d + c as {p}_raw_total_bytes, null::double as {p}_blosc2_total_bytes, d as {p}_desc_raw_bytes, null::double as {p}_desc_blosc2_bytes, c as {p}_coeffs_raw_bytes, null::double as {p}_coeffs_blosc2_bytes" for p in ("can", "ds"))
-MASKS = "(leafs * 512 + 8192 + 65536)"
 THREE = GRID + """, a as (select grid, x, y, z, v from g), b as (select * from a where v > 1), c as (select grid, x, y, z, least(v, 2) as v from a)"""
 SPLITS = {c: f"least(2, greatest(1, level_{c} - 3))" for c in "xyz"}
 
@@ -88,20 +80,6 @@ ORACLE_SQL: dict[str, str] = {
     "approximate_topology": f"""with {GRID}, n as (select grid, 0 as level, x >> 3 as a, y >> 3 as b, z >> 3 as c, count(*) as k from g group by all union all select grid, 1, x >> 7, y >> 7, z >> 7, count(*) from g group by all union all select grid, 2, x >> 12, y >> 12, z >> 12, count(*) from g group by all),
  s as (select grid, count(*) filter (level = 0) as leaf_count, count(*) filter (level > 0) as non_leaf_count, sum(k) filter (level = 0)::bigint as active_voxels from n group by grid)
  select *, leaf_count * 512 as leaf_topo_bits, non_leaf_count * 8192 as internal_topo_bits_approx, leaf_count * 512 + non_leaf_count * 8192 as total_topo_bits_approx from s""",
-    "compare_thresholds": SWEEP + f""", err as (select threshold, max(abs(v - cell)) as e, count(*) as cells from pair group by all),
- trees as (select count(distinct tree_id) as n, count(*) as cells from leaf),
- r as (select threshold, variant, nodes, boxes, e, cells from total join err using (threshold), (select unnest(['can', 'ds']) as variant)
-  union all select threshold, 'given', 127 * n, 64 * n, 0.0, cells from t, trees union all select threshold, 'dense', 0, cells, 0.0, cells from t, trees)
- select threshold, variant, nodes::bigint as nodes, boxes::bigint as boxes, nodes::bigint as topo_bits, (boxes * 32)::bigint as coeff_bits, (nodes + boxes * 32)::bigint as total_bits, {r6('(nodes + boxes * 32) / (cells * 32.0::double)')} as ratio_to_dense, {r6('e')} as max_error from r""",
-    "sweep_rows": SWEEP + f""", err as (select threshold, max(abs(v - cell)) as a, avg(abs(v - cell)) as b, sqrt(avg((v - cell) * (v - cell))) as c, max(abs(v)) as d, avg(abs(v)) as e, sqrt(avg(v * v)) as f from pair group by all),
- vox as (select tree_id, sum(('0b' || path)::bigint * 0) as zero, count(*) as active, count(distinct substr(path, 1, 3)) as leafs from leaf where v != 0 group by tree_id),
- orig as (select sum(ceil((leafs * 512 + 73728 + leafs * 512 * 32) / 8.0)::bigint)::bigint as file_bytes, sum(leafs * 512 + 73728)::bigint as topo_bits, sum(active)::bigint as active from vox)
- select threshold, variant, nodes, boxes, nodes as topo_bits, boxes as n_leaves, nonbg as n_nonbg_leaves, {r6('a')} as "Linf_error", {r6('b')} as "L1_error", {r6('c')} as "L2_error", {r6('d')} as "Linf_sol", {r6('e')} as "L1_sol", {r6('f')} as "L2_sol",
- desc_bytes as desc_raw_bytes, 4 * boxes as values_raw_bytes, desc_bytes + 4 * boxes as raw_total_bytes, null::double as desc_blosc2_bytes, null::double as values_blosc2_bytes, null::double as blosc2_total_bytes,
- file_bytes as vdb_orig_file_bytes, topo_bits as vdb_orig_topo_bits, active as vdb_orig_active_voxels, active as vdb_orig_total_coefficients, null::bigint as vdb_recon_file_bytes, {r6('(desc_bytes + 4 * boxes) / file_bytes::double')} as ratio_raw_vs_vdb, null::double as ratio_blosc2_vs_vdb
- from total join err using (threshold), orig, (select unnest(['can', 'ds']) as variant)""".replace("sum(('0b' || path)::bigint * 0) as zero, ", ""),
-    "stats_rows": f"""with {LINES}, {LEVELS} select thingi_id, level, {METHOD}, {MASKS} as vdb_topo_bits, ceil({MASKS} / 8.0)::bigint as vdb_topo_bytes, active as vdb_active_leaf_voxels, leafs * 512 as vdb_dense_value_bits, active as vdb_active_value_bits,
- active as vdb_active_leaf, leafs * 512 - active as vdb_inactive_leaf, 0::bigint as vdb_active_tiles, active as vdb_total_leaf_coefficients, active as vdb_total_coefficients, ceil(({MASKS} + leafs * 512) / 8.0)::bigint as vdb_file_bytes from s""",
     "canonical_lines": ONE + f" select can.tree_id, path, {r6('v')} as value, {r6('coalesce(discarded, 0)')} as discarded from can left join gone using (threshold, tree_id)",
     "downsplit_lines": ONE + f" select tree_id, path, {r6('v')} as value from can",
     "decomposed_lines": ONE + f" select tree_id, path, {r6('v')} as value from can",

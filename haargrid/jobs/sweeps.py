@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haargrid.functions.tables import settled
-from haargrid.operators import coarsen, grid, kernel
+from haargrid.operators import coarsen, grid, restructure
 from haargrid.sources import files
 
 VALUE_BITS = 32
 
 
 def stages(leaves: DataFrame, thresholds: list[float], bound: str = "flat") -> DataFrame:
-    """Leaves of (threshold, variant): canonical trees ("can"), and those restructured afterwards ("ds"). Each threshold starts from ``leaves``."""
-    out = None
-    for t in thresholds:
-        can = settled(coarsen.canonical(leaves, t, bound).select("tree_id", "path", "refs", "value"))
-        ds = kernel.restructure(can, "batched", t, bound).select("tree_id", "path", "refs", "value")
-        for name, part in (("can", can), ("ds", ds)):
-            part = part.withColumn("threshold", F.lit(float(t))).withColumn("variant", F.lit(name))
-            out = part if out is None else out.unionByName(part)
-    return settled(out)
+    """Leaves of (threshold, variant): canonical trees ("can"), and those restructured afterwards ("ds").
+
+    The threshold is part of a tree's key, so all of them share each round and leave the loop tree by tree.
+    """
+    every = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    keyed = leaves.select("tree_id", "path", "refs", "value", every).withColumn("tree_id", F.struct("threshold", "tree_id")).drop("threshold")
+    own = F.col("tree_id.threshold")
+    can = settled(coarsen.canonical(keyed, own, bound).select("tree_id", "path", "refs", "value"))
+    ds = restructure.batched(can, own, bound).select("tree_id", "path", "refs", "value")
+    both = can.withColumn("variant", F.lit("can")).unionByName(ds.withColumn("variant", F.lit("ds")))
+    return settled(both.select(own.alias("threshold"), "variant", F.col("tree_id.tree_id").alias("tree_id"), "path", "refs", "value"))
 
 
 def _keyed(stage: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,30 +38,29 @@ def sizes(stage: DataFrame, keys: list[str], dims: int) -> DataFrame:
     return s.select(*[F.col(f"tree_id.{k}").alias(k) for k in keys], F.col("tree_id.tree_id").alias("tree_id"), "nodes", "boxes", "topo_bits", "ref_counts").join(nonbg, [*keys, "tree_id"])
 
 
-def cell_errors(stage: DataFrame, cells: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """(keys, tree_id, path, cell, value): each cell with the value of the leaf that holds it.
+def cell_errors(stage: DataFrame, cells: DataFrame, keys: list[str], dims: int, level: int) -> DataFrame:
+    """(keys, tree_id, cell, value): each cell with the value of the leaf that holds it, however the tree is refined.
 
-    ``cells`` has (tree_id, path, value), paths of ``depth`` steps of trees that halve all their dimensions; a cell
-    meets its leaf among its own prefixes.
+    ``cells`` has (tree_id, coordinates, value) of grids of 2 ** level cells a side.
     """
-    up = cells.select("tree_id", F.col("path").alias("cell_path"), F.col("value").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
-    up = up.select("tree_id", "cell_path", "cell", F.substr("cell_path", F.lit(1), F.col("d")).alias("path"))
-    return stage.select(*keys, "tree_id", "path", "value").join(up, ["tree_id", "path"])
+    at = ["tree_id", *grid.AXES[:dims]]
+    inside = grid.filled(stage.select(*keys, "tree_id", "path", "refs", "value"), dims, level).select(*keys, *at, "value")
+    return inside.join(cells.select(*at, F.col("value").alias("cell")), at)
 
 
-def comparison(leaves: DataFrame, thresholds: list[float], dims: int, depth: int) -> DataFrame:
+def comparison(leaves: DataFrame, thresholds: list[float], dims: int, level: int) -> DataFrame:
     """For each threshold and method the nodes, boxes, bits, the ratio to the dense grid and the largest error, over all trees.
 
-    Methods: the given trees, canonical, restructured, and the dense grid. ``leaves`` are full trees whose
-    steps halve all dimensions.
+    Methods: the given trees, canonical, restructured, and the dense grid. ``leaves`` are trees over grids of
+    2 ** level cells a side.
     """
     keys = ["threshold", "variant"]
     every = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     given = leaves.select("tree_id", "path", "refs", "value", every).withColumn("variant", F.lit("given"))
     stage = settled(given.unionByName(stages(leaves, thresholds)))
     total = sizes(stage, keys, dims).groupBy(*keys).agg(F.sum("nodes").alias("nodes"), F.sum("boxes").alias("boxes"), F.sum("topo_bits").alias("topo_bits"))
-    cells = leaves.select("tree_id", "path", "value")
-    errors = cell_errors(stage, cells, keys, depth).groupBy(*keys).agg(F.max(F.abs(F.col("cell") - F.col("value"))).alias("max_error"), F.count("*").alias("cells"))
+    cells = grid.rasterise(leaves, dims, level)
+    errors = cell_errors(stage, cells, keys, dims, level).groupBy(*keys).agg(F.max(F.abs(F.col("cell") - F.col("value"))).alias("max_error"), F.count("*").alias("cells"))
     rows = total.join(errors, keys).withColumn("coeff_bits", F.col("boxes") * VALUE_BITS)
     dense = rows.filter("variant = 'given'").select("threshold", F.lit("dense").alias("variant"), F.lit(0).cast("long").alias("nodes"), F.col("cells").alias("boxes"), F.lit(0).cast("long").alias("topo_bits"), F.lit(0.0).alias("max_error"), "cells", (F.col("cells") * VALUE_BITS).alias("coeff_bits"))
     bits = F.col("topo_bits") + F.col("coeff_bits")
@@ -91,7 +92,7 @@ def approximate_topology(voxels: DataFrame) -> DataFrame:
     return s.select("grid", "leaf_count", "non_leaf_count", "active_voxels", own.alias("leaf_topo_bits"), rest.alias("internal_topo_bits_approx"), (own + rest).alias("total_topo_bits_approx"))
 
 
-def sweep_rows(leaves: DataFrame, thresholds: list[float], dims: int, depth: int, voxels: DataFrame) -> DataFrame:
+def sweep_rows(leaves: DataFrame, thresholds: list[float], dims: int, level: int, voxels: DataFrame) -> DataFrame:
     """A row of the 26 columns for each threshold and variant, over all trees as one data set.
 
     Sizes of a library that may be absent stay empty; files of voxels are taken as topology and dense leaf values.
@@ -100,7 +101,7 @@ def sweep_rows(leaves: DataFrame, thresholds: list[float], dims: int, depth: int
     stage = stages(leaves, thresholds)
     size = sizes(stage, keys, dims).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("nodes", "boxes", "topo_bits", "n_nonbg_leaves")], F.sum(_bytes("topo_bits")).alias("desc_raw_bytes"))
     e, s = F.abs(F.col("cell") - F.col("value")), F.abs(F.col("value"))
-    norms = cell_errors(stage, leaves.select("tree_id", "path", "value"), keys, depth).groupBy(*keys).agg(
+    norms = cell_errors(stage, grid.rasterise(leaves, dims, level), keys, dims, level).groupBy(*keys).agg(
         F.max(e).alias("Linf_error"), F.avg(e).alias("L1_error"), F.sqrt(F.avg(e * e)).alias("L2_error"), F.max(s).alias("Linf_sol"), F.avg(s).alias("L1_sol"), F.sqrt(F.avg(s * s)).alias("L2_sol")
     )
     whole = voxel_summary(voxels, VALUE_BITS).agg(F.sum("file_bytes").alias("vdb_orig_file_bytes"), F.sum("topo_bits").alias("vdb_orig_topo_bits"), F.sum("active_leaf_voxels").alias("vdb_orig_active_voxels"), F.sum("total_coefficients").alias("vdb_orig_total_coefficients"))

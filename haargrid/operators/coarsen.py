@@ -34,7 +34,7 @@ def _families(leaves: DataFrame) -> DataFrame:
     return kids.select("tree_id", "up", up_refs.alias("up_refs"), ref.alias("ref"), "kids", (F.size("kids") == n).alias("whole"), F.when(F.size("kids") == n, detail).alias("detail"), paths.volume(up_refs).alias("volume"))
 
 
-def _bounded(d: Column, volume: Column, threshold: float, bound: str) -> Column:
+def _bounded(d: Column, volume: Column, threshold: float | Column, bound: str) -> Column:
     if bound == "flat":
         return d <= threshold + ZERO
     if bound == "per_volume":
@@ -46,7 +46,7 @@ def _holding(indexes: Column, mask: Column) -> Column:
     return F.filter(indexes, lambda j: j.bitwiseAND(mask) != 0)
 
 
-def decisions(leaves: DataFrame, threshold: float, bound: str = "flat", partial: bool = True) -> DataFrame:
+def decisions(leaves: DataFrame, threshold: float | Column, bound: str = "flat", partial: bool = True) -> DataFrame:
     """Families with ``give``: the refined dimensions to give up (all of them: the parent becomes a leaf),
     and ``discarded``, the L1 of the details that go; one that holds two of the dimensions counts twice."""
     fam = _families(leaves)
@@ -57,17 +57,18 @@ def decisions(leaves: DataFrame, threshold: float, bound: str = "flat", partial:
     fam = fam.withColumn("all", F.col("whole") & (F.aggregate(index, F.lit(0.0), lambda a, j: a + F.element_at(d, j + 1)) <= threshold * F.col("volume") + ZERO if bound == "sum_volume" else small(index)))
     give, lost = F.lit(0), F.lit(0.0)
     if partial and bound != "sum_volume":
-        for e in range(paths.DIMS):
-            mask = F.call_function("shiftleft", F.lit(1), F.bit_count(ref.bitwiseAND((1 << e) - 1)).cast("int"))
-            holds = _holding(index, mask)
-            ok = F.col("whole") & (ref.bitwiseAND(1 << e) != 0) & small(holds)
-            give = F.when(ok, give + (1 << e)).otherwise(give)
-            lost = F.when(ok, lost + total(holds)).otherwise(lost)
+        masks = [F.call_function("shiftleft", F.lit(1), F.bit_count(ref.bitwiseAND((1 << e) - 1)).cast("int")) for e in range(paths.DIMS)]
+        oks = [F.col("whole") & (ref.bitwiseAND(1 << e) != 0) & small(_holding(index, m)) for e, m in enumerate(masks)]
+        fam = fam.select("*", *[F.coalesce(ok, F.lit(False)).alias(f"ok_{e}") for e, ok in enumerate(oks)])
+        for e, m in enumerate(masks):
+            give = give + F.when(F.col(f"ok_{e}"), F.lit(1 << e)).otherwise(0)
+            lost = lost + F.when(F.col(f"ok_{e}"), total(_holding(index, m))).otherwise(0.0)
     fam = fam.withColumn("give", F.coalesce(F.when(F.col("all"), ref).otherwise(give), F.lit(0)))
-    return fam.withColumn("discarded", F.coalesce(F.when(F.col("all"), total(index)).when(F.col("give") > 0, lost), F.lit(0.0)) * F.col("volume"))
+    fam = fam.withColumn("discarded", F.coalesce(F.when(F.col("all"), total(index)).when(F.col("give") > 0, lost), F.lit(0.0)) * F.col("volume"))
+    return fam.drop(*[f"ok_{e}" for e in range(paths.DIMS)])
 
 
-def coarsening_round(leaves: DataFrame, threshold: float = 0.0, bound: str = "flat", partial: bool = True) -> tuple[DataFrame, DataFrame]:
+def coarsening_round(leaves: DataFrame, threshold: float | Column = 0.0, bound: str = "flat", partial: bool = True) -> tuple[DataFrame, DataFrame]:
     """(new leaves with ``changed`` and ``discarded`` of their parent's decision, decisions)."""
     plan = decisions(leaves, threshold, bound, partial)
     keep = F.col("ref") - F.col("give")
@@ -94,11 +95,12 @@ def coarsening_round(leaves: DataFrame, threshold: float = 0.0, bound: str = "fl
     return new.unionByName(roots), plan
 
 
-def canonical(leaves: DataFrame, threshold: float = 0.0, bound: str = "flat") -> DataFrame:
+def canonical(leaves: DataFrame, threshold: float | Column = 0.0, bound: str = "flat") -> DataFrame:
     """Rounds until nothing changes: leaves with ``discarded``, the L1 of all rounds, by tree.
 
     Each round with a change takes a dimension from a node, so rounds end, after as many at most as a tree has
-    dimensions and depths. Only trees that the last round has changed are looked at again.
+    dimensions and depths. Only trees that the last round has changed are looked at again. ``threshold`` may be an
+    expression of tree_id: trees of several thresholds then share the rounds.
     """
     now = settled(leaves.select("tree_id", "path", "refs", "value"))
     done, lost = None, None
@@ -118,7 +120,7 @@ def canonical(leaves: DataFrame, threshold: float = 0.0, bound: str = "flat") ->
     return done.join(total, "tree_id")
 
 
-def lineage(leaves: DataFrame, threshold: float, bound: str = "flat", partial: bool = True) -> DataFrame:
+def lineage(leaves: DataFrame, threshold: float | Column, bound: str = "flat", partial: bool = True) -> DataFrame:
     """(tree_id, path, new_path): for every leaf the leaf of the next round that its region is in."""
     plan = decisions(leaves, threshold, bound, partial)
     keep = F.col("ref") - F.col("give")

@@ -10,14 +10,27 @@ from haargrid.functions import paths
 AXES = "xyz"
 
 
+def filled(leaves: DataFrame, dims: int, level: int) -> DataFrame:
+    """Each leaf's row for every cell of a grid of 2 ** level cells a side that lies in it, with the cell's coordinates.
+
+    Low corner and sides are computed once a leaf; one explode numbers its cells, and bits of the number are coordinates.
+    """
+    sides = [(F.lit(level) - paths.level(F.col("refs"), d)).alias(f"side_{d}") for d in range(dims)]
+    lows = [F.call_function("shiftleft", paths.index(F.col("path"), F.col("refs"), d), F.col(f"side_{d}")).alias(f"low_{d}") for d in range(dims)]
+    boxes = leaves.select("*", *sides).select("*", *lows)
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), sum((F.col(f"side_{d}") for d in range(dims)), F.lit(0))) - 1
+    cells, done, out = boxes.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), last))), F.lit(0), []
+    for d in range(dims):
+        side = F.col(f"side_{d}")
+        own = F.call_function("shiftright", F.col("cell"), done).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), side) - 1)
+        out.append((F.col(f"low_{d}") + own).alias(AXES[d]))
+        done = done + side
+    return cells.select(*leaves.columns, *out)
+
+
 def rasterise(leaves: DataFrame, dims: int, level: int) -> DataFrame:
     """Cells (tree_id, coordinates, value) of a grid of 2 ** level cells a side; a leaf finer than that is an error of the caller."""
-    out = leaves
-    for d in range(dims):
-        side = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(level) - paths.level(F.col("refs"), d))
-        low = paths.index(F.col("path"), F.col("refs"), d) * side
-        out = out.withColumn(AXES[d], F.explode(F.sequence(low, low + side - 1)))
-    return out.select("tree_id", *AXES[:dims], "value")
+    return filled(leaves.select("tree_id", "path", "refs", "value"), dims, level).select("tree_id", *AXES[:dims], "value")
 
 
 def fill(leaves: DataFrame, dims: int, level: int, background: float = 0.0) -> DataFrame:
@@ -46,14 +59,9 @@ def error_norms(a: DataFrame, b: DataFrame, keys: list[str], cells: int, backgro
 
 def leaf_errors(leaves: DataFrame, cells: DataFrame, dims: int, level: int) -> DataFrame:
     """For each leaf the largest difference from the cells inside it: cells meet their leaf by coordinates."""
-    boxes = leaves.select("tree_id", "path", "refs", "value")
-    out = boxes
-    for d in range(dims):
-        side = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(level) - paths.level(F.col("refs"), d))
-        low = paths.index(F.col("path"), F.col("refs"), d) * side
-        out = out.withColumn(AXES[d], F.explode(F.sequence(low, low + side - 1)))
     keys = ["tree_id", *AXES[:dims]]
-    return out.join(cells.withColumnRenamed("value", "cell"), keys).groupBy("tree_id", "path").agg(F.max(F.abs(F.col("value") - F.col("cell"))).alias("max_error"))
+    inside = filled(leaves.select("tree_id", "path", "refs", "value"), dims, level).select(*keys, "path", "value")
+    return inside.join(cells.withColumnRenamed("value", "cell"), keys).groupBy("tree_id", "path").agg(F.max(F.abs(F.col("value") - F.col("cell"))).alias("max_error"))
 
 
 def tree_stats(leaves: DataFrame, dims: int) -> DataFrame:

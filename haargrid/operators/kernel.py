@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ZERO = 1e-12
@@ -191,8 +191,8 @@ SCHEDULERS = {"batched": downsplit, "decomposed": decomposed, "normalize": lambd
 BOUNDS = ("flat", "per_volume")
 
 
-def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float = 0.0, bound: str = "flat", prefix: int = 0) -> DataFrame:
-    """Leaves of the restructured trees, with the discarded L1 of each (sub)tree.
+def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float | Column = 0.0, bound: str = "flat", prefix: int = 0) -> DataFrame:
+    """Leaves of the restructured trees, with the discarded L1 of each (sub)tree at its first leaf. ``threshold`` may be an expression of tree_id.
 
     ``prefix`` cuts trees at that depth, so that a large tree is as many tasks as it has nodes
     there; seams between the parts are coarsened by ``coarsen.canonical`` only. Leaves above
@@ -206,7 +206,7 @@ def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float
     def parts(batches: Iterator[pa.RecordBatch]):
         """Rows of all batches in order: a tree's part is never split, however batches are cut."""
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
+            yield from zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -217,7 +217,7 @@ def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float
             n = len(cut)
             above = rows[0][3][:n]
             volume = 2.0 ** -sum(int(r).bit_count() for r in above)
-            tree, lost = run(tree_of([(p[n:], refs[n:], v) for _, _, p, refs, v in rows]), threshold, bound)
+            tree, lost = run(tree_of([(p[n:], refs[n:], v) for _, _, p, refs, v, _ in rows]), rows[0][5], bound)
             for k, (p, refs, v) in enumerate(rows_of(tree)):
                 out.append((tree_id, cut + p, above + refs, v, lost * volume if k == 0 else 0.0))
             if len(out) > 8192:
@@ -226,5 +226,5 @@ def restructure(leaves: DataFrame, scheduler: str = "batched", threshold: float
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    top = leaves.select("tree_id", F.substr("path", F.lit(1), F.lit(prefix)).alias("top"), "path", "refs", "value")
+    top = leaves.select("tree_id", F.substr("path", F.lit(1), F.lit(prefix)).alias("top"), "path", "refs", "value", (threshold if isinstance(threshold, Column) else F.lit(float(threshold))).alias("threshold"))
     return top.repartition("tree_id", "top").sortWithinPartitions("tree_id", "top", "path").mapInArrow(f, fields)

@@ -17,47 +17,29 @@ from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.functions.tables import settled
-from haargrid.operators import coarsen, haar
+from haargrid.operators import coarsen, haar, kernel
 
+#: Leaves of a tree that one task restructures by itself.
+WHOLE = 1 << 15
 #: Decimals to which details count when the smallest is chosen: sums in another order agree.
 DECIMALS = 12
 LEAF = ("tree_id", "path", "refs", "value")
 
 
-def _rank(ref: Column, dim: int) -> Column:
-    return F.bit_count(ref.bitwiseAND((1 << dim) - 1)).cast("int")
-
-
-def _has(ref: Column, dim: int) -> Column:
-    return ref.bitwiseAND(1 << dim) != 0
-
-
 def _bit(x: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), x)
 
 
-def spread(slot: Column, ref: Column) -> Column:
-    """The bits of a child slot at the places of their dimensions."""
-    parts = [F.when(_has(ref, d), F.shiftleft(F.call_function("shiftright", slot, _rank(ref, d)).bitwiseAND(1), d)).otherwise(0) for d in range(paths.DIMS)]
-    return reduce(lambda a, b: a + b, parts)
-
-
-def packed(bits: Column, ref: Column) -> Column:
-    """The child slot of bits at the places of their dimensions, as a step of a path."""
-    parts = [F.when(_has(ref, d), F.call_function("shiftleft", F.shiftright(bits, d).bitwiseAND(1), _rank(ref, d))).otherwise(0) for d in range(paths.DIMS)]
-    return reduce(lambda a, b: a + b, parts).cast("string")
-
-
 def push_plan(leaves: DataFrame) -> DataFrame:
     """(tree_id, node, ref, push) of all inner nodes: ``push`` is the bit of the dimension that goes down, 0 for none.
 
     Nodes are pushed that halve two dimensions or more and have two leaves or more among their children; the dimension
     is the one with the smallest detail of its own, the highest of equal ones. One aggregation for all depths.
     """
-    steps = haar._steps(leaves).select("tree_id", "node", "ref", spread(F.col("slot"), F.col("ref")).alias("bits"), (F.col("value") * F.col("share")).alias("part"), (F.length("path") == F.col("d") + 1).alias("child"))
-    detail = [F.abs(F.sum(F.when(_has(F.col("bits"), d), -F.col("part")).otherwise(F.col("part")))).alias(f"detail_{d}") for d in range(paths.DIMS)]
+    steps = haar._steps(leaves).select("tree_id", "node", "ref", paths.spread(F.col("slot"), F.col("ref")).alias("bits"), (F.col("value") * F.col("share")).alias("part"), (F.length("path") == F.col("d") + 1).alias("child"))
+    detail = [F.abs(F.sum(F.when(paths.has(F.col("bits"), d), -F.col("part")).otherwise(F.col("part")))).alias(f"detail_{d}") for d in range(paths.DIMS)]
     nodes = steps.groupBy("tree_id", "node").agg(F.first("ref").alias("ref"), F.count_if("child").alias("leaves"), *detail)
-    own = F.array(*[F.when(_has(F.col("ref"), d), F.struct(F.round(f"detail_{d}", DECIMALS).alias("detail"), F.lit(-d).alias("less"))) for d in range(paths.DIMS)])
+    own = F.array(*[F.when(paths.has(F.col("ref"), d), F.struct(F.round(f"detail_{d}", DECIMALS).alias("detail"), F.lit(-d).alias("less"))) for d in range(paths.DIMS)])
     best = _bit(-F.array_min(F.filter(own, lambda x: x.isNotNull()))["less"])
     return nodes.select("tree_id", "node", "ref", F.when((paths.bits(F.col("ref")) > 1) & (F.col("leaves") > 1), best).otherwise(0).alias("push"))
 
@@ -66,7 +48,7 @@ def _fusions(plan: DataFrame) -> DataFrame:
     """(tree_id, node, fused): of pushed nodes the pairs of children that become one, a bit for each place of the pair."""
     kids = plan.filter("node != ''").select("tree_id", paths.parent(F.col("node")).alias("node"), F.substr("node", F.length("node"), F.lit(1)).cast("int").alias("slot"), (F.col("ref") - F.col("push")).alias("new"))
     up = plan.filter("push > 0").select("tree_id", "node", "ref", "push")
-    pair = kids.join(up, ["tree_id", "node"]).select("tree_id", "node", "push", "new", spread(F.col("slot"), F.col("ref")).bitwiseAND(F.bitwise_not("push")).alias("pair"))
+    pair = kids.join(up, ["tree_id", "node"]).select("tree_id", "node", "push", "new", paths.spread(F.col("slot"), F.col("ref")).bitwiseAND(F.bitwise_not("push")).alias("pair"))
     same = pair.groupBy("tree_id", "node", "push", "pair").agg(F.count("*").alias("n"), F.min("new").alias("new"), F.max("new").alias("other"))
     same = same.filter((F.col("n") == 2) & (F.col("new") == F.col("other")) & (F.col("new").bitwiseAND(F.col("push")) == 0))
     return same.groupBy("tree_id", "node").agg(F.sum(_bit(F.col("pair"))).cast("int").alias("fused"))
@@ -79,34 +61,33 @@ def _with_ancestors(leaves: DataFrame, nodes: DataFrame, *columns: str) -> DataF
     return leaves.join(met, ["tree_id", "path"], "left")
 
 
-def push_down(leaves: DataFrame) -> DataFrame:
-    """Leaves with every planned node pushed, inner ones first; with ``was``, and ``pushed``: an ancestor has been."""
-    plan = settled(push_plan(leaves))
+def push_down(leaves: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """Leaves with every planned node pushed, inner ones first; with ``was``. ``plan`` is the stored ``push_plan``."""
+    plan = settled(push_plan(leaves)) if plan is None else plan
     nodes = plan.filter("push > 0").join(_fusions(plan), ["tree_id", "node"], "left").select("tree_id", "node", "push", F.coalesce("fused", F.lit(0)).alias("fused"))
     rows = _with_ancestors(leaves.select(*LEAF), nodes, "push", "fused")
-    start = F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("refs"), F.lit(0).alias("dim"), F.lit(0).alias("bit"))
-
-    def step(a: Column, k: Column) -> Column:
-        ref = F.element_at("refs", k + 1)
-        bits = spread(paths.slot(F.col("path"), k), ref)
-        own = F.try_element_at("plans", k)
-        push = F.coalesce(own["push"], F.lit(0))
-        keep = F.bitwise_not(push)
-        fuse = (push > 0) & (F.call_function("shiftright", own["fused"], bits.bitwiseAND(keep)).bitwiseAND(1) == 1)
-        # a fused step's dimension is taken over by the next one
-        new, at = ref.bitwiseAND(keep).bitwiseOR(a["dim"]), bits.bitwiseAND(keep).bitwiseOR(a["bit"])
-        alone = (push > 0) & ~F.coalesce(fuse, F.lit(False))
-        down = F.when(bits.bitwiseAND(push) > 0, "1").otherwise("0")
-        return F.struct(
-            F.concat(a["path"], packed(at, new), F.when(alone, down).otherwise("")).alias("path"),
-            F.concat(a["refs"], F.when(alone, F.array(new, push)).otherwise(F.array(new))).alias("refs"),
-            F.when(alone, 0).otherwise(push).alias("dim"),
-            F.when(alone, 0).otherwise(bits.bitwiseAND(push)).alias("bit"),
-        )
-
-    made = F.aggregate(F.sequence(F.lit(0), F.size("refs") - 1), start, step)
-    rows = rows.withColumn("pushed", F.col("plans").isNotNull()).withColumn("made", F.when(F.col("pushed"), made))
-    return rows.select("tree_id", F.coalesce("made.path", "path").alias("path"), F.coalesce("made.refs", "refs").alias("refs"), "value", F.col("path").alias("was"), "pushed")
+    given = F.transform("refs", lambda r, k: F.struct(r.alias("ref"), paths.slot(F.col("path"), k).alias("slot"), F.coalesce(F.try_element_at("plans", k)["push"], F.lit(0)).alias("push"), F.coalesce(F.try_element_at("plans", k)["fused"], F.lit(0)).alias("fused")))
+    spreads = F.transform("steps", lambda s: F.struct(s["ref"].alias("ref"), paths.spread(s["slot"], s["ref"]).alias("bits"), s["push"].alias("push"), s["fused"].alias("fused")))
+    fused = F.transform("steps", lambda s: F.struct(s["ref"].alias("ref"), s["bits"].alias("bits"), s["push"].alias("push"), ((s["push"] > 0) & (F.call_function("shiftright", s["fused"], s["bits"].bitwiseAND(F.bitwise_not(s["push"]))).bitwiseAND(1) == 1)).alias("fuse")))
+
+    def emitted(s: Column, k: Column) -> Column:
+        """What is left of a step, with what a fused one before hands down; then the pushed dimension, if it stands alone."""
+        before = F.get("steps", k - 1)
+        handed = lambda c: F.when(before["fuse"], c).otherwise(0)
+        keep = F.bitwise_not(s["push"])
+        rest = F.struct(s["ref"].bitwiseAND(keep).bitwiseOR(handed(before["push"])).alias("ref"), s["bits"].bitwiseAND(keep).bitwiseOR(handed(before["bits"].bitwiseAND(before["push"]))).alias("bits"))
+        return F.when((s["push"] > 0) & ~s["fuse"], F.array(rest, F.struct(s["push"].alias("ref"), s["bits"].bitwiseAND(s["push"]).alias("bits")))).otherwise(F.array(rest))
+
+    for steps in (given, spreads, fused, F.flatten(F.transform("steps", emitted))):
+        rows = rows.withColumn("steps", F.when(F.col("plans").isNotNull(), steps))
+    return _put_together(rows)
+
+
+def _put_together(rows: DataFrame) -> DataFrame:
+    """Leaves of their new ``steps`` (ref, bits); those without stay as they are."""
+    path = F.array_join(F.transform("steps", lambda s: paths.packed(s["bits"], s["ref"]).cast("string")), "")
+    was = "was" if "was" in rows.columns else "path"
+    return rows.select("tree_id", F.coalesce(path, "path").alias("path"), F.coalesce(F.transform("steps", lambda s: s["ref"]), "refs").alias("refs"), "value", F.col(was).alias("was"))
 
 
 def _takeovers(leaves: DataFrame) -> DataFrame:
@@ -132,20 +113,18 @@ def normalized(leaves: DataFrame) -> DataFrame:
         done.append(now.join(trees, "tree_id", "left_anti"))
         rows = _with_ancestors(now.join(trees, "tree_id", "left_semi"), take, "take")
 
-        def step(a: Column, k: Column) -> Column:
-            ref = F.element_at("refs", k + 1)
-            took = lambda i: F.coalesce(F.try_element_at("plans", i)["take"], F.lit(0))
-            rest = ref.bitwiseAND(F.bitwise_not(took(k - 1)))
-            own = took(k)
-            new = rest.bitwiseOR(own)
-            below = F.when(own > 0, spread(F.coalesce(F.substr("path", k + 2, F.lit(1)).try_cast("int"), F.lit(0)), F.coalesce(F.try_element_at("refs", k + 2), F.lit(0)))).otherwise(0)
-            at = spread(paths.slot(F.col("path"), k), ref).bitwiseAND(rest).bitwiseOR(below.bitwiseAND(own))
-            gone = new == 0
-            return F.struct(F.concat(a["path"], F.when(gone, "").otherwise(packed(at, new))).alias("path"), F.concat(a["refs"], F.when(gone, F.array().cast("array<int>")).otherwise(F.array(new))).alias("refs"))
+        given = F.transform("refs", lambda r, k: F.struct(r.alias("ref"), paths.slot(F.col("path"), k).alias("slot"), F.coalesce(F.try_element_at("plans", k)["take"], F.lit(0)).alias("take")))
+        spreads = F.transform("steps", lambda s: F.struct(s["ref"].alias("ref"), paths.spread(s["slot"], s["ref"]).alias("bits"), s["take"].alias("take")))
+
+        def emitted(s: Column, k: Column) -> Column:
+            """A step without what the one above takes, with what it takes from the one below; it may be nothing."""
+            rest = F.bitwise_not(F.coalesce(F.get("steps", k - 1)["take"], F.lit(0)))
+            below = F.coalesce(F.get("steps", k + 1)["bits"], F.lit(0)).bitwiseAND(s["take"])
+            return F.struct(s["ref"].bitwiseAND(rest).bitwiseOR(s["take"]).alias("ref"), s["bits"].bitwiseAND(rest).bitwiseOR(below).alias("bits"))
 
-        start = F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("refs"))
-        made = F.when(F.col("plans").isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size("refs") - 1), start, step))
-        now = settled(rows.withColumn("made", made).select("tree_id", F.coalesce("made.path", "path").alias("path"), F.coalesce("made.refs", "refs").alias("refs"), "value", "was"))
+        for steps in (given, spreads, F.filter(F.transform("steps", emitted), lambda s: s["ref"] != 0)):
+            rows = rows.withColumn("steps", F.when(F.col("plans").isNotNull(), steps))
+        now = settled(_put_together(rows))
 
 
 def _followed(line: DataFrame | None, step: DataFrame, was: str = "was", path: str = "path") -> DataFrame:
@@ -165,24 +144,37 @@ def downsplit(leaves: DataFrame, threshold: float | Column = 0.0, bound: str = "
     """
     now, done, lost, lines, line = settled(leaves.select(*LEAF)), [], [], [], None
     while True:
-        pushed = settled(push_down(now))
+        plan = settled(push_plan(now))
+        pushed = push_down(now, plan)
+        pushed = settled(pushed) if lineage else pushed
         new = settled(coarsen.coarsening_round(pushed, threshold, bound)[0])
-        part = settled(new.groupBy("tree_id").agg(F.sum("discarded").alias("discarded"), F.max("changed").alias("changed")).join(pushed.groupBy("tree_id").agg(F.max("pushed").alias("pushed")), "tree_id"))
+        did = plan.filter("push > 0").select("tree_id").distinct().withColumn("pushed", F.lit(True))
+        part = new.groupBy("tree_id").agg(F.sum("discarded").alias("discarded"), F.max("changed").alias("changed"))
+        part = settled(part.join(did, "tree_id", "left").withColumn("pushed", F.col("pushed").isNotNull()))
         lost.append(part.select("tree_id", "discarded"))
-        going, ended = part.filter("changed").select("tree_id"), part.filter("not changed")
-        kept = now.join(ended.filter("pushed").select("tree_id"), "tree_id", "left_semi")
-        tidied = normalized(now.join(ended.filter("not pushed").select("tree_id"), "tree_id", "left_semi"))
-        done += [kept, tidied.select(*LEAF)]
-        if lineage:
-            for s in (kept.select("tree_id", "path", F.col("path").alias("was")), tidied):
-                lines.append(_followed(line, s))
-        if going.isEmpty():
+        going, untouched = part.agg(F.count_if("changed"), F.count_if(F.expr("not changed and not pushed"))).first()
+        kept = now.join(part.filter("not changed and pushed").select("tree_id"), "tree_id", "left_semi")
+        ended = [kept.withColumn("was", F.col("path"))]
+        if untouched:
+            ended.append(normalized(now.join(part.filter("not changed and not pushed").select("tree_id"), "tree_id", "left_semi")))
+        done += [x.select(*LEAF) for x in ended]
+        lines += [_followed(line, x) for x in ended] if lineage else []
+        if not going:
             total = reduce(DataFrame.unionByName, lost).groupBy("tree_id").agg(F.sum("discarded").alias("discarded"))
-            out = reduce(DataFrame.unionByName, done).join(total, "tree_id")
-            return out, (reduce(DataFrame.unionByName, lines) if lineage else None)
-        tidy = settled(normalized(new.join(going, "tree_id", "left_semi")))
+            return reduce(DataFrame.unionByName, done).join(total, "tree_id"), (reduce(DataFrame.unionByName, lines) if lineage else None)
+        went = part.filter("changed").select("tree_id")
+        tidy = normalized(new.join(went, "tree_id", "left_semi"))
         if lineage:
-            went = pushed.join(going, "tree_id", "left_semi")
-            merged = coarsen.lineage(went.select(*LEAF), threshold, bound)
-            line = settled(_followed(_followed(_followed(line, went), merged, "path", "new_path"), tidy))
-        now = tidy.select(*LEAF)
+            before = pushed.join(went, "tree_id", "left_semi")
+            merged = coarsen.lineage(before.select(*LEAF), threshold, bound)
+            line = settled(_followed(_followed(_followed(line, before), merged, "path", "new_path"), tidy))
+        now = settled(tidy.select(*LEAF))
+
+
+def batched(leaves: DataFrame, threshold: float | Column = 0.0, bound: str = "flat", whole: int = WHOLE) -> DataFrame:
+    """Leaves of the restructured trees: small trees many to a task, each by itself, in no rounds; trees of more than ``whole``
+    leaves by ``downsplit``. Both give the same trees."""
+    large = settled(leaves.groupBy("tree_id").agg(F.count("*").alias("n")).filter(F.col("n") > whole).select("tree_id"))
+    small = leaves if large.isEmpty() else leaves.join(large, "tree_id", "left_anti")
+    out = kernel.restructure(small, "batched", threshold, bound).select(*LEAF)
+    return out if small is leaves else out.unionByName(downsplit(leaves.join(large, "tree_id", "left_semi"), threshold, bound)[0].select(*LEAF))

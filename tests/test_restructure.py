@@ -2,13 +2,11 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.operators import coarsen, kernel, restructure
-from haargrid.operators import grid
-from tests.test_trees import BIN15, FULL112, GOLDEN, boxes, canonical, leaves_of, parse, random_full
+from tests.test_trees import BIN15, FULL112, GOLDEN, canonical, leaves_of, parse, random_full
 
 
 def random_tree(rng, depth):
@@ -32,18 +30,15 @@ def plain(trees):
     return sorted((i, p, tuple(r), round(v, 9)) for i, t in enumerate(trees) for p, r, v in kernel.rows_of(t))
 
 
-def test_push_down_equals_kernel(spark):
+def test_rounds_equal_kernel(spark):
     trees = forest(1)
-    assert rows(restructure.push_down(leaves_of(spark, trees))) == plain([kernel._push_all(t)[0] for t in trees])
+    pushed = [kernel._push_all(t)[0] for t in trees]
+    assert rows(restructure.push_down(leaves_of(spark, trees))) == plain(pushed)
+    assert rows(restructure.normalized(leaves_of(spark, pushed))) == plain([kernel.normalize(t) for t in pushed])
 
 
-def test_normalizing_equals_kernel(spark):
-    trees = [kernel._push_all(t)[0] for t in forest(2)]
-    assert rows(restructure.normalized(leaves_of(spark, trees))) == plain([kernel.normalize(t) for t in trees])
-
-
-@pytest.mark.parametrize("threshold", [0.0, 0.3])
-def test_downsplit_equals_kernel(spark, threshold):
+def test_downsplit_equals_kernel(spark):
+    threshold = 0.3
     trees = [canonical(t, threshold) for t in forest(3)]
     got, line = restructure.downsplit(leaves_of(spark, trees), threshold, lineage=True)
     expected = [kernel.downsplit(t, threshold) for t in trees]
@@ -67,7 +62,7 @@ def check_lineage(old, new, line):
 
 def test_thresholds_share_one_loop(spark):
     """A threshold for each tree gives what separate runs give."""
-    trees, thresholds = forest(4, 12), [0.0, 0.2, 0.5]
+    trees, thresholds = forest(4, 12), [0.0, 0.5]
     leaves = leaves_of(spark, trees).withColumn("t", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("tree_id", F.struct("t", "tree_id"))
     can = coarsen.canonical(leaves, F.col("tree_id.t")).drop("discarded")
     got, _ = restructure.downsplit(can, F.col("tree_id.t"))
