@@ -241,6 +241,8 @@ ORACLE_SQL: dict[str, str] = {
     "downsplit_lineage": one(*downsplit("can", "ds", "b"), *placed("can", "old_cell", "c"), *placed("ds", "new_cell", "d"))
     + " select o.tree_id, o.path as origin, n.path, count(*) / any_value(n.size)::double as share from old_cell o join (select *, count(*) over (partition by tree_id, path) as size from new_cell) n on n.tree_id = o.tree_id and n.i = o.i group by o.tree_id, o.path, n.path",
     "partitioned_compress": one(*PARTS) + " select tree_id, count(*) as boxes from seamless group by tree_id",
+    "resume_parts": one() + " select tree_id, left(path, 1) as part, count(*) as leaves from can where (tree_id + coalesce(try_cast(left(path, 1) as int), 0)) % 4 >= 2 group by all",
+    "resumed_compress": one(*PARTS) + leaf_rows("seamless"),
     "compare_thresholds": both(THREE_THRESHOLDS)
     + f""", count_ as (select count(distinct tree_id) as n, count(*) as cells from leaf),
  r as (select t, variant, nodes, boxes, a as e, cells from total join err using (t, variant) union all select t, 'given', 73 * n, 64 * n, 0.0, cells from (select distinct t from full_), count_ union all select t, 'dense', 0, cells, 0.0, cells from (select distinct t from full_), count_)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.functions.tables import settled, shared_folder
-from haargrid.jobs import sweeps
+from haargrid.jobs import parts, sweeps
 from haargrid.jobs.queries import query, r6, stats, vectors
 from haargrid.operators import coarsen, grid, kernel, report, restructure, sparse
 from haargrid.sources import files, grids
@@ -266,15 +266,32 @@ def partition_splits(spark, sf_dir):
     return box.select("grid", *[s.alias(f"cut_{c}") for c, s in zip("xyz", cuts, strict=True)], F.call_function("shiftleft", F.lit(1), cuts[0] + cuts[1] + cuts[2]).alias("n_parts"), *[(x - s).alias(f"left_{c}") for c, x, s in zip("xyz", levels, cuts, strict=True)])
 
 
+def _stopped_run(spark, sf_dir) -> tuple[DataFrame, str]:
+    """Canonical trees cut at their first step in four waves of parts, and where a run has stopped after two of them."""
+    can, at = _canonical(spark, sf_dir), place(spark, "parts")
+    parts.compress(can, at, 1, 0.06, 4, _wave(), stop_after=2)
+    return can, at
+
+
+def _wave():
+    return (F.col("tree_id") + F.coalesce(F.col("part").try_cast("int"), F.lit(0))) % 4
+
+
 @query
 def resume_parts(spark, sf_dir):
-    """Parts of the grids that are still to do when some have both files, some only one."""
-    v = user_grid(spark, sf_dir)
-    parts = v.groupBy("grid", F.shiftright("x", 4).alias("px"), F.shiftright("y", 2).alias("py")).agg(F.count("*").alias("voxels"))
-    done = parts.filter("(px + py) % 3 < 2").select("grid", "px", "py", F.explode(F.when((F.col("px") + F.col("py")) % 3 == 0, F.array(F.lit("shape"), F.lit("values"))).otherwise(F.array(F.lit("shape")))).alias("kind"))
-    at = place(spark, "manifest")
-    done.write.parquet(at)
-    return sweeps.pending(parts, spark.read.parquet(at), ["grid", "px", "py"])
+    """Parts that are still to do after a run was stopped, by its manifest, with their leaves."""
+    can, at = _stopped_run(spark, sf_dir)
+    every = parts.cut(can, 1).groupBy("tree_id", "part").agg(F.count("*").alias("leaves"))
+    return parts.pending(every, at)
+
+
+@query
+def resumed_compress(spark, sf_dir):
+    """A run that was stopped, started again, put together and coarsened over the seams."""
+    can, at = _stopped_run(spark, sf_dir)
+    parts.compress(can, at, 1, 0.06, 4, _wave())
+    out = parts.finish(spark, at, 0.06, pushes=False)
+    return _leaves(out)
 
 
 # files
@@ -302,10 +319,10 @@ def csv_pivot(spark, sf_dir):
 
 @query
 def stats_append(spark, sf_dir):
-    """Measurements appended to CSV under the fixed schema in two runs, and read from level 2 on."""
+    """Measurements appended under the fixed schema in four runs with the same things in several of them, and read from level 2 on."""
     at = place(spark, "stats")
     rows = stats(spark, sf_dir).select("thingi_id", "level", F.col("rows").alias("can_nodes"), F.col("can_bytes").alias("can_raw_total_bytes"), F.col("ds_bytes").alias("ds_raw_total_bytes"), F.lit("gone").alias("extra"))
-    for half in (rows.filter("thingi_id % 2 = 0"), rows.filter("thingi_id % 2 = 1")):
+    for half in (rows.filter("thingi_id % 2 = 0"), rows.filter("thingi_id % 3 != 0"), rows.filter("thingi_id % 2 = 0"), rows):
         files.append_stats(half, at)
     return files.read_stats(spark, at).select("thingi_id", "level", "can_nodes", "can_raw_total_bytes", "ds_raw_total_bytes", "vdb_file_bytes")
 

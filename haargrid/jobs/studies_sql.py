@@ -92,7 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "lineage_partial": DETAIL + """, plan as (select tree_id, path, case when max(abs(c)) <= 0.06 + 1e-12 then 3 else """ + " + ".join(f"(max(abs(c)) filter (j & {b} != 0) <= 0.06 + 1e-12)::int" for b in (1, 2, 4)) + """ end as dims from low group by all)
  select tree_id, (1 << dims)::bigint as n, sum(8 // (1 << dims))::bigint as leaves from plan group by all""",
     "partition_splits": f"with {GRID} select grid, " + ", ".join(f"{s}::int as cut_{c}, (level_{c} - {s})::int as left_{c}" for c, s in SPLITS.items()) + f", (1 << ({' + '.join(SPLITS.values())}))::int as n_parts from box",
-    "resume_parts": f"with {GRID} select grid, x >> 4 as px, y >> 2 as py, count(*) as voxels from g where ((x >> 4) + (y >> 2)) % 3 != 0 group by all",
     "metadata_roundtrip": f"with {GRID} select low_x || ',' || low_y || ',' || low_z as bbox_min, level_x || ',' || level_y || ',' || level_z as per_dim_levels, '2,1,1' as grid_levels, 16 as n_partitions from box",
     "csv_pivot": f"with {STATS} select thingi_id::varchar as thingi_id, " + ", ".join(f"coalesce(max(case when level = {x} then ds_bytes end)::varchar, 'nan') as l{x}" for x in range(1, 8)) + " from stats group by stats.thingi_id having count(ds_bytes) > 0",
     "stats_append": f"with {STATS} select thingi_id, level, n_rows as can_nodes, can_bytes as can_raw_total_bytes, ds_bytes as ds_raw_total_bytes, null::bigint as vdb_file_bytes from stats where level >= 2",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haargrid.functions.tables import settled
-from haargrid.operators import coarsen, grid, restructure
-from haargrid.sources import files
+from haargrid.operators import coarsen, grid, order, restructure
+from haargrid.sources import files, masks
 
 VALUE_BITS = 32
 
@@ -131,23 +131,29 @@ def stats_rows(leaves: DataFrame, voxels: DataFrame, things: DataFrame, threshol
 
 
 def save_stage(leaves: DataFrame, path: str, stage: str, threshold: float, dims: int, background: float = 0.0) -> None:
-    """Shapes, values that differ from the background, and the mask that says whose they are, below ``path`` by stage and threshold.
+    """Shapes, packed masks and values that differ from the background, below ``path`` by stage and threshold.
 
-    The mask is a column of the shape, one bit a leaf in the file. Saving a stage again replaces it.
+    Leaves are numbered in order; the mask has one bit for each, and values are numbered by the rank of their leaf's bit. Saving a
+    stage again replaces it.
     """
     at = f"{path}/stage={stage}/threshold={threshold}"
-    leaves.select("tree_id", "path", "refs", (F.col("value") != background).alias("stored")).write.mode("overwrite").parquet(f"{at}/shape")
-    leaves.filter(F.col("value") != background).select("tree_id", "path", "value").write.mode("overwrite").parquet(f"{at}/values")
+    rows = settled(order.numbered(leaves.select("tree_id", "path", "refs", "value"), "tree_id", [F.col("path")]).withColumn("stored", F.col("value") != background))
+    mask = settled(masks.pack(rows.select("tree_id", "ordinal", "stored")))
+    rows.select("tree_id", "ordinal", "path", "refs").write.mode("overwrite").parquet(f"{at}/shape")
+    mask.write.mode("overwrite").parquet(f"{at}/mask")
+    masks.ranked(rows.filter("stored").select("tree_id", "ordinal", "value"), mask).select("tree_id", "rank", "value").write.mode("overwrite").parquet(f"{at}/values")
 
 
 def read_stage(spark: SparkSession, path: str, stage: str, threshold: float, background: float = 0.0) -> DataFrame:
     """Leaves of a stored stage; a mask that doesn't fit the values is an error."""
     at = f"{path}/stage={stage}/threshold={threshold}"
-    shape, values = (spark.read.parquet(f"{at}/{name}") for name in ("shape", "values"))
-    marked = shape.filter("stored").select("tree_id", "path")
-    if not marked.join(values, ["tree_id", "path"], "left_anti").isEmpty() or not values.join(marked, ["tree_id", "path"], "left_anti").isEmpty():
+    shape, mask, values = (spark.read.parquet(f"{at}/{name}") for name in ("shape", "mask", "values"))
+    set_bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
+    n = mask.groupBy("tree_id").agg(F.sum(set_bits).alias("bits")).join(values.groupBy("tree_id").agg(F.count("*").alias("n"), F.max("rank").alias("last")), "tree_id", "full")
+    if not n.filter((F.coalesce("bits", F.lit(0)) != F.coalesce("n", F.lit(0))) | (F.coalesce("last", F.lit(-1)) + 1 != F.coalesce("n", F.lit(0)))).isEmpty():
         raise ValueError(f"values and mask differ in {at}")
-    return files.with_background(shape, values, background)
+    rows = masks.ranked(shape, mask).join(values, ["tree_id", "rank"], "left")
+    return rows.select("tree_id", "path", "refs", F.when(F.col("stored"), F.col("value")).otherwise(background).alias("value"))
 
 
 def world(cells: DataFrame, matrix: list[list[float]]) -> DataFrame:
@@ -156,7 +162,7 @@ def world(cells: DataFrame, matrix: list[list[float]]) -> DataFrame:
     return cells.select("*", *[sum((c[r] * F.lit(float(matrix[r][k])) for r in range(1, 4)), c[0] * F.lit(float(matrix[0][k]))).alias(f"world_{n}") for k, n in enumerate("xyz")])
 
 
-# partitioned runs
+# cuts of partitioned runs
 
 
 def default_splits(levels: list[Column], workers: int) -> list[Column]:
@@ -165,9 +171,3 @@ def default_splits(levels: list[Column], workers: int) -> list[Column]:
 
     s = max(1, ceil(log2(max(8 * workers, 8)) / len(levels)))
     return [F.least(F.lit(s), F.greatest(F.lit(1), x - 3)) for x in levels]
-
-
-def pending(parts: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
-    """Parts that no run has finished: a part counts as done when both its shape and its values are in the manifest."""
-    done = manifest.groupBy(*keys).agg(F.count_distinct("kind").alias("kinds")).filter("kinds = 2").select(*keys)
-    return parts.join(done, keys, "left_anti")

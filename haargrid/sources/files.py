@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haargrid.sources import log
+
 # The columns of the statistics and of the threshold sweep, in their order.
 _METHOD = ("nodes long", "boxes long", "topo_bits long", "ref_counts string", "raw_total_bytes long", "blosc2_total_bytes double", "desc_raw_bytes long", "desc_blosc2_bytes double", "coeffs_raw_bytes long", "coeffs_blosc2_bytes double")
 _VDB = ("topo_bits", "topo_bytes", "active_leaf_voxels", "dense_value_bits", "active_value_bits", "active_leaf", "inactive_leaf", "active_tiles", "total_leaf_coefficients", "total_coefficients", "file_bytes")
@@ -23,8 +25,9 @@ TOOL = (
 
 
 def read_stats(spark: SparkSession, path: str, schema: str = STATS, least_level: int = 2) -> DataFrame:
-    """Measurements from CSV with a header, of levels from ``least_level`` on; nan is missing."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "nan").csv(path).filter(F.col("level") >= least_level)
+    """Measurements from CSV with a header, of levels from ``least_level`` on; nan is missing. Of appended ones, those that count."""
+    rows = log.read(spark, path, schema, "csv") if log.commits(spark, path) else spark.read.schema(schema).option("header", True).option("nullValue", "nan").csv(path)
+    return rows.filter(F.col("level") >= least_level)
 
 
 def conform(rows: DataFrame, schema: str) -> DataFrame:
@@ -33,8 +36,9 @@ def conform(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
-def append_stats(rows: DataFrame, path: str, schema: str = STATS) -> None:
-    conform(rows, schema).write.mode("append").option("header", True).option("nullValue", "nan").csv(path)
+def append_stats(rows: DataFrame, path: str, schema: str = STATS, keys: tuple[str, ...] = ("thingi_id", "level")) -> int:
+    """Adds the rows whose keys aren't there as CSV, as ``log.append`` does: repeated and concurrent runs leave each key once."""
+    return log.append(conform(rows, schema), path, list(keys), schema, "csv")
 
 
 def tool_summaries(spark: SparkSession, path: str) -> DataFrame:
