@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haargrid.functions import paths
+from haargrid.operators import descriptor
 
 AXES = "xyz"
 
@@ -95,28 +96,8 @@ def descriptors(leaves: DataFrame, dims: int) -> DataFrame:
 
 
 def read_descriptors(files: DataFrame, dims: int) -> DataFrame:
-    """Leaves (without values) of topology files (tree_id, descriptor): one small tree walk for each file."""
-    import pandas as pd
-
-    schema = files.select("tree_id").withColumn("path", F.lit("")).withColumn("refs", F.array(F.lit(0))).schema
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for tree, raw in zip(pdf["tree_id"], pdf["descriptor"], strict=True):
-                bits = "".join(f"{b:08b}" for b in raw)
-                stack, at = [("", ())], 0
-                while stack:
-                    path, refs = stack.pop()
-                    ref = sum(int(c) << d for d, c in enumerate(bits[at : at + dims]))
-                    at += dims
-                    if ref:
-                        stack += [(f"{path}{s}", (*refs, ref)) for s in reversed(range(1 << ref.bit_count()))]
-                    else:
-                        out.append((tree, path, list(refs)))
-            yield pd.DataFrame(out, columns=["tree_id", "path", "refs"])
-
-    return files.select("tree_id", "descriptor").mapInPandas(run, schema)
+    """Leaves (without values) of topology files (tree_id, descriptor), which are parsed in chunks."""
+    return descriptor.read(descriptor.split(files, dims), dims)
 
 
 def compose(parts: DataFrame, top_levels: int, dims: int) -> DataFrame:
