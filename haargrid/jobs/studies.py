@@ -12,7 +12,7 @@ from haargrid.functions.tables import settled, shared_folder
 from haargrid.jobs import parts, sweeps
 from haargrid.jobs.queries import query, r6, stats, vectors
 from haargrid.operators import coarsen, grid, kernel, report, restructure, sparse
-from haargrid.sources import files, grids
+from haargrid.sources import files, grids, mesh
 
 THRESHOLDS = [0.0, 0.06, 0.1]
 #: Index to world: a row for each axis, then the origin.
@@ -425,6 +425,34 @@ def unit_cube(spark, sf_dir):
     return out.select("thing", "l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in "xyz"])
 
 
+def supplier_solids(spark, sf_dir) -> DataFrame:
+    """A box or a tetrahedron for each supplier, its place and sides from the supplier's numbers; one in five has a hole."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = grids.read(spark, sf_dir, "supplier").select(k.alias("mesh"), (k % 4 + 0.25).alias("x"), (n % 3 + 0.0).alias("y"), (k % 3 + 0.0).alias("z"), (k % 7 + 2.0).alias("sx"), (n % 5 + 3.0).alias("sy"), (F.abs("s_acctbal").cast("long") % 6 + 2.0).alias("sz"))
+    hole = F.col("mesh") % 5 == 0
+    return mesh.solids(rows.filter("mesh % 2 = 0"), mesh.BOX, hole).unionByName(mesh.solids(rows.filter("mesh % 2 = 1").withColumn("x", F.floor("x") + 0.2718), mesh.TETRAHEDRON, hole))
+
+
+@query
+def open_meshes(spark, sf_dir):
+    return mesh.open_meshes(supplier_solids(spark, sf_dir))
+
+
+@query
+def mesh_voxels(spark, sf_dir):
+    """Cells inside the suppliers' closed solids."""
+    return mesh.voxels(supplier_solids(spark, sf_dir)).select("grid", "x", "y", "z")
+
+
+@query
+def mesh_trees(spark, sf_dir):
+    """Adaptive trees of the solids: leaves and volume, in cells, of what is inside."""
+    v = settled(mesh.voxels(supplier_solids(spark, sf_dir)))
+    box = settled(sparse.extent(v))
+    b = sparse.placed_boxes(sparse.adaptive(v, box), box)
+    return b.groupBy("tree_id").agg(F.count("*").alias("leaves"), F.sum(F.when(F.col("value") > 0, F.col("size_x") * F.col("size_y") * F.col("size_z")).otherwise(0)).alias("cells"))
+
+
 @query
 def mesh_filter_slice(spark, sf_dir):
     """Slice 2 of 5 of the parts that pass the filter on size, kind and price."""

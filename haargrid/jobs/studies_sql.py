@@ -56,6 +56,12 @@ THREE = GRID + """, a as (select grid, x, y, z, v from g), b as (select * from a
 SPLITS = {c: f"least(2, greatest(1, level_{c} - 3))" for c in "xyz"}
 
 
+#: Cells of 16 a side whose middles lie in the suppliers' closed solids, by the solids' inequalities.
+SOLIDS = """solid as (select s_suppkey as grid, s_suppkey % 2 = 0 as box, case when s_suppkey % 2 = 0 then s_suppkey % 4 + 0.25::double else s_suppkey % 4 + 0.2718::double end as px, s_nationkey % 3 as py, s_suppkey % 3 as pz, s_suppkey % 7 + 2.0::double as sx, s_nationkey % 5 + 3.0::double as sy, floor(abs(s_acctbal))::bigint % 6 + 2.0::double as sz from supplier where s_suppkey % 5 != 0),
+r as (select unnest(range(0, 16))::bigint as i), inside as (select grid, a.i as x, b.i as y, c.i as z from solid, r a, r b, r c where a.i + 0.5::double > px and b.i + 0.5::double > py and c.i + 0.5::double > pz
+ and case when box then a.i + 0.5 < px + sx and b.i + 0.5 < py + sy and c.i + 0.5 < pz + sz else (a.i + 0.5::double - px) / sx + (b.i + 0.5::double - py) / sy + (c.i + 0.5::double - pz) / sz < 1 end)"""
+
+
 def differing(p: str, q: str) -> str:
     return f"select '{p}' as first, '{q}' as second, count(*) filter ({p}.v is distinct from {q}.v) as cells from {p} full join {q} using (grid, x, y, z)"
 
@@ -68,6 +74,8 @@ def metric(name: str, value: str) -> str:
 RATE = "case when {c}_lo > 0 and {c}_hi > 0 then round(log2({c}_hi / {c}_lo), 6) + 0.0 end as rate_{c}"
 EXTREMES = """select level, thingi_id, {r} as ratio, lo::int as rank, 'smallest' as block, kind from k where lo <= 10 union all select level, thingi_id, {r}, hi::int, 'largest', kind from k where hi <= 10"""
 
+SOLID_TREE = f"{SOLIDS}, g as (select *, 1.0::double as v from inside), " + TREE.split("group by all),\n", 1)[1]
+
 ORACLE_SQL: dict[str, str] = {
     "sparse_build_events": f"with {TREE} select grid as tree_id, path, v as value from tree",
     "ref_histogram_partial": f"with {TREE} select (" + " + ".join(f"{1 << d} * (level_{c} > length(path))::int" for d, c in enumerate("xyz")) + ")::int as ref, count(*) as n from split group by 1",
@@ -115,5 +123,8 @@ ORACLE_SQL: dict[str, str] = {
     "unit_cube": """with p as (select l_returnflag as thing, l_orderkey, l_linenumber, l_partkey::double as x, l_suppkey::double as y, l_quantity as z from lineitem),
  b as (select thing, min(x) as lx, min(y) as ly, min(z) as lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) as side from p group by thing)
  select thing, l_orderkey, l_linenumber, """ + ", ".join(f"{r6(f'case when side > 0 then ({c} - l{c}) / side else 0 end')} as {c}" for c in "xyz") + " from p join b using (thing)",
+    "open_meshes": "select s_suppkey as mesh from supplier where s_suppkey % 5 = 0",
+    "mesh_trees": f"with {SOLID_TREE} select grid as tree_id, count(*) as leaves, sum(case when v > 0 then size_x * size_y * size_z else 0 end)::bigint as cells from placed group by grid",
+    "mesh_voxels": f"with {SOLIDS} select grid, x, y, z from inside",
     "mesh_filter_slice": "select p_partkey, rn as row from (select p_partkey, row_number() over (order by p_partkey) - 1 as rn, count(*) over () as n from part where p_size <= 40 and p_brand is not null and p_retailprice > 0) where rn >= round_even(2 * n / 5.0, 0) and rn < round_even(3 * n / 5.0, 0)",
 }

@@ -88,3 +88,15 @@ def test_stopped_run_goes_on(spark, tmp_path):
     assert rows(parts.composed(spark, stopped)) == rows(parts.composed(spark, whole))
     assert parts.compress(leaves, stopped, 1, 0.4, 4, wave) == 0
     assert parts.composed(spark, stopped).count() <= leaves.count()
+
+
+def test_solids_on_the_cells_middles(spark):
+    """Diagonals of faces that go through the middles of cells count once; a mesh with a hole or a doubled face isn't closed."""
+    from haargrid.sources import mesh
+
+    rows = spark.createDataFrame([(k, float(k % 3), float(k), 0.0, 4.0, 4.0, 3.0) for k in range(4)], "mesh long, x double, y double, z double, sx double, sy double, sz double")
+    triangles = mesh.solids(rows, mesh.BOX, F.col("mesh") == 3)
+    triangles = triangles.unionByName(triangles.filter("mesh = 2").limit(1))
+    assert sorted(r.mesh for r in mesh.open_meshes(triangles).collect()) == [2, 3]
+    got = sorted((r.grid, r.x, r.y, r.z) for r in mesh.voxels(triangles).collect())
+    assert got == sorted((k, k % 3 + x, k + y, z) for k in range(2) for x in range(4) for y in range(4) for z in range(3))
