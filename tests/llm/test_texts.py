@@ -224,6 +224,26 @@ def test_flac_round_trip(spark, odd, empty):
     assert media.read_back(media.store(empty)).count() == 0
 
 
+def test_flac_features_and_stored_bytes(spark, odd):
+    """The media columns are those of the stored file, the features those of plain arithmetic on its samples; equal texts have equal ones."""
+    stored = media.store(odd)
+    files = {r.doc_id: bytes(r.media) for r in stored.filter("doc_id is not null").collect()}
+    rows = [r for r in media.read_back(stored).collect() if r.doc_id is not None]
+    assert len(rows) == len(ODD)
+    for r in rows:
+        t = ODD[r.doc_id]
+        raw = (t or "").encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        assert (r.media_bytes, r.media_sha256) == (len(files[r.doc_id]), hashlib.sha256(files[r.doc_id]).hexdigest())
+        s = [b - 128 for b in raw]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(s, s[1:], strict=False))
+        frames = len(list(media.decode([files[r.doc_id]])))
+        assert r.feature == f"frames={frames};min={min(s)};max={max(s)};sum={sum(s)};energy={sum(x * x for x in s)};turns={turns}"
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(ODD[r.doc_id] or "", (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
 class Bits:
     def __init__(self):
         self.s = ""
