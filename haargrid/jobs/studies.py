@@ -12,7 +12,7 @@ from haargrid.functions.tables import settled, shared_folder
 from haargrid.jobs import parts, sweeps
 from haargrid.jobs.queries import query, r6, stats, vectors
 from haargrid.operators import coarsen, grid, kernel, report, restructure, sparse
-from haargrid.sources import files, grids, mesh
+from haargrid.sources import files, grids, mesh, slices
 
 THRESHOLDS = [0.0, 0.06, 0.1]
 #: Index to world: a row for each axis, then the origin.
@@ -372,6 +372,33 @@ def named_grid_scan(spark, sf_dir):
     return grids.named_grid(v, name)
 
 
+def line_ellipsoid(spark, sf_dir):
+    """(inside, level) of an ellipsoid as long, wide and high as the order lines' numbers spread; finer for more customers."""
+    spread = grids.read(spark, sf_dir, "lineitem").agg(*[(F.max(c) - F.min(c)).cast("double") for c in ("l_partkey", "l_suppkey", "l_quantity")]).first()
+    level = (grids.read(spark, sf_dir, "customer").count().bit_length() - 1) // 2 + 2
+    a, b, c = (0.5 * s / max(spread) for s in spread)
+
+    def inside(x, y, z):
+        u, v, w = (x - 0.5) / a, (y - 0.5) / b, (z - 0.5) / c
+        return u * u + v * v + w * w <= 1.0
+
+    return inside, level
+
+
+@query
+def slice_blocks(spark, sf_dir):
+    """Blocks of the slices of an ellipsoid, by side: how many, and where they lie."""
+    inside, level = line_ellipsoid(spark, sf_dir)
+    return slices.read(spark, inside, level).groupBy("side").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in "xyz"])
+
+
+@query
+def slice_tree(spark, sf_dir):
+    """The adaptive tree of that ellipsoid, from blocks."""
+    inside, level = line_ellipsoid(spark, sf_dir)
+    return sparse.adaptive(slices.read(spark, inside, level), slices.cube(spark, level)).select("tree_id", "path", "value")
+
+
 # reports
 
 

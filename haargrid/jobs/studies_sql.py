@@ -76,7 +76,19 @@ EXTREMES = """select level, thingi_id, {r} as ratio, lo::int as rank, 'smallest'
 
 SOLID_TREE = f"{SOLIDS}, g as (select *, 1.0::double as v from inside), " + TREE.split("group by all),\n", 1)[1]
 
+# cells of the ellipsoid of order lines, without blocks; the box is the whole cube
+CUBE = """spread as (select x, y, z, greatest(x, y, z) as longest from (select (max(l_partkey) - min(l_partkey))::double as x, (max(l_suppkey) - min(l_suppkey))::double as y, (max(l_quantity) - min(l_quantity))::double as z from lineitem)),
+lv as (select floor(log2(n))::int // 2 + 2 as level from (select count(*) as n from customer)), mid as (select i::bigint as i, (i + 0.5::double) / (1 << level) - 0.5 as m from (select level, unnest(range(0, (1 << level)::bigint)) as i from lv)),
+""" + ", ".join(f"m{c} as (select i as {c}, (m / (0.5::double * {c} / longest)) * (m / (0.5::double * {c} / longest)) as q{c} from mid, spread)" for c in "xyz") + """,
+g as materialized (select 'shape' as grid, x, y, z, 1.0::double as v from mx join my on qx + qy <= 1.0 join mz on qx + qy + qz <= 1.0),
+box as (select 'shape' as grid, level as deepest, """ + ", ".join(f"0::bigint as low_{c}, (1 << level)::bigint as high_{c}, level as level_{c}" for c in "xyz") + " from lv)"
+CUBE_TREE = CUBE + ", " + TREE.split("from g group by grid)), ", 1)[1]
+_WHOLE = ", ".join(f"w{k} as (select x >> {k} as x, y >> {k} as y, z >> {k} as z from g group by all having count(*) = {8**k})" for k in range(4))
+_LARGEST = " union all ".join(f"select {1 << k} as side, a.x << {k} as x, a.y << {k} as y, a.z << {k} as z from w{k} a" + (f" anti join (select x, y, z from w{k + 1}) b on b.x = a.x >> 1 and b.y = a.y >> 1 and b.z = a.z >> 1" if k < 3 else "") for k in range(4))
+
 ORACLE_SQL: dict[str, str] = {
+    "slice_blocks": f"with {CUBE}, {_WHOLE} select side::bigint as side, count(*) as n, " + ", ".join(f"sum({c})::bigint as sum_{c}" for c in "xyz") + f" from ({_LARGEST}) group by side",
+    "slice_tree": f"with {CUBE_TREE} select grid as tree_id, path, v as value from tree",
     "sparse_build_events": f"with {TREE} select grid as tree_id, path, v as value from tree",
     "ref_histogram_partial": f"with {TREE} select (" + " + ".join(f"{1 << d} * (level_{c} > length(path))::int" for d, c in enumerate("xyz")) + ")::int as ref, count(*) as n from split group by 1",
     "grid_levels": f"with {GRID} select grid, level_x, level_y, level_z, " + ", ".join(f"least(level_{c}, 4)::int as capped_{c}, least(floor(log2(high_{c} - low_{c} + 1)), 4)::int as base_{c}" for c in "xyz") + ", full_nodes from box join (select grid, sum(1::bigint << (" + " + ".join(f"least(level_{c}, d)" for c in "xyz") + "))::bigint as full_nodes from (select *, unnest(range(0, deepest + 1))::int as d from box) group by grid) using (grid)",

@@ -62,15 +62,19 @@ def adaptive(voxels: DataFrame, box: DataFrame, background: float = 0.0) -> Data
 
     ``voxels`` has (grid, x, y, z, value), ``box`` for each grid what ``extent`` gives. A region of any size that
     is uniform is one leaf. A grid without voxels has no row in ``box`` and no tree; repeated voxels
-    of a place must be made one before.
+    of a place must be made one before. Voxels may be cubes of ``side`` cells, a power of two, at multiples
+    of it in boxes whose dimensions have one level; they are never cut into cells.
     """
     levels = [F.col(f"level_{c}") for c in AXES]
     deepest = F.greatest(*levels)
     local = [F.col(c) - F.col(f"low_{c}") for c in AXES]
-    placed = voxels.join(box, "grid").select("grid", "value", *levels, F.transform(F.sequence(F.lit(0), F.greatest(deepest - 1, F.lit(0))), lambda d: F.when(d < deepest, _slot(local, levels, d).cast("string")).otherwise("")).alias("steps"))
+    cubes = "side" in voxels.columns
+    last = deepest - (F.length(F.bin("side")) - 1) if cubes else deepest
+    size = F.col("side") * F.col("side") * F.col("side") if cubes else F.lit(1).cast("long")
+    placed = voxels.join(box, "grid").select("grid", "value", *levels, last.alias("last"), size.alias("size"), F.transform(F.sequence(F.lit(0), F.greatest(deepest - 1, F.lit(0))), lambda d: F.when(d < deepest, _slot(local, levels, d).cast("string")).otherwise("")).alias("steps"))
     path = F.array_join("steps", "")
-    region = placed.select("grid", *levels, "value", path.alias("full"), F.explode(F.sequence(F.lit(0), deepest)).alias("d"))
-    node = region.groupBy("grid", *levels, F.substr("full", F.lit(1), F.col("d")).alias("path")).agg(F.count("*").alias("stored"), F.min("value").alias("low"), F.max("value").alias("high"))
+    region = placed.select("grid", *levels, "value", "size", path.alias("full"), F.explode(F.sequence(F.lit(0), "last")).alias("d"))
+    node = region.groupBy("grid", *levels, F.substr("full", F.lit(1), F.col("d")).alias("path")).agg(F.sum("size").alias("stored"), F.min("value").alias("low"), F.max("value").alias("high"))
     left = sum((F.greatest(x - F.length("path"), F.lit(0)) for x in levels), F.lit(0))
     holes = F.col("stored") < F.call_function("shiftleft", F.lit(1).cast("long"), left)
     low, high = (F.when(holes, f(F.col(c), F.lit(background))).otherwise(F.col(c)) for f, c in ((F.least, "low"), (F.greatest, "high")))
