@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.functions.tables import settled, shared_folder
-from haargrid.jobs import parts, sweeps
+from haargrid.jobs import images, parts, sweeps
 from haargrid.jobs.queries import query, r6, stats, vectors
 from haargrid.operators import coarsen, grid, kernel, report, restructure, sparse
-from haargrid.sources import files, grids, mesh, slices
+from haargrid.sources import files, grids, mesh, slices, tiff
 
 THRESHOLDS = [0.0, 0.06, 0.1]
 #: Index to world: a row for each axis, then the origin.
@@ -373,10 +373,10 @@ def named_grid_scan(spark, sf_dir):
 
 
 def line_ellipsoid(spark, sf_dir):
-    """(inside, level) of an ellipsoid as long, wide and high as the order lines' numbers spread; finer for more customers."""
+    """(inside, level) of an ellipsoid that is longer where the order lines' numbers spread more; finer for more customers."""
     spread = grids.read(spark, sf_dir, "lineitem").agg(*[(F.max(c) - F.min(c)).cast("double") for c in ("l_partkey", "l_suppkey", "l_quantity")]).first()
     level = (grids.read(spark, sf_dir, "customer").count().bit_length() - 1) // 2 + 2
-    a, b, c = (0.5 * s / max(spread) for s in spread)
+    a, b, c = (0.25 + 0.25 * s / max(spread) for s in spread)
 
     def inside(x, y, z):
         u, v, w = (x - 0.5) / a, (y - 0.5) / b, (z - 0.5) / c
@@ -399,6 +399,39 @@ def slice_tree(spark, sf_dir):
     return sparse.adaptive(slices.read(spark, inside, level), slices.cube(spark, level)).select("tree_id", "path", "value")
 
 
+# images
+
+
+def supplier_images(spark, sf_dir) -> DataFrame:
+    """An image file of 16 bits for each supplier, 7 rows high and 5 to 13 columns wide: what was ordered by line number and part."""
+    lines = grids.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tree_id"), (F.col("l_linenumber") - 1).cast("long").alias("x"), (F.col("l_partkey") % (F.col("l_suppkey") % 9 + 5)).cast("long").alias("y"), "l_quantity")
+    return settled(tiff.files_of(lines.groupBy("tree_id", "x", "y").agg((F.sum("l_quantity").cast("long") % 65536).cast("int").alias("level"))))
+
+
+def compressed_images(spark, sf_dir):
+    return images.compressed(settled(tiff.cells(supplier_images(spark, sf_dir))), 0.0005)
+
+
+@query
+def tiff_cells(spark, sf_dir):
+    """Brightness of all cells of the files."""
+    return tiff.cells(supplier_images(spark, sf_dir)).select(F.col("tree_id").cast("long").alias("tree_id"), "x", "y", F.round(F.col("value"), 9).alias("value"))
+
+
+@query
+def image_compress(spark, sf_dir):
+    """Images to trees, compressed: sizes before and after, and what became different."""
+    out = images.summary(*compressed_images(spark, sf_dir))
+    return out.select(F.col("tree_id").cast("long").alias("tree_id"), "boxes_before", "boxes_after", "nodes_before", "nodes_after", F.round("max_difference", 9).alias("max_difference"), (F.round("mean_difference", 9) + 0.0).alias("mean_difference"))
+
+
+@query
+def image_resample(spark, sf_dir):
+    """The compressed images at half their resolution."""
+    box, _, after = compressed_images(spark, sf_dir)
+    return images.resampled(after, box, 1).select(F.col("tree_id").cast("long").alias("tree_id"), "x", "y", F.round("value", 9).alias("value"))
+
+
 # reports
 
 

@@ -79,7 +79,7 @@ SOLID_TREE = f"{SOLIDS}, g as (select *, 1.0::double as v from inside), " + TREE
 # cells of the ellipsoid of order lines, without blocks; the box is the whole cube
 CUBE = """spread as (select x, y, z, greatest(x, y, z) as longest from (select (max(l_partkey) - min(l_partkey))::double as x, (max(l_suppkey) - min(l_suppkey))::double as y, (max(l_quantity) - min(l_quantity))::double as z from lineitem)),
 lv as (select floor(log2(n))::int // 2 + 2 as level from (select count(*) as n from customer)), mid as (select i::bigint as i, (i + 0.5::double) / (1 << level) - 0.5 as m from (select level, unnest(range(0, (1 << level)::bigint)) as i from lv)),
-""" + ", ".join(f"m{c} as (select i as {c}, (m / (0.5::double * {c} / longest)) * (m / (0.5::double * {c} / longest)) as q{c} from mid, spread)" for c in "xyz") + """,
+""" + ", ".join(f"m{c} as (select i as {c}, (m / (0.25::double + 0.25::double * {c} / longest)) * (m / (0.25::double + 0.25::double * {c} / longest)) as q{c} from mid, spread)" for c in "xyz") + """,
 g as materialized (select 'shape' as grid, x, y, z, 1.0::double as v from mx join my on qx + qy <= 1.0 join mz on qx + qy + qz <= 1.0),
 box as (select 'shape' as grid, level as deepest, """ + ", ".join(f"0::bigint as low_{c}, (1 << level)::bigint as high_{c}, level as level_{c}" for c in "xyz") + " from lv)"
 CUBE_TREE = CUBE + ", " + TREE.split("from g group by grid)), ", 1)[1]

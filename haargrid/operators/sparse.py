@@ -89,6 +89,21 @@ def adaptive(voxels: DataFrame, box: DataFrame, background: float = 0.0) -> Data
     return met.select(F.col("grid").alias("tree_id"), "path", F.slice(steps, F.lit(1), F.length("path")).alias("refs"), F.coalesce("low", F.lit(background)).alias("value"))
 
 
+def full(cells: DataFrame, box: DataFrame) -> DataFrame:
+    """Leaves of the full trees of grids' boxes, one a cell, from (grid, x, y, z, value); cells beyond a box are left out."""
+    levels = [F.col(f"level_{c}") for c in AXES]
+    deepest = F.greatest(*levels)
+    local = [F.col(c) - F.col(f"low_{c}") for c in AXES]
+    inside = cells.join(box, "grid")
+    for at, x in zip(local, levels, strict=True):
+        inside = inside.filter((at >= 0) & (at < F.call_function("shiftleft", F.lit(1).cast("long"), x)))
+    depths = F.filter(F.sequence(F.lit(0), deepest), lambda d: d < deepest)
+    return inside.select(
+        F.col("grid").alias("tree_id"), F.array_join(F.transform(depths, lambda d: _slot(local, levels, d).cast("string")), "").alias("path"),
+        F.transform(depths, lambda d: _ref(levels, d).cast("int")).alias("refs"), F.col("value").cast("double").alias("value"),
+    )
+
+
 def placed_boxes(leaves: DataFrame, box: DataFrame) -> DataFrame:
     """Leaves with the least cell (x, y, z, in the grid's own coordinates) and the number of cells of their box by dimension."""
     out = leaves.join(box.withColumnRenamed("grid", "tree_id"), "tree_id")

@@ -5,10 +5,10 @@ import os
 
 import pytest
 
-from haargrid.jobs import oracle, restructure_sql, studies, studies_sql  # noqa: F401
+from haargrid.jobs import images_sql, oracle, restructure_sql, studies, studies_sql  # noqa: F401
 from haargrid.jobs.queries import QUERIES
 
-ORACLE_SQL = oracle.ORACLE_SQL | studies_sql.ORACLE_SQL | restructure_sql.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | studies_sql.ORACLE_SQL | restructure_sql.ORACLE_SQL | images_sql.ORACLE_SQL
 
 
 def plain(x):
