@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from haargrid.llm import bwt_dedup, embed_dedup, jaccard_join, line_dedup, queries, set_join
+from haargrid.llm import bwt_dedup, embed_dedup, exchange, jaccard_join, line_dedup, queries, set_join
 from haargrid.llm.components import components
 
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from here into the deep dark wood where no one ever goes at night"
@@ -385,3 +385,20 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, id string, removed string, `left` string")
     out = {r.doc_id: tuple(r) for r in line_dedup.without_repeated_lines(docs).collect()}
     assert out == {1: rows[0], 2: (2, two, "u", "v", "w", "x"), None: rows[2], 4: rows[3]}
+
+
+def test_only_rows_that_a_join_may_keep_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("case when id % 1000 = 7 then null else id end as id", "cast(id % 3 as int) as no")
+    wanted = spark.range(0, 20_000, 100).selectExpr("id", "id % 3 as no")
+    found = exchange.among(rows, wanted, ["id", "no"])
+    assert found.columns == rows.columns
+    assert found.join(wanted, ["id", "no"]).count() == 200 and found.count() < 250
+    assert exchange.among(rows, wanted.limit(0), ["id", "no"]).count() == 0
+    # texts without a candidate line and those that lose none stay where they are, and a full filter changes nothing
+    docs = spark.createDataFrame([(k, f"line {k // 2} of a text that stands in two\nline {k} of a text that is alone {'xyz'[k % 3] * 40}\n\n{k}") for k in range(60)] + [(None, "line 1 of a text that stands in two"), (99, None)], "doc_id long, text string")
+    real, seen = exchange.marked, []
+    monkeypatch.setattr(line_dedup, "marked", lambda *x: seen.append(real(*x)) or seen[-1])
+    want = sorted(map(repr, line_dedup.without_repeated_lines(docs).collect()))
+    assert 0 < seen[0].filter("maybe").count() < 60
+    monkeypatch.setattr(exchange, "FILTER", 64)
+    assert sorted(map(repr, line_dedup.without_repeated_lines(docs).collect())) == want
