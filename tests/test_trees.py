@@ -188,3 +188,15 @@ def test_morton_inverse(spark):
     m = spark.range(512)
     code = paths.morton([paths.unmorton(F.col("id"), 3, 3, d) for d in range(3)], 3)
     assert m.filter(code != F.col("id")).count() == 0
+
+
+def test_sparse_voxels_give_the_trees_of_the_filled_grids_and_move_once(spark):
+    r = random.Random(7)
+    rows = [(g, x, y, z, float(r.randint(0, 2))) for g in range(6) for x in range(4) for y in range(4) for z in range(4) if g == 5 or r.random() < g / 5]
+    voxels = spark.createDataFrame(rows, "grid long, x long, y long, z long, value double")
+    key = lambda t: sorted((r.tree_id, r.path, list(r.refs), r.value) for r in t.collect())
+    filled = grids.padded(voxels, 4).withColumnRenamed("grid", "tree_id")
+    tree = coarsen.adaptive_sparse(voxels, list("xyz"), 2)
+    assert key(tree) == key(coarsen.adaptive(filled, list("xyz"), 2))
+    nodes = tree.groupBy("tree_id", "path").count()
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
