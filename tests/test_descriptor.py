@@ -25,3 +25,12 @@ def test_chunks_meet(spark, nodes):
         joined[r.tree_id] += bytes(r.bits)
     assert joined == {r.tree_id: bytes(r.descriptor) for r in files.collect()}
     assert shape(descriptor.read(descriptor.split(files, 3, nodes), 3)) == shape(leaves)
+
+
+def test_first_chunks_are_parsed_where_they_lie(spark):
+    one = [(0, "", [], 1.0), (1, "0", [1], 1.0), (1, "1", [1], 2.0)]
+    many = [(2, f"{a}{b}{c}", [7, 7, 7], 1.0) for a in range(8) for b in range(8) for c in range(8)]
+    leaves = spark.createDataFrame(one + many, "tree_id long, path string, refs array<int>, value double")
+    found = descriptor.read(descriptor.chunks(leaves, 3, nodes=64), 3)
+    assert sorted((r.tree_id, r.path, list(r.refs)) for r in found.collect()) == sorted((r[0], r[1], r[2]) for r in one + many)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()  # only trees of several chunks are summed up
