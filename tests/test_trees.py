@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haargrid.functions import paths
+from haargrid.jobs import queries
 from haargrid.operators import coarsen, grid, haar, kernel
 from haargrid.sources import grids
 
@@ -200,3 +201,11 @@ def test_sparse_voxels_give_the_trees_of_the_filled_grids_and_move_once(spark):
     assert key(tree) == key(coarsen.adaptive(filled, list("xyz"), 2))
     nodes = tree.groupBy("tree_id", "path").count()
     assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_event_trees_take_as_many_tasks_as_events_need_whatever_their_bytes(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "EVENTS", 100)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    tree = queries.event_tree(spark, sf_dir)
+    assert tree.rdd.getNumPartitions() == events // 100 + 1 > 4
+    assert tree.groupBy("tree_id", "path").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
