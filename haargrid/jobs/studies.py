@@ -15,6 +15,8 @@ from haargrid.operators import coarsen, grid, kernel, report, restructure, spars
 from haargrid.sources import files, grids, mesh, slices, tiff
 
 THRESHOLDS = [0.0, 0.06, 0.1]
+#: Voxels of a task that builds trees: it holds some dozens of nodes for each.
+VOXELS = 50_000
 #: Index to world: a row for each axis, then the origin.
 MATRIX = [[0.5, 0.0, 0.0], [0.25, 0.5, 0.0], [0.0, 0.0, 2.0], [1.0, -2.0, 3.0]]
 
@@ -32,7 +34,7 @@ def user_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_tree(spark, sf_dir):
     v = settled(user_grid(spark, sf_dir))
     box = settled(sparse.extent(v))
-    return v, box, settled(sparse.adaptive(v, box))
+    return v, box, settled(sparse.adaptive(v, box, partitions=v.count() // VOXELS + 1))
 
 
 @query

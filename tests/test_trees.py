@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haargrid.functions import paths
 from haargrid.jobs import queries
-from haargrid.operators import coarsen, grid, haar, kernel
+from haargrid.operators import coarsen, grid, haar, kernel, sparse
 from haargrid.sources import grids
 
 #: descriptor (dimension 0 leftmost), leaf values, boxes at first, after canonical coarsening, after restructuring
@@ -209,3 +209,32 @@ def test_event_trees_take_as_many_tasks_as_events_need_whatever_their_bytes(spar
     tree = queries.event_tree(spark, sf_dir)
     assert tree.rdd.getNumPartitions() == events // 100 + 1 > 4
     assert tree.groupBy("tree_id", "path").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_trees_of_scattered_voxels_move_voxels_and_heads_only(spark, sf_dir, monkeypatch):
+    from haargrid.jobs import studies
+
+    v = studies.user_grid(spark, sf_dir)
+    box = sparse.extent(v)
+    shape = lambda t: sorted((r.tree_id, r.path, list(r.refs), r.value) for r in t.collect())
+    found = {}
+    for bits in (4, 9, 15, 40):  # 40: no box has so many halvings, so all nodes take the way of the upper ones
+        monkeypatch.setattr(sparse, "HEAD_BITS", bits)
+        found[bits] = shape(sparse.adaptive(v, box, partitions=5))
+    assert found[4] == found[9] == found[15] == found[40]
+    monkeypatch.setattr(sparse, "HEAD_BITS", 9)
+    plan = sparse.adaptive(v, box, partitions=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and all("Broadcast" in line for line in plan.splitlines() if "Join" in line)  # only boxes are joined
+
+
+def test_places_of_leaves_with_unequal_levels(spark, sf_dir):
+    from haargrid.jobs import studies
+
+    v = studies.user_grid(spark, sf_dir)
+    box = sparse.extent(v)
+    b = sparse.placed_boxes(sparse.adaptive(v, box), box).join(box.withColumnRenamed("grid", "tree_id"), "tree_id")
+    wrong = F.lit(False)
+    for d, c in enumerate("xyz"):
+        size = F.pow(F.lit(2.0), F.col(f"level_{c}") - paths.level(F.col("refs"), d))
+        wrong = wrong | (F.col(f"size_{c}") != size) | (F.col(c) != F.col(f"low_{c}") + paths.index(F.col("path"), F.col("refs"), d) * size)
+    assert b.filter(wrong).count() == 0 < b.count()
