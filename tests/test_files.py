@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -56,3 +57,15 @@ def test_images(spark, tmp_path):
 def test_compressed_sizes(spark):
     rows = spark.createDataFrame([(b"a" * 1000,), (None,)], "v binary").select(files.compressed_bytes(F.col("v")).alias("n")).collect()
     assert 0 < rows[0].n < 100 and rows[1].n is None
+
+
+def test_voxel_topology_deals_voxels_by_rows_and_counts_repeated_ones_once(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(9000), rng.randrange(300), rng.randrange(5)) for g in "ab" for _ in range(800)]
+    v = spark.createDataFrame(rows + rows[:50], "grid string, x long, y long, z int")
+    want = {(g, i, len({tuple(k >> s for k in r[1:]) for r in own}), len(own)) for g in "ab" for own in [{r for r in rows if r[0] == g}] for i, s in enumerate((3, 7, 12))}
+    found = files.voxel_topology(v, 7)
+    assert {(r.grid, r.level, r.nodes, r.voxels) for r in found.collect()} == want
+    assert {(r.grid, r.level, r.nodes, r.voxels) for r in files.voxel_topology(v.distinct()).collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # three levels from one another, not three rows a voxel
