@@ -238,3 +238,12 @@ def test_places_of_leaves_with_unequal_levels(spark, sf_dir):
         size = F.pow(F.lit(2.0), F.col(f"level_{c}") - paths.level(F.col("refs"), d))
         wrong = wrong | (F.col(f"size_{c}") != size) | (F.col(c) != F.col(f"low_{c}") + paths.index(F.col("path"), F.col("refs"), d) * size)
     assert b.filter(wrong).count() == 0 < b.count()
+
+
+def test_refinements_are_counted_at_first_leaves(spark):
+    rng = random.Random(5)
+    leaves = leaves_of(spark, [random_full(rng, [2, 3, 2]), 1.0, (1, [0.0, (2, [0.0, (4, [0.0, (1, [0.0, 1.0])])])])])
+    nodes = {(r.tree_id, r.path[:d], r.refs[d]) for r in leaves.collect() for d in range(len(r.refs))}
+    found = grid.ref_histogram(leaves)
+    assert {r.ref: r.n for r in found.collect()} == {k: sum(n[2] == k for n in nodes) for k in {n[2] for n in nodes}}
+    assert "hashpartitioning(tree_id" not in found._jdf.queryExecution().executedPlan().toString()
