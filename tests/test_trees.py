@@ -281,3 +281,25 @@ def test_refinements_are_counted_at_first_leaves(spark):
     found = grid.ref_histogram(leaves)
     assert {r.ref: r.n for r in found.collect()} == {k: sum(n[2] == k for n in nodes) for k in {n[2] for n in nodes}}
     assert "hashpartitioning(tree_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _some_trees(spark):
+    rng = random.Random(7)
+    return leaves_of(spark, [random_full(rng, [2, 3, 2]), 1.0, (1, [0.0, (2, [0.0, (4, [0.0, (1, [0.0, 1.0])])])]), (7, [0.0] * 7 + [random_full(rng, [1, 1, 1])]), (2, [(5, [(7, [1.0] * 8), 0.0, 1.0, 0.0]), 0.0])])
+
+
+def test_nodes_come_with_their_first_leaves(spark, monkeypatch):
+    leaves = _some_trees(spark)
+    rows = leaves.collect()
+    nodes = {(r.tree_id, r.path[:k], k == len(r.path)) for r in rows for k in range(len(r.path) + 1)}
+    found = queries._all_nodes(leaves)
+    assert sorted(map(tuple, found.collect())) == sorted(nodes)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no node is made twice
+
+    monkeypatch.setattr(queries, "event_tree", lambda *_: leaves)
+    below = queries.subtree_ranges(spark, "")
+    assert sorted(map(tuple, below.collect())) == sorted((t, p, sum(u == t and q.startswith(p) for u, q, _ in nodes)) for t, p, _ in nodes)
+    assert below._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # leaves are summed up at once
+    order = {t: sorted((p, leaf) for u, p, leaf in nodes if u == t) for t in {r.tree_id for r in rows}}
+    expected = [(t, p, k, sum(x[1] for x in at[: k + 1]) - 1 if leaf else None) for t, at in order.items() for k, (p, leaf) in enumerate(at)]
+    assert sorted(map(tuple, queries.preorder_ordinals(spark, "").collect()), key=repr) == sorted(expected, key=repr)
