@@ -303,3 +303,19 @@ def test_nodes_come_with_their_first_leaves(spark, monkeypatch):
     order = {t: sorted((p, leaf) for u, p, leaf in nodes if u == t) for t in {r.tree_id for r in rows}}
     expected = [(t, p, k, sum(x[1] for x in at[: k + 1]) - 1 if leaf else None) for t, at in order.items() for k, (p, leaf) in enumerate(at)]
     assert sorted(map(tuple, queries.preorder_ordinals(spark, "").collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_places_of_leaves_come_from_one_pass_over_their_steps(spark, monkeypatch):
+    leaves = _some_trees(spark)
+    monkeypatch.setattr(queries, "event_tree", lambda *_: leaves)
+    wanted = leaves.select("tree_id", "path", *[paths.level(F.col("refs"), d) for d in range(3)], *[paths.index(F.col("path"), F.col("refs"), d) for d in range(3)]).collect()
+    found = queries.tree_levels(spark, "")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted))
+    for df in (found, grid.filled(leaves, 3, 3), grids.at_corners(leaves, leaves.select(F.col("tree_id").alias("grid"), *[F.lit(0).cast("long").alias(c) for c in "xyz"], "value"), 3)):
+        assert "arrays_zip" not in df._jdf.queryExecution().optimizedPlan().toString()  # steps aren't zipped again for each dimension
+    # each cell once, with the value of the leaf whose box it is in
+    boxes = {(r[0], r[1]): [((r[5 + d] << 3 - r[2 + d]), 1 << 3 - r[2 + d]) for d in range(3)] for r in wanted}
+    value = {(r.tree_id, r.path): r.value for r in leaves.collect()}
+    cells_of = sorted((t, *(lo + k for (lo, _), k in zip(b, at, strict=True)), value[t, p]) for (t, p), b in boxes.items() for at in [(x, y, z) for x in range(b[0][1]) for y in range(b[1][1]) for z in range(b[2][1])])
+    assert sorted(map(tuple, grid.rasterise(leaves, 3, 3).collect())) == cells_of
+    assert len({c[:4] for c in cells_of}) == len(cells_of) == 5 * 512
