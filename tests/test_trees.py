@@ -319,3 +319,15 @@ def test_places_of_leaves_come_from_one_pass_over_their_steps(spark, monkeypatch
     cells_of = sorted((t, *(lo + k for (lo, _), k in zip(b, at, strict=True)), value[t, p]) for (t, p), b in boxes.items() for at in [(x, y, z) for x in range(b[0][1]) for y in range(b[1][1]) for z in range(b[2][1])])
     assert sorted(map(tuple, grid.rasterise(leaves, 3, 3).collect())) == cells_of
     assert len({c[:4] for c in cells_of}) == len(cells_of) == 5 * 512
+
+
+def test_outermost_nodes_are_told_in_preorder_without_joins(spark, monkeypatch):
+    leaves = _some_trees(spark).unionByName(_some_trees(spark).filter("tree_id = 3").withColumn("tree_id", F.lit(9).cast("long")).withColumn("path", F.concat(F.lit("1"), "path")).withColumn("refs", F.concat(F.array(F.lit(1)), "refs")))
+    monkeypatch.setattr(queries, "event_tree", lambda *_: leaves)
+    families = {}
+    for r in leaves.filter("path != ''").collect():
+        families[r.tree_id, r.path[:-1]] = families.get((r.tree_id, r.path[:-1]), 0) + 1
+    c = {k: n for k, n in families.items() if n >= 2}
+    found = queries.outermost_prefixes(spark, "")
+    assert sorted(map(tuple, found.collect())) == sorted((t, p, n) for (t, p), n in c.items() if not any((t, p[:k]) in c for k in range(len(p))))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
