@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from haargrid.llm import bwt_dedup, embed_dedup, exchange, jaccard_join, line_dedup, queries, set_join
+from haargrid.llm import bwt_dedup, embed_dedup, exchange, jaccard_join, line_dedup, queries, rows, set_join
 from haargrid.llm.components import components
 
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from here into the deep dark wood where no one ever goes at night"
@@ -341,6 +341,48 @@ def test_groups_beyond_a_block(spark, monkeypatch):
     assert {10 + i: 10 + e for i, e in enumerate(expected) if expected.count(e) > 1} == got
 
 
+def test_members_of_small_groups_move_once(spark, monkeypatch):
+    """Beside a large group, the texts of all others are dealt out for their group only, and not stored again."""
+    sets = made_sets(4, 120)
+    pairs = [(1, 10 + i, s.tobytes()) for i, s in enumerate(sets)] + [(2 + i, 1000 + 2 * i + k, sets[i].tobytes()) for i in range(100) for k in (0, 1)]
+    members = rows.written(spark.createDataFrame(pairs, "grp long, name long, raw binary"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n_members"), F.sum(F.octet_length("raw")).alias("n_weight"))
+    real, stored = rows.written, []
+    monkeypatch.setattr(set_join, "written", lambda df: stored.append((df, real(df))) or stored[-1][1])
+    sets_of = lambda t: [np.frombuffer(x, np.uint64) for x in t.column("raw").to_pylist()]
+    expected = plain_similar([set(s.tolist()) for s in sets], 4, 5)
+    small = {x: 1000 + 2 * i for i in range(100) for x in (1000 + 2 * i, 1001 + 2 * i)}
+    expected = small | {10 + i: 10 + e for i, e in enumerate(expected) if expected.count(e) > 1}
+    for most in (16, 4096):
+        monkeypatch.setattr(set_join, "SETS", most)
+        stored.clear()
+        assert {r.node: r.component for r in set_join.similar(members, sizes, sets_of, 4, 5).collect()} == expected
+        again = [t for _, t in stored if "raw" in t.columns]
+        assert len(again) == (2 if most == 16 else 0) and all(t.filter("grp > 1").count() < 10 for t in again)
+        if most == 4096:
+            plan = next(df for df, t in stored if "kind" in t.columns)._jdf.queryExecution().toString().rpartition("== Physical Plan ==")[2]
+            assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_keys_are_sent_as_32_bits(spark, monkeypatch):
+    """A key's bucket and lower bits tell it; ids of a key in common are linked as before."""
+    sent = []
+    real = spark.createDataFrame([(0, "")], "a int, b string").__class__.mapInArrow
+    monkeypatch.setattr(spark.range(0).__class__, "mapInArrow", lambda self, f, schema, *a, **b: sent.append(out := real(self, f, schema, *a, **b)) or out)
+
+    def per_task():
+        return lambda batch: ([batch.column(0)], exchange.mix(batch.column(0).to_numpy().astype(np.uint64) // np.uint64(3)), batch.column(0).to_numpy())
+
+    shared = exchange.share_keys(spark.range(3000).repartition(3), per_task, "id long")
+    links = {(r.a, r.b) for r in shared.filter("a is not null").collect()}
+    found = Union(range(3000))
+    for a, b in links:
+        found.join(a, b)
+    assert [found.find(i) for i in range(3000)] == [i // 3 * 3 for i in range(3000)]
+    weight = sent[0].filter("bucket >= 0").agg(F.sum(F.octet_length("keys")), F.sum(F.octet_length("ids"))).first()
+    assert 2 * weight[0] == weight[1] > 0
+
+
 def test_equal_line_numbers_of_different_lines(spark, monkeypatch):
     """Half of a digest may be equal by chance: lines are told by all of it."""
     real = line_dedup.digest
