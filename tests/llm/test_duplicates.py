@@ -364,6 +364,47 @@ def test_members_of_small_groups_move_once(spark, monkeypatch):
             assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_sets_of_a_pivot_meet_others_together(spark, monkeypatch):
+    """Pivots that may link with many others: their sets aren't sent for each of those pairs, and all links are found."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+
+    def changed(of, own):
+        out = of.copy()
+        out[own] = rng.integers(0, 2**63, len(own)).astype(np.uint64)
+        return out
+
+    # near copies; sets beyond the reach of all of them; sets within that of one copy only
+    copies = [changed(base, np.arange(150 + 2 * i, 152 + 2 * i)) for i in range(24)]
+    others = [changed(base, np.arange(k % 60, k % 60 + 25)) for k in range(30)] + [changed(copies[5 + 2 * k], np.arange(10 * k, 10 * k + 22)) for k in range(8)]
+    sets = [np.unique(s) for s in copies + others]
+    real, sent = set_join.by_group, []
+    monkeypatch.setattr(set_join, "by_group", lambda df, *a: sent.append(df.count()) or real(df, *a))
+    members = spark.createDataFrame([(1, 10 + i, s.tobytes()) for i, s in enumerate(sets)], "grp long, name long, raw binary")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n_members"), F.sum(F.octet_length("raw")).alias("n_weight"))
+    expected = plain_similar([set(s.tolist()) for s in sets], 4, 5)
+    for paired in (512, 3):
+        monkeypatch.setattr(set_join, "SETS", 16)
+        monkeypatch.setattr(set_join, "PAIRED", paired, raising=False)
+        sent.clear()
+        got = {r.node: r.component for r in set_join.similar(members, sizes, lambda t: [np.frombuffer(x, np.uint64) for x in t.column("raw").to_pylist()], 4, 5).collect()}
+        assert got == {10 + i: 10 + e for i, e in enumerate(expected) if expected.count(e) > 1}
+        assert expected.count(0) == 32 and len(sent) == 3
+        if paired == 512:
+            assert sent[2] < 4 * len(sets)
+
+
+def test_parts_of_few_sets_meet_the_others(spark, monkeypatch):
+    """Parts of a cut group that count as small are joined with the other parts too."""
+    monkeypatch.setattr(set_join, "SETS", 6)
+    sets = made_sets(9, 60)
+    members = spark.createDataFrame([(1, 10 + i, s.tobytes()) for i, s in enumerate(sets)], "grp long, name long, raw binary")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n_members"), F.sum(F.octet_length("raw")).alias("n_weight"))
+    found = set_join.similar(members, sizes, lambda t: [np.frombuffer(x, np.uint64) for x in t.column("raw").to_pylist()], 4, 5, line_dedup.small_groups, line_dedup.TOGETHER)
+    expected = plain_similar([set(s.tolist()) for s in sets], 4, 5)
+    assert {r.node: r.component for r in found.collect()} == {10 + i: 10 + e for i, e in enumerate(expected) if expected.count(e) > 1}
+
+
 def test_keys_are_sent_as_32_bits(spark, monkeypatch):
     """A key's bucket and lower bits tell it; ids of a key in common are linked as before."""
     sent = []
